@@ -14,9 +14,10 @@ NUMERIC = "numeric"
 CATEGORICAL = "categorical"
 DATETIME = "datetime"
 
-# Columns handled by one global aggregate; more are split over several so that the
-# generated code of each stays small.
-COLUMNS_PER_AGGREGATE = 12
+# Aggregate functions in one global aggregate. More are split over several scans (each
+# reads only its own columns): beyond this the generated code grows past what the JVM
+# compiles and the aggregate runs an order of magnitude slower.
+AGGREGATES_PER_SCAN = 32
 
 
 def col(name: str) -> Column:
@@ -136,6 +137,10 @@ def sample_kurtosis(c: Column) -> Column:
     )
 
 
+def columns_per_scan(aggregates_per_column: int) -> int:
+    return max(1, AGGREGATES_PER_SCAN // aggregates_per_column)
+
+
 def per_column(
     df: DataFrame,
     columns: Sequence[str],
@@ -148,8 +153,9 @@ def per_column(
     aggregate pass covers a few columns and reads only those from the source.
     """
     frames = []
-    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
-        part = columns[start : start + COLUMNS_PER_AGGREGATE]
+    step = columns_per_scan(len(stats(columns[0]))) if columns else 1
+    for start in range(0, len(columns), step):
+        part = columns[start : start + step]
         flat, structs = [], []
         for i, c in enumerate(part):
             named = stats(c)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import COLUMNS_PER_AGGREGATE, col, union_all
+from .columns import AGGREGATES_PER_SCAN, col, union_all
 
 # A sketch estimate this many times over the gate cannot belong to a column that passes
 # it (relative error 5 % standard deviation); nearer columns are counted exactly.
@@ -67,8 +67,8 @@ def column_modes(counts: DataFrame) -> DataFrame:
 def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Sketched distinct counts: one scan, nothing of data size is shuffled."""
     out: dict[str, int] = {}
-    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
-        part = columns[start : start + COLUMNS_PER_AGGREGATE]
+    for start in range(0, len(columns), AGGREGATES_PER_SCAN):
+        part = columns[start : start + AGGREGATES_PER_SCAN]
         row = df.agg(
             *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(part)]
         ).first()

@@ -1,31 +1,35 @@
 """Exact order statistics without ever gathering a column.
 
 ``percentile`` keeps every distinct value of a group in one task, which a column of
-10^13 amounts cannot afford. Here a mergeable sketch first brackets each wanted rank,
-one scan counts how many values lie below and inside each bracket, and only the values
-inside the brackets (a few per ten thousand) are grouped and ranked. Brackets that are
-still too full are narrowed by further sketch scans. The counts prove that each rank
-lies in its bracket, so the result is exact.
+10^13 amounts cannot afford. Here a mergeable KLL sketch first brackets each wanted
+rank, one scan counts how many values lie below and inside each bracket, and only the
+values inside the brackets (a few per thousand) are grouped and ranked. Brackets that
+are still too full are narrowed by further sketch scans. The counts prove that each
+rank lies in its bracket (a bracket that misses is moved), so the result is exact.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import all_of, any_of, col
+from .columns import AGGREGATES_PER_SCAN, all_of, any_of, col, missing_as_null
 
-SKETCH_ACCURACY = 10_000
-GRID = 1_000
-# Most rows a bracket may still hold when its values are ranked by one task.
+SKETCH_K = 4096
+# Rank error of such a sketch is about 0.0013 at 99 % confidence.
+SLACK = 0.003
+GRID = 200
+# Tables up to this size need no bracket: all their values may be ranked.
+UNBRACKETED_ROWS = 2_000
+# Most rows an open bracket may hold when its values are ranked by one task.
 RANKABLE_ROWS = 4_000_000
 # Group rows joined back by broadcast: small by contract, checked here.
-MAX_BROADCAST_GROUPS = 100_000
+MAX_GROUPS = 50_000
 
 
 @dataclass
@@ -39,64 +43,26 @@ class _Bracket:
     below: int = 0
     inside: int = 0
 
+    @property
+    def open(self) -> bool:
+        return self.lo != self.hi
+
+    @property
+    def holds(self) -> bool:
+        return self.below <= self.first and self.last < self.below + self.inside
+
 
 @dataclass
 class _Group:
     key: tuple
     counts: list[int]
+    extremes: list[tuple]
     brackets: list[list[_Bracket]]
 
-
-def kth_smallest(
-    df: DataFrame,
-    columns: Sequence[str],
-    ranks_of,
-    keys: Sequence[str] = (),
-    accuracy: int = SKETCH_ACCURACY,
-    rankable_rows: int | None = None,
-) -> dict[tuple, tuple[list[int], list[list]]]:
-    """Exact order statistics per group.
-
-    ``ranks_of(n)`` lists pairs of 0-based ranks wanted of a column with ``n`` values;
-    its length must not depend on ``n``. Groups must be few (they come back to the
-    driver): callers pass gated categories or class labels. Returns, per key, the
-    non-null count of each column and the value pairs at the wanted ranks (``None`` for
-    empty columns).
-    """
-    rankable_rows = RANKABLE_ROWS if rankable_rows is None else rankable_rows
-    slots = len(ranks_of(1))
-    groups = _sketch(df, columns, ranks_of, keys, accuracy)
-    if not groups:
-        return {}
-    if len(groups) > MAX_BROADCAST_GROUPS:
-        raise ValueError(f"{len(groups)} groups: order statistics need a bounded number of groups")
-
-    while True:
-        _count(df, columns, slots, keys, groups)
-        if max((b.inside for b in _open(groups)), default=0) <= rankable_rows:
-            break
-        before = sum(b.inside for b in _open(groups))
-        _narrow(df, columns, slots, keys, groups, accuracy)
-        _count(df, columns, slots, keys, groups)
-        if sum(b.inside for b in _open(groups)) >= before:
-            break  # heavy ties only: few distinct values, the grouping below absorbs them
-    picked = _pick(df, columns, slots, keys, groups)
-    out = {}
-    for g in groups:
-        values = []
-        for i in range(len(columns)):
-            row = []
-            for j in range(slots):
-                b = g.brackets[i][j] if g.counts[i] else None
-                if b is None:
-                    row.append(None)
-                elif b.lo == b.hi:
-                    row.append((b.lo, b.hi))
-                else:
-                    row.append((picked[(*g.key, i, j, b.first)], picked[(*g.key, i, j, b.last)]))
-            values.append(row)
-        out[g.key] = (g.counts, values)
-    return out
+    def slots(self) -> Iterator[tuple[int, int, _Bracket]]:
+        for i, row in enumerate(self.brackets):
+            for j, b in enumerate(row):
+                yield i, j, b
 
 
 def exact_quantiles(
@@ -106,24 +72,29 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     **tuning,
 ) -> dict[tuple, tuple[list[int], list[list[float | None]]]]:
-    """Linear-interpolated quantiles: per key, counts and one value per column and prob."""
+    """Linear-interpolated quantiles: per key, non-null counts and a value per column and prob."""
 
-    def ranks(n: int) -> list[tuple[int, int]]:
-        return [(math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probs]
+    def ranks(p: float, n: int) -> tuple[int, int]:
+        return math.floor(p * (n - 1)), math.ceil(p * (n - 1))
 
+    doubles = missing_as_null(
+        df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(c) for c in columns])
+    )
     result = {}
-    for key, (counts, values) in kth_smallest(df, columns, ranks, keys, **tuning).items():
+    for key, (counts, pairs) in ranked_values(
+        doubles, columns, probs, ranks, keys, **tuning
+    ).items():
         table = []
-        for n, vals in zip(counts, values):
-            row = []
-            for j, p in enumerate(probs):
-                if vals[j] is None:
-                    row.append(None)
-                else:
-                    lo, hi = map(float, vals[j])
-                    share = p * (n - 1) - math.floor(p * (n - 1))
-                    row.append(lo if lo == hi else lo + (hi - lo) * share)
-            table.append(row)
+        for n, row in zip(counts, pairs):
+            out = []
+            for p, pair in zip(probs, row):
+                if pair is None:
+                    out.append(None)
+                    continue
+                lo, hi = map(float, pair)
+                share = p * (n - 1) - math.floor(p * (n - 1))
+                out.append(lo if lo == hi else lo + (hi - lo) * share)
+            table.append(out)
         result[key] = (counts, table)
     return result
 
@@ -138,186 +109,258 @@ def column_quantiles(
     return {c: (counts[i], values[i]) for i, c in enumerate(columns)}
 
 
-def _open(groups):
-    return [b for g in groups for row in g.brackets for b in row if b.lo != b.hi]
-
-
-def _sketch(df, columns, ranks_of, keys, accuracy) -> list[_Group]:
-    """First scan: counts, extremes and a sketch grid of every column."""
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [
-            F.count(col(c)).alias(f"n{i}"),
-            F.percentile_approx(col(c), _grid(), accuracy).alias(f"s{i}"),
-        ]
-    groups = []
-    for row in df.groupBy(*[col(k) for k in keys]).agg(*aggs).collect():
-        counts = [row[f"n{i}"] for i in range(len(columns))]
-        brackets = []
-        for i, n in enumerate(counts):
-            if not n:
-                brackets.append([])
-                continue
-            sketch = row[f"s{i}"]
-            brackets.append(
-                [_Bracket(*_cells(sketch, a, b, n, accuracy), a, b) for a, b in ranks_of(n)]
+def ranked_values(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    ranks,
+    keys: Sequence[str] = (),
+    rankable_rows: int | None = None,
+    unbracketed_rows: int | None = None,
+) -> dict[tuple, tuple[list[int], list[list[tuple | None]]]]:
+    """Values at the 0-based ranks ``ranks(p, n) = (first, last)``, per key and column.
+
+    The ranks must lie within one row of ``p * n``. Columns are all double or all bigint
+    and free of NaN. Groups must be few (one row each comes back to the driver): callers
+    pass gated categories or class labels.
+    """
+    limit = RANKABLE_ROWS if rankable_rows is None else rankable_rows
+    small = UNBRACKETED_ROWS if unbracketed_rows is None else unbracketed_rows
+    slots = len(probs)
+    groups = _sketch(df, columns, probs, ranks, keys, small)
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"{len(groups)} groups: order statistics need a bounded number of groups")
+    if not groups:
+        return {}
+    full = None
+    while True:
+        _count(df, columns, slots, keys, groups)
+        moved = _move_missed(groups)
+        crowded = [b for g in groups for _, _, b in g.slots() if b.open and b.inside > limit]
+        if not moved:
+            # Narrowing stops helping when only a few, often repeated values are left;
+            # grouping equal values before ranking them absorbs those.
+            now = sum(b.inside for b in crowded)
+            if not crowded or now == full:
+                break
+            full = now
+        if crowded and not moved:
+            _narrow(df, columns, slots, keys, groups)
+    picked = _pick(df, columns, slots, keys, groups)
+    out = {}
+    for g in groups:
+        values: list[list[tuple | None]] = [[None] * slots for _ in columns]
+        for i, j, b in g.slots():
+            values[i][j] = (
+                (picked[(*g.key, i, j, b.first)], picked[(*g.key, i, j, b.last)])
+                if b.open
+                else (b.lo, b.hi)
             )
-        groups.append(_Group(tuple(row[k] for k in keys), counts, brackets))
-    return groups
+        out[g.key] = (g.counts, values)
+    return out
+
 
+def _chunks(columns: Sequence[str], aggregates_per_column: int) -> Iterator[list[int]]:
+    step = max(1, AGGREGATES_PER_SCAN // aggregates_per_column)
+    for start in range(0, len(columns), step):
+        yield list(range(start, min(start + step, len(columns))))
 
-def _grid() -> Column:
+
+def _array(values: Sequence[float]) -> Column:
     # One literal parsed by Spark: building it value by value costs seconds of driver time.
-    return F.expr("array(" + ", ".join(f"{j / GRID}D" for j in range(GRID + 1)) + ")")
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
 
 
-def _cells(grid_values, first: int, last: int, n: int, accuracy: int):
-    """Grid values around the two ranks, clear of the sketch error on both sides."""
-    scale = GRID / max(n - 1, 1)
-    slack = (2.0 / accuracy + 1.0 / n) * GRID
-    left = max(math.floor(first * scale - slack), 0)
-    right = min(math.ceil(last * scale + slack), GRID)
-    return grid_values[left], grid_values[right]
+def _sketch_quantiles(value: Column, data_type: T.DataType, at: Sequence[float]) -> Column:
+    if isinstance(data_type, T.LongType):
+        sketch = F.kll_sketch_agg_bigint(value, F.lit(SKETCH_K))
+        read = F.kll_sketch_get_quantile_bigint
+    else:
+        sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_K))
+        read = F.kll_sketch_get_quantile_double
+    return F.when(F.count(value) > 0, read(sketch, _array(at)))
 
 
-def _with_brackets(df, columns, slots, keys, groups) -> tuple[DataFrame, list]:
-    """Attach every row's bracket bounds: literals, or a small broadcast for groups."""
+def _types(df: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
+
 
-    def bounds(g, i, j):
-        b = g.brackets[i][j] if g.counts[i] else None
-        return (None, None) if b is None else (b.lo, b.hi)
+def _collect(df, keys, aggs) -> dict[tuple, T.Row]:
+    rows = df.groupBy(*[col(k) for k in keys]).agg(*aggs).collect()
+    return {tuple(r[k] for k in keys): r for r in rows}
 
-    types = {f.name: f.dataType for f in df.schema.fields}
+
+def _sketch(df, columns, probs, ranks, keys, small) -> list[_Group]:
+    """First scan: counts, extremes and the sketch values around each probability."""
+    at = [0.0]
+    for p in probs:
+        at += [max(p - SLACK, 0.0), min(p + SLACK, 1.0)]
+    at.append(1.0)
+    types = _types(df)
+    groups: dict[tuple, _Group] = {}
+    for part in _chunks(columns, 6):
+        aggs = []
+        for i in part:
+            c = columns[i]
+            aggs += [
+                F.count(col(c)).alias(f"n{i}"),
+                _sketch_quantiles(col(c), types[c], at).alias(f"s{i}"),
+            ]
+        for key, row in _collect(df, keys, aggs).items():
+            g = groups.setdefault(key, _Group(key, [], [], []))
+            for i in part:
+                n, s = row[f"n{i}"], row[f"s{i}"]
+                g.counts.append(n)
+                g.extremes.append((s[0], s[-1]) if n else (None, None))
+                g.brackets.append([])
+                for j, p in enumerate(probs if n else ()):
+                    first, last = ranks(p, n)
+                    lo, hi = (s[0], s[-1]) if n <= small else (s[1 + 2 * j], s[2 + 2 * j])
+                    if p - SLACK <= 0:
+                        lo = s[0]
+                    if p + SLACK >= 1:
+                        hi = s[-1]
+                    g.brackets[i].append(_Bracket(lo, hi, first, last))
+    return list(groups.values())
+
+
+def _with_brackets(df, columns, slots, keys, groups) -> tuple[DataFrame, dict]:
+    """Attach every row's bracket bounds: literals, or a small broadcast for groups."""
+    types = _types(df)
     if not keys:
-        at = {}
-        for i, c in enumerate(columns):
-            for j in range(slots):
-                lo, hi = bounds(groups[0], i, j)
-                at[i, j] = (F.lit(lo).cast(types[c]), F.lit(hi).cast(types[c]))
+        at = {
+            (i, j): (F.lit(b.lo).cast(types[columns[i]]), F.lit(b.hi).cast(types[columns[i]]))
+            for i, j, b in groups[0].slots()
+        }
         return df, at
+    names = [(i, j) for i in range(len(columns)) for j in range(slots)]
     fields = [T.StructField(f"_k{m}", types[k]) for m, k in enumerate(keys)]
-    for i, c in enumerate(columns):
-        for j in range(slots):
-            fields += [T.StructField(f"_lo{i}_{j}", types[c]), T.StructField(f"_hi{i}_{j}", types[c])]
+    for i, j in names:
+        fields.append(T.StructField(f"_lo{i}_{j}", types[columns[i]]))
+        fields.append(T.StructField(f"_hi{i}_{j}", types[columns[i]]))
     rows = []
     for g in groups:
+        known = {(i, j): b for i, j, b in g.slots()}
         row = list(g.key)
-        for i in range(len(columns)):
-            for j in range(slots):
-                row += bounds(g, i, j)
+        for at in names:
+            row += [known[at].lo, known[at].hi] if at in known else [None, None]
         rows.append(tuple(row))
     small = F.broadcast(df.sparkSession.createDataFrame(rows, T.StructType(fields)))
     on = all_of(col(k).eqNullSafe(F.col(f"_k{m}")) for m, k in enumerate(keys))
-    at = {
-        (i, j): (F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}"))
-        for i in range(len(columns))
-        for j in range(slots)
-    }
-    return df.join(small, on), at
+    return df.join(small, on), {at: (F.col("_lo%d_%d" % at), F.col("_hi%d_%d" % at)) for at in names}
 
 
 def _count(df, columns, slots, keys, groups) -> None:
-    """One scan: how many values lie below and inside each bracket."""
+    """How many values lie below and inside each bracket."""
     tagged, at = _with_brackets(df, columns, slots, keys, groups)
-    aggs = []
-    for i, c in enumerate(columns):
-        for j in range(slots):
-            lo, hi = at[i, j]
-            aggs += [
-                F.count(F.when(col(c) < lo, 1)).alias(f"b{i}_{j}"),
-                F.count(F.when((col(c) >= lo) & (col(c) <= hi), 1)).alias(f"w{i}_{j}"),
-            ]
-    found = {
-        tuple(row[k] for k in keys): row
-        for row in tagged.groupBy(*[col(k) for k in keys]).agg(*aggs).collect()
-    }
+    for part in _chunks(columns, 2 * slots):
+        aggs = []
+        for i, j in at:
+            if i in part:
+                lo, hi = at[i, j]
+                x = col(columns[i])
+                aggs.append(F.count(F.when(x < lo, 1)).alias(f"b{i}_{j}"))
+                aggs.append(F.count(F.when((x >= lo) & (x <= hi), 1)).alias(f"w{i}_{j}"))
+        if not aggs:
+            continue
+        found = _collect(tagged, keys, aggs)
+        for g in groups:
+            for i, j, b in g.slots():
+                if i in part:
+                    b.below, b.inside = found[g.key][f"b{i}_{j}"], found[g.key][f"w{i}_{j}"]
+
+
+def _move_missed(groups) -> bool:
+    """Move brackets that missed their rank to the side where it must be."""
+    moved = False
     for g in groups:
-        row = found[g.key]
-        for i in range(len(columns)):
-            for j, b in enumerate(g.brackets[i]):
-                b.below, b.inside = row[f"b{i}_{j}"], row[f"w{i}_{j}"]
-                if not b.below <= b.first <= b.last < b.below + b.inside:
-                    raise RuntimeError("rank outside its bracket: the input changed between scans")
-
-
-def _narrow(df, columns, slots, keys, groups, accuracy) -> None:
+        for i, _, b in g.slots():
+            if not b.holds:
+                lowest, highest = g.extremes[i]
+                if (b.lo, b.hi) == (lowest, highest):
+                    raise RuntimeError("the input changed between scans")
+                if b.first < b.below:
+                    b.lo = lowest
+                if b.last >= b.below + b.inside:
+                    b.hi = highest
+                moved = True
+    return moved
+
+
+def _narrow(df, columns, slots, keys, groups) -> None:
     """Sketch only the values inside the brackets and tighten each around its rank."""
     tagged, at = _with_brackets(df, columns, slots, keys, groups)
-    aggs = []
-    for i, c in enumerate(columns):
-        for j in range(slots):
-            lo, hi = at[i, j]
-            inside = F.when((col(c) >= lo) & (col(c) <= hi), col(c))
-            aggs.append(F.percentile_approx(inside, _grid(), accuracy).alias(f"s{i}_{j}"))
-    found = {
-        tuple(row[k] for k in keys): row
-        for row in tagged.groupBy(*[col(k) for k in keys]).agg(*aggs).collect()
-    }
-    for g in groups:
-        for i in range(len(columns)):
-            for j, b in enumerate(g.brackets[i]):
-                if b.lo != b.hi:
-                    b.lo, b.hi = _cells(
-                        found[g.key][f"s{i}_{j}"],
-                        b.first - b.below,
-                        b.last - b.below,
-                        b.inside,
-                        accuracy,
-                    )
+    types = _types(df)
+    grid = [j / GRID for j in range(GRID + 1)]
+    for part in _chunks(columns, 4 * slots):
+        aggs = []
+        for i, j in at:
+            if i in part:
+                lo, hi = at[i, j]
+                x = F.when((col(columns[i]) >= lo) & (col(columns[i]) <= hi), col(columns[i]))
+                aggs.append(_sketch_quantiles(x, types[columns[i]], grid).alias(f"s{i}_{j}"))
+        if not aggs:
+            continue
+        found = _collect(tagged, keys, aggs)
+        for g in groups:
+            for i, j, b in g.slots():
+                if i in part and b.open:
+                    s = found[g.key][f"s{i}_{j}"]
+                    left = (b.first - b.below) / b.inside - SLACK
+                    right = (b.last + 1 - b.below) / b.inside + SLACK
+                    b.lo = s[max(math.floor(left * GRID), 0)]
+                    b.hi = s[min(math.ceil(right * GRID), GRID)]
 
 
 def _pick(df, columns, slots, keys, groups) -> dict[tuple, float | int]:
     """Group the few values inside open brackets and read off the wanted ranks."""
+    types = _types(df)
     targets = [
-        (*g.key, i, j, rank - b.below, rank)
+        (*g.key, str(i), j, b.lo, b.hi, rank - b.below, rank)
         for g in groups
-        for i in range(len(columns))
-        for j, b in enumerate(g.brackets[i])
-        if b.lo != b.hi
-        for rank in {b.first, b.last}
+        for i, j, b in g.slots()
+        if b.open
+        for rank in sorted({b.first, b.last})
     ]
     if not targets:
         return {}
-    wanted = {(t[-4], t[-3]) for t in targets}
     tagged, at = _with_brackets(df, columns, slots, keys, groups)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    value_type = "double" if any(
-        isinstance(types[c], (T.FloatType, T.DoubleType)) for c in columns
-    ) else "bigint"
-
-    def hit(i, j) -> Column:
-        lo, hi = at[i, j]
-        return (col(columns[i]) >= lo) & (col(columns[i]) <= hi) & (lo < hi)
-
-    inside = tagged.where(any_of(hit(i, j) for i, j in sorted(wanted))).select(
-        *[col(k).alias(f"_g{m}") for m, k in enumerate(keys)],
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            hit(i, j),
-                            F.struct(
-                                F.lit(i).alias("i"),
-                                F.lit(j).alias("j"),
-                                col(columns[i]).cast(value_type).alias("v"),
-                            ),
-                        )
-                        for i, j in sorted(wanted)
-                    ]
-                )
-            )
-        ).alias("_h"),
-    )
     by = [f"_g{m}" for m in range(len(keys))]
-    counted = inside.groupBy(*by, "_h.i", "_h.j", "_h.v").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    wanted = sorted({int(t[len(keys)]) for t in targets})
+    value_type = types[columns[0]]
+    inside = []
+    for i in wanted:
+        x = col(columns[i])
+        hit = any_of(
+            (x >= at[i, j][0]) & (x <= at[i, j][1]) & (at[i, j][0] < at[i, j][1])
+            for j in range(slots)
+            if (i, j) in at
+        )
+        inside.append(F.when(hit, x).alias(str(i)))
+    counted = (
+        tagged.select(*[col(k).alias(g) for k, g in zip(keys, by)], *inside)
+        .unpivot([F.col(g) for g in by], [F.col(f"`{i}`") for i in wanted], "_i", "_v")
+        .where(F.col("_v").isNotNull())
+        .groupBy(*by, "_i", "_v")
+        .agg(F.count("*").alias("_c"))
+    )
     fields = [T.StructField(f"_t{m}", types[k]) for m, k in enumerate(keys)]
-    fields += [T.StructField(n, T.LongType()) for n in ("_ti", "_tj", "_rank", "_id")]
+    fields += [T.StructField("_ti", T.StringType()), T.StructField("_j", T.LongType())]
+    fields += [T.StructField(n, value_type) for n in ("_from", "_to")]
+    fields += [T.StructField(n, T.LongType()) for n in ("_rank", "_id")]
     small = F.broadcast(df.sparkSession.createDataFrame(targets, T.StructType(fields)))
-    on = all_of(F.col(f"_g{m}").eqNullSafe(F.col(f"_t{m}")) for m in range(len(keys)))
-    on = on & (F.col("i") == F.col("_ti")) & (F.col("j") == F.col("_tj"))
-    on = on & (F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto"))
-    rows = ranked.join(small, on).select(*by, "i", "j", "_id", "v").collect()
-    return {tuple(r[: len(by) + 3]): r["v"] for r in rows}
+    on = all_of(F.col(g).eqNullSafe(F.col(f"_t{m}")) for m, g in enumerate(by))
+    on = on & (F.col("_i") == F.col("_ti"))
+    on = on & (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))
+    upto = (
+        Window.partitionBy(*by, "_i", "_j", "_id")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ranked = counted.join(small, on).withColumn("_upto", F.sum("_c").over(upto))
+    rows = (
+        ranked.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+        .select(*by, "_i", "_j", "_id", "_v")
+        .collect()
+    )
+    return {(*r[: len(by)], int(r["_i"]), r["_j"], r["_id"]): r["_v"] for r in rows}

@@ -35,7 +35,7 @@ def numeric_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, list[float | None]]]:
     """Exact q1, median, q3 per column, with the non-null count."""
-    return column_quantiles(numeric_frame(df, columns), columns, QUARTILES)
+    return column_quantiles(df, columns, QUARTILES)
 
 
 def whiskers(q: Sequence[float | None]) -> tuple[float | None, float | None]:

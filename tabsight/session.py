@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[str] = []
@@ -40,3 +42,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_functions_of(module: str) -> None:
+    """Send this module's Python functions with the tasks that use them, so executors
+    need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
