@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .columns import AGGREGATES_PER_SCAN, col, union_all
 
 # A sketch estimate this many times over the gate cannot belong to a column that passes
 # it (relative error 5 % standard deviation); nearer columns are counted exactly.
 GATE_MARGIN = 2.0
+# Longer texts are grouped by head and digest, so counting them does not shuffle them.
+LONG_TEXT_BYTES = 64
+# Digests looked up by broadcast; more (many texts with one head) go through a shuffle.
+BROADCAST_DIGESTS = 100_000
 
 
 def text(name: str) -> Column:
@@ -20,11 +25,13 @@ def text(name: str) -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, count)`` over non-null values, value as text.
+    """``(column, value, digest, count)`` over non-null values, value as text.
 
     Every type family is counted in its own type, so 1.0 and 1.00 are one value and no
     number is formatted before it is counted. Counting combines on the map side, so a
-    value that fills a third of a column crosses the network once per task.
+    value that fills a third of a column crosses the network once per task. Of a long
+    text only the head and a SHA-256 digest are grouped and shuffled; ``with_full_text``
+    brings back the few texts that are shown.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     families: dict[str, list[str]] = {}
@@ -35,15 +42,67 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         long = df.select(*[col(c).cast(target).alias(c) for c in members]).unpivot(
             [], [col(c) for c in members], "column", "value"
         )
+        long = long.where(F.col("value").isNotNull())
+        if target == "string":
+            long = _shortened(long)
+        else:
+            long = long.withColumn("digest", F.lit(None).cast("string"))
         frames.append(
-            long.where(F.col("value").isNotNull())
-            .groupBy("column", "value")
+            long.groupBy("column", "value", "digest")
             .agg(F.count("*").alias("count"))
-            .select("column", F.col("value").cast("string").alias("value"), "count")
+            .select("column", F.col("value").cast("string").alias("value"), "digest", "count")
         )
     return union_all(frames)
 
 
+def _shortened(long: DataFrame) -> DataFrame:
+    """Long texts as head and digest. Heads sort as their texts do unless they are equal."""
+    is_long = F.octet_length("value") > LONG_TEXT_BYTES
+    return long.select(
+        "column",
+        F.when(is_long, F.substring("value", 1, LONG_TEXT_BYTES)).otherwise(F.col("value")).alias("value"),
+        F.when(is_long, F.sha2("value", 256)).alias("digest"),
+    )
+
+
+def _long_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, text, head)`` of the long values of text columns."""
+    return (
+        df.select(*[text(c).alias(c) for c in columns])
+        .unpivot([], [col(c) for c in columns], "column", "text")
+        .where(F.octet_length("text") > LONG_TEXT_BYTES)
+        .withColumn("head", F.substring("text", 1, LONG_TEXT_BYTES))
+    )
+
+
+def with_full_text(df: DataFrame, selected: DataFrame) -> DataFrame:
+    """Replace heads by whole texts in a (usually small) selection of ``value_counts``.
+
+    The selection is saved; where it names no long text the data is not read again.
+    Otherwise only texts with a selected digest leave their task, one copy each.
+    """
+    saved = materialise(selected, "selected")
+    wanted = saved.where(F.col("digest").isNotNull()).select("column", "digest").distinct()
+    size = wanted.count()
+    if not size:
+        return saved.drop("digest")
+    columns = [r["column"] for r in wanted.select("column").distinct().collect()]
+    if size <= BROADCAST_DIGESTS:
+        wanted = F.broadcast(wanted)
+    texts = (
+        _long_texts(df, columns)
+        .withColumn("digest", F.sha2("text", 256))
+        .join(wanted, ["column", "digest"], "left_semi")
+        .dropDuplicates(["column", "digest"])
+        .select("column", "digest", "text")
+    )
+    return saved.join(texts, ["column", "digest"], "left").select(
+        "column",
+        F.coalesce("text", "value").alias("value"),
+        *[c for c in saved.columns if c not in ("column", "value", "digest")],
+    )
+
+
 def _family(t: T.DataType) -> str:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "bigint"
@@ -54,13 +113,62 @@ def _family(t: T.DataType) -> str:
     return "string"
 
 
-def column_modes(counts: DataFrame) -> DataFrame:
-    """Per column: values, distinct values, smallest of the most frequent, its count."""
-    return counts.groupBy("column").agg(
-        F.sum("count").alias("non_null"),
-        F.count("*").alias("cardinality"),
-        F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"),
-        F.max("count").alias("mode_frequency"),
+def column_modes(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per column: values, distinct values, smallest of the most frequent, its count.
+
+    One row per column, decided at once. Where the leading head belongs to long texts,
+    the texts with that head (only those) are counted whole to find the smallest.
+    """
+    found = (
+        counts.groupBy("column")
+        .agg(
+            F.sum("count").alias("non_null"),
+            F.count("*").alias("cardinality"),
+            F.max("count").alias("mode_frequency"),
+            F.min(F.struct(-F.col("count"), F.col("value"), F.col("digest"))).alias("best"),
+        )
+        .collect()
+    )
+    modes = {r["column"]: r["best"]["value"] for r in found}
+    unsure = [r for r in found if r["best"]["digest"] is not None]
+    if unsure:
+        names = [r["column"] for r in unsure]
+        lead = df.sparkSession.createDataFrame(
+            [(r["column"], r["best"]["value"], r["mode_frequency"]) for r in unsure],
+            "column string, head string, most bigint",
+        )
+        whole = (
+            _long_texts(df, names)
+            .join(F.broadcast(lead), ["column", "head"])
+            .groupBy("column", "text", "most")
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") == F.col("most"))
+            .groupBy("column")
+            .agg(F.min("text").alias("mode"))
+        )
+        modes.update({r["column"]: r["mode"] for r in whole.collect()})
+    rows = [
+        (r["column"], r["non_null"], r["cardinality"], modes[r["column"]], r["mode_frequency"]) for r in found
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, non_null bigint, cardinality bigint, mode string, mode_frequency bigint"
+    )
+
+
+def top_ranked(df: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """``(column, rank, value, count)``: the ``n`` most frequent values, ties by value.
+
+    The first rank filter becomes a limit inside each task before the exchange, so a
+    column with billions of distinct values sends only the leading rows of each task.
+    Equal heads of long texts share a rank there and are told apart by the whole text.
+    """
+    head = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
+    leading = counts.withColumn("_r", F.rank().over(head)).where(F.col("_r") <= n).drop("_r")
+    whole = with_full_text(df, leading)
+    return (
+        whole.withColumn("rank", F.row_number().over(head))
+        .where(F.col("rank") <= n)
+        .select("column", "rank", "value", "count")
     )
 
 
@@ -94,7 +202,10 @@ def small_domains(
     if not near:
         return {}
     found: dict[str, dict[str, int]] = {c: {} for c in near}
-    for r in value_counts(df, near).collect():
+    # Few values per column: whole texts may be grouped, they combine on the map side.
+    long = df.select(*[text(c).alias(c) for c in near]).unpivot([], [col(c) for c in near], "column", "value")
+    counted = long.where(F.col("value").isNotNull()).groupBy("column", "value")
+    for r in counted.agg(F.count("*").alias("count")).collect():
         found[r["column"]][r["value"]] = r["count"]
     return {
         c: dict(sorted(found[c].items())) for c in columns if c in found and len(found[c]) <= max_distinct

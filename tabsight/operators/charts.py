@@ -120,7 +120,8 @@ def scatter(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFram
     def at(c: str) -> Column:
         lo, hi = ranges[c]
         reach = hi - lo if hi > lo else 1.0
-        return F.least(F.floor((col(c) - _lit(lo)) * bins / _lit(reach)), F.lit(bins - 1).cast("bigint"))
+        cell = F.floor((col(c) - _lit(lo)) * bins / _lit(reach))
+        return F.when(cell.isNotNull(), F.least(cell, F.lit(bins - 1).cast("bigint")))
 
     def low(name: str, c: str) -> Column:
         lo, hi = ranges[c]

@@ -124,7 +124,7 @@ def fill_mode(
     gaps = _with_gaps(df, columns)
     if not gaps:
         return df
-    modes = {r["column"]: r["mode"] for r in column_modes(value_counts(df, gaps)).collect()}
+    modes = {r["column"]: r["mode"] for r in column_modes(df, value_counts(df, gaps)).collect()}
     for c in gaps:
         _note(log, "fill_mode", c, modes.get(c, NO_MODE))
     return df.withColumns({c: F.coalesce(text(c), F.lit(modes.get(c, NO_MODE))) for c in gaps})

@@ -17,13 +17,9 @@ from ..functions.columns import (
     rounded,
     schema_table,
 )
-from ..functions.counts import column_modes, value_counts
+from ..functions.counts import LONG_TEXT_BYTES, column_modes, value_counts
 from ..sources.shaping import limit_rows
 
-# Text longer than this is compared by its SHA-256 digest when rows are grouped, so a
-# table of long documents does not cross the network to find equal rows.
-LONG_TEXT_BYTES = 64
-
 # Storage bytes of the fixed-width types.
 TYPE_WIDTH = {
     "boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4,
@@ -32,7 +28,11 @@ TYPE_WIDTH = {
 
 
 def _row_key(df: DataFrame) -> list[Column]:
-    """Columns whose equality (nulls equal) means equal rows, with bounded width."""
+    """Columns whose equality (nulls equal) means equal rows, with bounded width.
+
+    Long text is compared by its SHA-256 digest, so a table of long documents does not
+    cross the network to find equal rows.
+    """
     keys = []
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
@@ -131,7 +131,7 @@ def column_summary(df: DataFrame, counts: DataFrame | None = None, ndigits: int
     base = per_column(df, columns, stats)
     if counts is None:
         counts = value_counts(df, columns)
-    modes = column_modes(counts).select(
+    modes = column_modes(df, counts).select(
         "column", F.col("cardinality").alias("unique"), F.col("mode").alias("_mode")
     )
     types = schema_table(df).select("column", "dtype", "column_class")

@@ -79,7 +79,8 @@ def binned_counts(
         lo, hi, bins = edges[c]
         reach = hi - lo
         at = F.floor((col(c) - F.lit(lo)) * F.lit(float(bins)) / F.lit(reach if reach else 1.0))
-        shown.append(F.least(at, F.lit(bins - 1).cast("bigint")).alias(c))
+        # ``least`` passes over nulls, so a missing value is kept out explicitly.
+        shown.append(F.when(at.isNotNull(), F.least(at, F.lit(bins - 1).cast("bigint"))).alias(c))
     counted = (
         values.select(*shown)
         .unpivot([], [col(c) for c in columns], "column", "bin")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -19,7 +19,7 @@ from ..functions.columns import (
     sample_skewness,
     union_all,
 )
-from ..functions.counts import column_modes, value_counts
+from ..functions.counts import column_modes, top_ranked, value_counts
 from ..functions.order import dense_position, neighbours, with_halo
 from ..functions.quantiles import column_quantiles
 
@@ -153,10 +153,9 @@ def categorical_univariate(
     names = df.sparkSession.createDataFrame(
         list(enumerate(columns)), "position int, column string"
     )
-    modes = column_modes(counts.where(F.col("column").isin(columns)))
+    modes = column_modes(df, counts.where(F.col("column").isin(columns)))
     return (
-        F.broadcast(names)
-        .join(modes, "column", "left")
+        names.join(F.broadcast(modes), "column", "left")
         .select(
             "position",
             "column",
@@ -176,21 +175,11 @@ def top_values(
     top_n: int = 10,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """The most frequent values of each column, ties by value.
-
-    The rank filter becomes a per-task limit before the exchange, so a column with
-    billions of distinct values sends only ``top_n`` rows per task.
-    """
+    """The most frequent values of each column, ties by value."""
     columns = list(classify_columns(df).categorical if columns is None else columns)
     if counts is None:
         counts = value_counts(df, columns)
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return (
-        counts.where(F.col("column").isin(columns))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_n)
-        .select("column", "rank", "value", "count")
-    )
+    return top_ranked(df, counts.where(F.col("column").isin(columns)), top_n)
 
 
 def gap_text(micros: Column) -> Column:
