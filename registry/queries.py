@@ -1023,20 +1023,33 @@ def _fit_and_score(spark, d, split, names, target, candidates, metrics):
     return metrics(trained.predictions)
 
 
-@query("random_forest_regressor")
-def random_forest_regressor(spark, d):
-    names = ["quantity", "discount", "tax"]
-    split = train.random_split(_regression_rows(spark, d), ["pos"])
-    chosen = {"Random Forest": train.REGRESSION["Random Forest"]}
-    return _fit_and_score(spark, d, split, names, "y", chosen, evaluate.regression_metrics)
+def _part_rows(spark, d):
+    """Parts as a regression table: price explained by size, brand and type."""
+    p = data.table(spark, d, "part")
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("double")
+    return p.select(
+        F.col("p_partkey").alias("pos"),
+        F.col("p_size").cast("double").alias("size"),
+        brand.alias("brand"),
+        F.length("p_type").cast("double").alias("type_length"),
+        (F.col("p_retailprice") + 10 * F.col("p_size") + 50 * brand).alias("y"),
+    )
+
+
+_PART_FEATURES = ["size", "brand", "type_length"]
+
+
+def _regressor(name):
+    def run(spark, d):
+        split = train.random_split(_part_rows(spark, d), ["pos"])
+        chosen = {name: train.REGRESSION[name]}
+        return _fit_and_score(spark, d, split, _PART_FEATURES, "y", chosen, evaluate.regression_metrics)
+
+    return run
 
 
-@query("boosted_regressor")
-def boosted_regressor(spark, d):
-    names = ["quantity", "discount", "tax"]
-    split = train.random_split(_regression_rows(spark, d), ["pos"])
-    chosen = {"Gradient Boosting": train.REGRESSION["Gradient Boosting"]}
-    return _fit_and_score(spark, d, split, names, "y", chosen, evaluate.regression_metrics)
+query("random_forest_regressor")(_regressor("Random Forest"))
+query("boosted_regressor")(_regressor("Gradient Boosting"))
 
 
 def _class_rows(spark, d):
@@ -1161,10 +1174,9 @@ def prediction_preview(spark, d):
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    names = ["quantity", "discount", "tax"]
-    rows = train.assemble(_regression_rows(spark, d), names, "y")
+    rows = train.assemble(_part_rows(spark, d), _PART_FEATURES, "y")
     fitted = train.random_forest_regressor(rows)
-    return evaluate.feature_importance(spark, names, train.importances(fitted))
+    return evaluate.feature_importance(spark, _PART_FEATURES, train.importances(fitted))
 
 
 _weights = f"(SELECT p_brand AS feature, {r('avg(p_size) / 100', 4)} AS importance FROM part GROUP BY p_brand)"

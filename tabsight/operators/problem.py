@@ -17,9 +17,8 @@ MAX_CLASS_RATIO = 0.2
 MIN_ROWS = 30
 ID_RATIO = 0.95
 MONOTONIC_RATIO = 0.8
-# A distinct-count sketch (2 % standard error) this far under a ratio settles it.
-SKETCH_ERROR = 0.02
-SKETCH_MARGIN = 0.85
+# A distinct-count sketch (5 % standard error) this far under a ratio settles it.
+SKETCH_MARGIN = 0.7
 # Name parts of identifiers, of columns never guessed as target, and of
 # forecast targets in order of preference.
 ID_WORDS = ["id", "uuid", "guid", "key", "code", "token"]
@@ -53,7 +52,7 @@ def column_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnFacts
     rows = per_column(
         missing_as_null(df),
         list(columns),
-        lambda c: {"n": F.count(col(c)), "d": F.approx_count_distinct(col(c), SKETCH_ERROR)},
+        lambda c: {"n": F.count(col(c)), "d": F.approx_count_distinct(col(c))},
     ).collect()
     return {r["column"]: ColumnFacts(r["n"], r["d"]) for r in rows}
 

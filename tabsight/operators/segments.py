@@ -17,6 +17,11 @@ MIN_GROUP = 5
 MIN_EFFECT = 0.3
 MIN_SKEW = 1.0
 MIN_VALUES = 10
+SEGMENT_SCHEMA = (
+    "type string, split_column string, column string, effect_size double, groups bigint, "
+    "threshold double, skewness double, below_median_count bigint, above_median_count bigint, "
+    "outlier_count bigint, outlier_pct double, lower_bound double, upper_bound double"
+)
 
 
 def categorical_segments(
@@ -172,7 +177,7 @@ def detect_segments(
         )
     )
     if not numbers:
-        return splits
+        return df.sparkSession.createDataFrame([], SEGMENT_SCHEMA)
     skew = skew_split(df, numbers, ndigits=ndigits, known_quartiles=known_quartiles)
     outliers = outlier_segments(df, numbers, ndigits=ndigits, known_quartiles=known_quartiles)
     return union_all(

@@ -6,7 +6,9 @@ import logging
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -34,6 +36,8 @@ LOGISTIC_ITERATIONS = 500
 MAX_K = 8
 # Starts per k. The parallel k-means++ start oversamples its seeds, so a few suffice.
 KMEANS_STARTS = 3
+# Independent fits submitted together; the cluster shares its cores among them.
+FITS_AT_ONCE = 4
 
 
 # --- splits -----------------------------------------------------------------------------
@@ -271,6 +275,7 @@ def kmeans_sweep(
     max_iter: int = 300,
 ) -> Clustered:
     """K-means for k = 2..8, best of several starts each, scored by silhouette."""
+    spark = df.sparkSession
     n = df.limit(max_k + 1).count()
     safe = [f"f{i}" for i in range(len(features))]
     numbers = df.select(
@@ -279,12 +284,18 @@ def kmeans_sweep(
     )
     vectors = VectorAssembler(inputCols=safe, outputCol="features").transform(numbers).persist()
     results, best = [], None
+    def fit(task):
+        k, start = task
+        return KMeans(
+            k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster"
+        ).fit(vectors)
+
+    vectors.count()  # cached once, before several fits ask for it at the same time
+    tasks = [(k, s) for k in range(2, min(max_k + 1, n)) for s in range(starts)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        fitted = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(fit), tasks)))
     for k in range(2, min(max_k + 1, n)):
-        fits = [
-            KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
-            for s in range(starts)
-        ]
-        model = min(fits, key=lambda m: m.summary.trainingCost)
+        model = min((fitted[k, s] for s in range(starts)), key=lambda m: m.summary.trainingCost)
         score = silhouette(model.transform(vectors), safe, "cluster", ndigits=None).first()["silhouette"]
         if score is None:
             continue
@@ -293,7 +304,6 @@ def kmeans_sweep(
             best = (score, k, model)
     if best is None:
         raise ValueError("too few rows to cluster")
-    spark = df.sparkSession
     scores = spark.createDataFrame(results, "k int, model string, silhouette double, cost double")
     centres = spark.createDataFrame(
         [tuple(float(v) for v in c) for c in best[2].clusterCenters()],

@@ -193,8 +193,8 @@ def gap_text(micros: Column) -> Column:
         F.floor(F.pmod(seconds, F.lit(3600)) / 60),
         F.pmod(seconds, F.lit(60)),
     )
-    return F.when(fraction == 0, clock).otherwise(
-        F.concat(clock, F.format_string(".%06d", fraction))
+    return F.when(fraction == 0, clock).when(
+        fraction > 0, F.concat(clock, F.format_string(".%06d", fraction))
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,19 +31,44 @@ DATE_FORMATS = [
 MIN_PARSED_SHARE = 0.5
 
 
+# A value can only match a layout of its own shape: digits as 9, letters as a. Comparing
+# shapes first keeps the parser away from values it would reject one exception at a time.
+_DIGITS, _LETTERS = "0123456789", string.ascii_letters
+
+
+def _shape(value: Column) -> Column:
+    return F.translate(value, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
+
+
+def _layout_shape(layout: str) -> str:
+    plain = layout.replace("'T'", "a").replace("MMM", "aaa")
+    return "".join("9" if ch in "yMdHmsS" else ch for ch in plain)
+
+
 def promote_datetimes(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
-    """Turn text columns into timestamps when every value parses and most are present."""
+    """Turn text columns into timestamps when every value parses and most are present.
+
+    One aggregate pass decides for all columns and layouts.
+    """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
-    # A column whose values contain no digit cannot be a date; one pass decides all.
+    longest = max(len(_layout_shape(f)) for f in formats)
+    shown = df.select(
+        *[col(c).alias(f"v{i}") for i, c in enumerate(strings)],
+        *[
+            F.when(F.length(col(c)) <= longest, _shape(col(c))).alias(f"s{i}")
+            for i, c in enumerate(strings)
+        ],
+    )
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(strings):
-        aggs.append(F.count(col(c)).alias(f"n{i}"))
-        short = F.when(F.length(col(c)) <= 32, col(c))
-        for j, fmt in enumerate(formats):
-            aggs.append(F.count(F.try_to_timestamp(short, F.lit(fmt))).alias(f"p{i}_{j}"))
-    seen = df.agg(*aggs).first()
+    for i in range(len(strings)):
+        aggs.append(F.count(f"v{i}").alias(f"n{i}"))
+        for j, layout in enumerate(formats):
+            parsed = F.try_to_timestamp(F.col(f"v{i}"), F.lit(layout))
+            fits = F.col(f"s{i}") == _layout_shape(layout)
+            aggs.append(F.count(F.when(fits, parsed)).alias(f"p{i}_{j}"))
+    seen = shown.agg(*aggs).first()
     chosen = {}
     for i, c in enumerate(strings):
         n = seen[f"n{i}"]

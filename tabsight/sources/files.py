@@ -32,7 +32,9 @@ KIND_BY_EXTENSION = {
     "orc": "orc",
 }
 
-_CORRUPT = "_malformed_line"
+_SURPLUS = "_surplus_field"
+# Text no field holds, so that the reader itself turns nothing into null.
+_NEVER = "\u0000never\u0000"
 
 
 def detect_source_kind(source: str) -> str:
@@ -122,20 +124,13 @@ def _read_delimited(spark: SparkSession, files: list[str], encoding: str) -> Dat
     options = dict(header=True, sep=sep, encoding=encoding, quote='"', escape='"')
     names = spark.read.csv(files[0], **options).columns
     names = [n.lstrip("﻿") for n in names]
-    fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
+    # One column more than the header: only rows with too many fields fill it. Empty
+    # fields are kept apart from absent ones until then.
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
     rows = spark.read.csv(
-        files,
-        schema=T.StructType(fields),
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=_CORRUPT,
-        enforceSchema=True,
-        **options,
+        files, schema=schema, mode="PERMISSIVE", enforceSchema=True, nullValue=_NEVER, **options
     )
-    # Both short and long rows are flagged; fields of the flagged text tell them apart.
-    unquoted = F.regexp_replace(F.col(_CORRUPT), r'"([^"]|"")*"', "")
-    too_long = F.size(F.split(unquoted, re.escape(sep))) > len(names)
-    rows = rows.where(F.col(_CORRUPT).isNull() | ~too_long)
-    return rows.select(
+    return rows.where(F.col(_SURPLUS).isNull()).select(
         *[F.when(~col(n).isin(NULL_TOKENS), col(n)).alias(n) for n in names]
     )
 
