@@ -220,10 +220,13 @@ def trend(src: str, order: str, numbers, digits: int = 6) -> str:
 
 
 def acf(src: str, order: str, numbers, digits: int | None = 6) -> str:
-    value = "corr(a.value, b.value)" if digits is None else r("corr(a.value, b.value)", digits)
-    return f"""SELECT a."column", k.lag::INTEGER AS lag, {value} AS r
-        FROM ({series(src, order, numbers)}) a, (SELECT unnest(range(1, 61)) AS lag) k, ({series(src, order, numbers)}) b
-        WHERE a."column" = b."column" AND b.pos = a.pos - k.lag GROUP BY 1, 2"""
+    lags = range(1, 61)
+    earlier = ", ".join(f"lag(value, {k}) OVER w AS e{k}" for k in lags)
+    each = ", ".join(f"corr(value, e{k}) AS r{k}" for k in lags)
+    value = "r" if digits is None else r("r", digits)
+    return f"""SELECT "column", substr(name, 2)::INTEGER AS lag, {value} AS r FROM (UNPIVOT (SELECT "column", {each}
+        FROM (SELECT "column", value, {earlier} FROM ({series(src, order, numbers)}) WINDOW w AS (PARTITION BY "column" ORDER BY pos))
+        GROUP BY "column") ON COLUMNS('^r[0-9]+$') INTO NAME name VALUE r)"""
 
 
 def seasonality(src: str, order: str, numbers, digits: int = 6) -> str:

@@ -16,6 +16,7 @@ from ..functions.columns import (
     per_column,
     rounded,
     schema_table,
+    union_all,
 )
 from ..functions.counts import LONG_TEXT_BYTES, column_modes, value_counts
 from ..sources.shaping import limit_rows
@@ -110,7 +111,8 @@ def data_size(df: DataFrame) -> DataFrame:
 def column_summary(df: DataFrame, counts: DataFrame | None = None, ndigits: int = 4) -> DataFrame:
     """One row per column: type, presence, distinct values and the usual extremes.
 
-    ``counts`` may pass value counts that another step already made.
+    ``counts`` may pass value counts of the categorical columns made by another step;
+    of the other columns only the number of distinct values is kept.
     """
     df = missing_as_null(df)
     classes = classify_columns(df)
@@ -129,11 +131,19 @@ def column_summary(df: DataFrame, counts: DataFrame | None = None, ndigits: int
         }
 
     base = per_column(df, columns, stats)
-    if counts is None:
-        counts = value_counts(df, columns)
-    modes = column_modes(df, counts).select(
-        "column", F.col("cardinality").alias("unique"), F.col("mode").alias("_mode")
-    )
+    if counts is None and classes.categorical:
+        counts = value_counts(df, classes.categorical)
+    others = [c for c in columns if c not in classes.categorical]
+    found = []
+    if classes.categorical:
+        modes = column_modes(df, counts)
+        found.append(modes.select("column", F.col("cardinality").alias("unique"), F.col("mode").alias("_mode")))
+    if others:
+        distinct = value_counts(df, others).groupBy("column")
+        found.append(
+            distinct.agg(F.count("*").alias("unique")).withColumn("_mode", F.lit(None).cast("string"))
+        )
+    modes = union_all(found)
     types = schema_table(df).select("column", "dtype", "column_class")
     return (
         base.join(F.broadcast(types), "column")

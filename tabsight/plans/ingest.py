@@ -23,7 +23,7 @@ class Ingested:
     missing: DataFrame
     summary: DataFrame
     preview: DataFrame
-    value_counts: DataFrame
+    value_counts: DataFrame | None
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -71,9 +71,11 @@ def ingest(
         raise ValueError("the source holds no rows")
     df = missing_as_null(promote_datetimes(df))
     classes = classify_columns(df)
-    counts = materialise(
-        value_counts(df, [c for c in df.columns if classes.of(c)]), "value_counts"
-    )
+    # Counts of categories serve the summary and the exploration; numbers and times, whose
+    # distinct values may be as many as the rows, are only counted, never saved.
+    counts = None
+    if classes.categorical:
+        counts = materialise(value_counts(df, classes.categorical), "value_counts")
     return Ingested(
         data=df,
         source_type=kind,
