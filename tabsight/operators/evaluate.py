@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, per_column, rounded
-from ..functions.quantiles import ranked_values
 from ..session import ship_functions_of
 
 ship_functions_of(__name__)
@@ -118,7 +117,7 @@ def silhouette(
     values = df.select(
         F.array(*[col(f).cast("double") for f in features]).alias("x"),
         col(cluster).cast("string").alias("c"),
-    ).withColumn("h", F.xxhash64("x", "c"))
+    )
     sizes = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     spark = df.sparkSession
@@ -128,10 +127,17 @@ def silhouette(
         )
     picked = values
     if total > anchors:
-        share = anchors / total
-        rank = lambda p, n: (anchors - 1, anchors - 1)
-        cut = ranked_values(values.select("h"), ["h"], [share], rank)[()][1][0][0][0]
-        picked = values.where(F.col("h") <= cut).limit(anchors)
+        # About twice the wanted rows pass the filter; each task then keeps the best few.
+        # The row's place is hashed too, so equal rows are drawn one by one.
+        spread = 1 << 40
+        hashed = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "x", "c"), F.lit(spread))
+        share = min(1.0, 2.0 * anchors / total)
+        picked = (
+            values.withColumn("h", hashed)
+            .where(F.col("h") < int(share * spread))
+            .orderBy("h")
+            .limit(anchors)
+        )
     chosen = picked.select("x", "c").collect()
     labels = sorted(sizes)
     code = {c: i for i, c in enumerate(labels)}

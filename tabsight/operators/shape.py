@@ -135,9 +135,9 @@ def normality_test(
 ) -> DataFrame:
     """Shapiro-Wilk on at most ``sample_size`` values per column.
 
-    Rows are taken in the order of a hash of the whole row, so the sample does not depend
-    on partitioning. Hashes above a cut that leaves about twice the wanted rows are
-    filtered out during the scan; only the rest is ranked.
+    Rows are taken in the order of a hash of their place and content, so equal rows are
+    drawn one by one however many there are. Hashes above a cut that leaves about twice
+    the wanted rows are filtered out during the scan; only the rest is ranked.
     """
     columns = list(classify_columns(df).numeric if columns is None else columns)
     if counts is None:
@@ -146,7 +146,9 @@ def normality_test(
         counts = {c: found[f"n{i}"] for i, c in enumerate(columns)}
     spread = 1 << 40
     hashed = df.select(
-        F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(spread)).alias("_hash"),
+        F.pmod(
+            F.xxhash64(F.monotonically_increasing_id(), *[col(c) for c in columns]), F.lit(spread)
+        ).alias("_hash"),
         *[col(c).cast("double").alias(c) for c in columns],
     )
     kept = []

@@ -60,7 +60,7 @@ def explore(
     numbers, categories, dates = classes.numeric, classes.categorical, classes.datetime
 
     def saved(result: DataFrame, label: str) -> DataFrame:
-        return materialise(result.coalesce(1), label)
+        return materialise(result.repartition(1), label)
 
     def empty(name: str) -> DataFrame:
         return spark.createDataFrame([], _EMPTY[name])

@@ -86,7 +86,7 @@ def model(
     else:
         metric, scores = "f1", evaluate.classification_metrics(out.predictions)
     tried = out.predictions.select("model", "candidate").distinct()
-    scores = materialise(scores.join(tried, "model").coalesce(1), "scores")
+    scores = materialise(scores.join(tried, "model").repartition(1), "scores")
     out.best = evaluate.best_model(scores, metric).first()["model"]
     out.scores = evaluate.model_comparison(scores, metric).withColumn(
         "is_best", F.col("model") == out.best
