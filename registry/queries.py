@@ -89,7 +89,7 @@ def tsv_scan(spark, d):
     return load_csv(spark, path)
 
 
-@query("latin1_csv_scan", """SELECT doc_id, lang, source, n_chars FROM documents WHERE text = strip_accents(text) OR true""")
+@query("latin1_csv_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
 def latin1_csv_scan(spark, d):
     docs = data.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.lit("é").alias("mark"))
     path = _written(docs, "latin1", "csv", header=True, encoding="ISO-8859-1")
@@ -1200,10 +1200,7 @@ def ingest_orders(spark, d):
     return ingest(spark, _written(text, "csv", "csv", header=True), source_type="csv").summary
 
 
-@query(
-    "explore_events",
-    ORACLE["insights"].replace("SELECT 'high_variability'", "SELECT 'high_variability'"),
-)
+@query("explore_events", ORACLE["insights"])
 def explore_events(spark, d):
     s = data.signals(spark, d).drop("event_id", "ts")
     return explore(s, ndigits=6).insights

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, per_column, rounded
@@ -204,14 +204,16 @@ def model_comparison(scores: DataFrame, metric: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).orderBy("rank")
 
 
-def feature_importance(df_session, names: Sequence[str], raw: Sequence[float]) -> DataFrame:
+def feature_importance(
+    spark: SparkSession, names: Sequence[str], raw: Sequence[float]
+) -> DataFrame:
     """Importances scaled to the largest, four decimals, most important first."""
     values = [round(abs(float(v)), 4) for v in raw]
     top = max(values, default=0.0) or 1.0
     rows = sorted(
         ((n, round(v / top, 4)) for n, v in zip(names, values)), key=lambda nv: (-nv[1], nv[0])
     )
-    return df_session.createDataFrame(rows, "feature string, importance double")
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 def cluster_spread(centres: DataFrame, features: Sequence[str], ndigits: int | None = 4) -> DataFrame:

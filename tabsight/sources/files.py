@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def files_by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
     verdict = lines.groupBy("file").agg(F.bool_and("ok").alias("ok"))
     out: dict[str, list[str]] = {}
     for r in verdict.orderBy("file").toLocalIterator():
-        out.setdefault("UTF-8" if r["ok"] else "ISO-8859-1", []).append(r["file"])
+        out.setdefault("UTF-8" if r["ok"] else "ISO-8859-1", []).append(unquote(r["file"]))
     return out
 
 

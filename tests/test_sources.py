@@ -83,3 +83,9 @@ def test_filters_and_projection(spark):
 def test_empty_source(spark, tmp_path):
     with pytest.raises(ValueError):
         ingest(spark, spark.range(0))
+
+
+def test_awkward_path(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    assert load_csv(spark, put(folder, "x y.csv", b"k,v\n1,2\n")).first()["v"] == 2
