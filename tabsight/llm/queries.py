@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import preference, urls
+from . import bitpack, packing, preference, urls
 from .common import table
+from .tokens import tokenizer_path
 
 QUERIES = {}
 ORACLE = {}
@@ -46,6 +47,17 @@ def op4(spark, d):
     return preference.preference_segments(preference.swapped_replies(table(spark, d, "conversations")))
 
 
+@query("op3_token_files")
+def op3(spark, d):
+    manifest = bitpack.write_token_files(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return bitpack.read_token_files(manifest)
+
+
+@query("op8_packing")
+def op8(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 # The rules of the contract.
 URL_RULES = [
     ("org/", "allow"),
