@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, preference, urls
+from . import bitpack, packing, preference, quality, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -47,12 +47,24 @@ def op4(spark, d):
     return preference.preference_segments(preference.swapped_replies(table(spark, d, "conversations")))
 
 
+@query("op2_quality_rules")
+def op2(spark, d):
+    got = quality.judge_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return got.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "anomaly")
+
+
 @query("op3_token_files")
 def op3(spark, d):
     manifest = bitpack.write_token_files(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return bitpack.read_token_files(manifest)
 
 
+@query("op7_toxicity")
+def op7(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, table(spark, d, "labels")))
+
+
 @query("op8_packing")
 def op8(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
