@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, preference, quality, toxicity, urls
+from . import bitpack, packing, pii, preference, quality, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -59,6 +59,11 @@ def op3(spark, d):
     return bitpack.read_token_files(manifest)
 
 
+@query("op6_personal_data")
+def op6(spark, d):
+    return pii.span_digest(pii.find_personal_data(table(spark, d, "documents")))
+
+
 @query("op7_toxicity")
 def op7(spark, d):
     docs = table(spark, d, "documents")
