@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, pii, preference, quality, toxicity, urls
+from . import bitpack, packing, pii, preference, quality, simhash, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -47,6 +47,11 @@ def op4(spark, d):
     return preference.preference_segments(preference.swapped_replies(table(spark, d, "conversations")))
 
 
+@query("op1_simhash_near_dedup")
+def op1(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op2_quality_rules")
 def op2(spark, d):
     got = quality.judge_quality(table(spark, d, "documents"), table(spark, d, "labels"))
