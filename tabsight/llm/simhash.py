@@ -132,24 +132,21 @@ def fingerprint_links(reps: DataFrame, radius: int, tree_size: int = TREE_SIZE)
     active = reps.select("fp", "name", F.explode(level).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     shards = []
     while True:
-        children = {m: quarters(m, radius + 1) for m in masks}
-        if all(BITS - m.bit_count() <= 1 for m in masks) or 2 ** (BITS - min(m.bit_count() for m in masks)) <= tree_size:
+        if 2 ** (BITS - min(m.bit_count() for m in masks)) <= tree_size:
             shards.append(active)
             break
-        counts = materialise(active.groupBy("mask", "part").count().where(F.col("count") > tree_size).select("mask", "part"), "hot")
-        if counts.isEmpty():
+        hot = materialise(active.groupBy("mask", "part").count().where(F.col("count") > tree_size).select("mask", "part"), "hot")
+        # The masks of a level are few; only those with a hot shard go on.
+        masks = [r["mask"] % (1 << BITS) for r in hot.select("mask").distinct().collect()]
+        if not masks:
             shards.append(active)
             break
-        shards.append(active.join(counts, ["mask", "part"], "left_anti"))
-        finer = F.create_map(*[x for m, c in children.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(k)) for k in c]))])
-        active = materialise(
-            active.join(counts, ["mask", "part"], "left_semi")
-            .select("fp", "name", F.explode(finer[F.col("mask")]).alias("mask"))
-            .distinct()
-            .withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))),
-            "finer",
-        )
-        masks = sorted({k for c in children.values() for k in c})
+        shards.append(active.join(hot, ["mask", "part"], "left_anti"))
+        finer = [(signed(m), signed(k)) for m in masks for k in quarters(m, radius + 1)]
+        steps = F.broadcast(reps.sparkSession.createDataFrame(finer, "mask long, finer long"))
+        divided = active.join(hot, ["mask", "part"], "left_semi").join(steps, "mask").select("fp", "name", F.col("finer").alias("mask"))
+        active = materialise(divided.distinct().withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))), "finer")
+        masks = sorted({k % (1 << BITS) for _, k in finer})
     rows = shards[0]
     for s in shards[1:]:
         rows = rows.unionByName(s)

@@ -50,7 +50,7 @@ def test_tree_finds_all_within_the_radius():
         assert sorted(tree.add(v, 3)) == [j for j in range(i) if (values[j] ^ v).bit_count() <= 3]
 
 
-@pytest.mark.parametrize("size", [2048, 3])
+@pytest.mark.parametrize("size", [2048, 30])
 def test_components_equal_brute_force(spark, size):
     text = prose(400, 9).split()
     rows = list(ROWS)
