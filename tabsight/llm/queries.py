@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, pii, preference, quality, simhash, toxicity, urls
+from pyspark.sql import functions as F
+
+from . import bitpack, packing, pii, preference, quality, simhash, suffix, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -64,6 +66,12 @@ def op3(spark, d):
     return bitpack.read_token_files(manifest)
 
 
+@query("op5_suffix_dedup")
+def op5(spark, d):
+    got = suffix.remove_repeats(table(spark, d, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_personal_data")
 def op6(spark, d):
     return pii.span_digest(pii.find_personal_data(table(spark, d, "documents")))
