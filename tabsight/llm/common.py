@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,16 @@ def process_cache(name: str) -> dict:
     """
     holder = sys.modules.setdefault("_tabsight_process_cache", types.ModuleType("_tabsight_process_cache"))
     return holder.__dict__.setdefault(name, {})
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size`` bytes in a text column; a longer text is a part
+    of its own, so memory is bounded by the longest text."""
+    text = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, preference, quality, simhash, suffix, toxicity, urls
+from . import bitpack, latent, packing, pii, preference, quality, simhash, suffix, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -88,6 +88,11 @@ def op8(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+@query("op9_benchmark_decontamination")
+def op9(spark, d):
+    return latent.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 # The rules of the contract.
 URL_RULES = [
     ("org/", "allow"),

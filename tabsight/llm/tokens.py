@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from .common import process_cache
+from .common import process_cache, slices
 
 # Bytes of text encoded at once, and distinct words remembered by a worker.
 SLICE_BYTES = 8 << 20
@@ -123,15 +122,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = SLI
     """Slices of batches with a ``text`` column, with ids and where each text's begin."""
     enc = encoder(path)
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        sizes = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(sizes):
-            done = sizes[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(sizes, done + slice_bytes, side="right")))
-            ids, begins = enc.encode(text.slice(at, stop - at))
-            yield batch.slice(at, stop - at), ids, begins
-            at = stop
+        for part in slices(batch, "text", slice_bytes):
+            yield part, *enc.encode(part.column(part.schema.get_field_index("text")))
 
 
 def bits_for(vocabulary: int) -> int:
