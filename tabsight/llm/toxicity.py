@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,24 +89,30 @@ def fit_noisy_or(bags: list[tuple[int, list[list[int]]]], words: int) -> tuple[n
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each sentence, and a checksum of those of the one before."""
     for batch in batches:
-        toxic, words = [], []
+        toxic, words, before = [], [], []
         for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            last = 0
             for s in SENTENCE.findall(text.as_py().lower()):
                 if found := sorted(set(WORD.findall(s))):
                     toxic.append(label)
                     words.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+                    before.append(last)
+                    last = zlib.crc32(" ".join(found).encode())
+        columns = [pa.array(toxic, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(before, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["toxic", "words", "before"])
 
 
 def telling_words(drawn: DataFrame, max_words: int, min_evidence: float) -> list[str]:
     """Words whose distinct sentences are in toxic documents far more often than others.
 
-    A sentence that any clean document holds is clean, and copies of a sentence count
-    once, so the rest of a copied toxic document gains nothing by its copies.
+    Sentences after equal ones count once, and as clean if a clean document holds both:
+    so the rest of a copied toxic document gains nothing by its copies, yet a sentence
+    that stands in different documents counts for each.
     """
-    sentences = drawn.mapInArrow(_sentences, "toxic int, words array<string>")
-    distinct = materialise(sentences.groupBy("words").agg(F.min("toxic").alias("toxic")), "sentences")
+    sentences = drawn.mapInArrow(_sentences, "toxic int, words array<string>, before long")
+    distinct = materialise(sentences.groupBy("words", "before").agg(F.min("toxic").alias("toxic")), "sentences")
     totals = distinct.agg(F.sum("toxic"), F.count("*")).first()
     bad, all_ = totals[0] or 0, totals[1]
     if not bad or bad == all_:
