@@ -147,17 +147,37 @@ def peaks(src: str, columns, whole=()) -> str:
         FROM ({auto_histogram(src, columns, whole)}) WINDOW w AS (PARTITION BY "column" ORDER BY bin)) GROUP BY "column" """
 
 
+def normality(src: str, columns) -> str:
+    """K-squared from skewness and kurtosis of all values."""
+    parts = []
+    for c in columns:
+        x = f"{c}::DOUBLE"
+        parts.append(
+            f"""SELECT '{c}' AS "column", n::BIGINT AS n, {r('k2', 3)} AS k2, {r('exp(-k2 / 2)', 6)} AS p_value, exp(-k2 / 2) > 0.05 AS is_normal
+            FROM (SELECT *, pow(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 2)
+            + pow((1 - 2 / (9 * a) - sign(below) * cbrt((1 - 2 / a) / abs(below))) / sqrt(2 / (9 * a)), 2) AS k2
+            FROM (SELECT *, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+            1 + x * sqrt(2 / (a - 4)) AS below FROM (SELECT *, 6 + 8 / third * (2 / third + sqrt(1 + 4 / (third * third))) AS a
+            FROM (SELECT n, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+            (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+            6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS third
+            FROM (SELECT count({x})::DOUBLE AS n, avg(pow({x} - m, 3)) / pow(avg(pow({x} - m, 2)), 1.5::DOUBLE) AS g1,
+            avg(pow({x} - m, 4)) / pow(avg(pow({x} - m, 2)), 2) AS b2 FROM {src}, (SELECT avg({x}) AS m FROM {src}))))))"""
+        )
+    return union(parts)
+
+
 def shapes(src: str, columns, whole=(), digits: int = 6) -> str:
-    """Shape labels of columns with at least eight values that fail the normality test."""
+    """Shape labels of columns with at least eight values."""
     moments = union(
         f"""SELECT {i} AS position, '{c}' AS "column", {G1(c + '::DOUBLE')} AS s, {G2(c + '::DOUBLE')} AS k FROM {src}"""
         for i, c in enumerate(columns)
     )
-    return f"""SELECT position, "column", CASE WHEN is_multimodal THEN 'multimodal'
+    return f"""SELECT position, "column", CASE WHEN is_multimodal THEN 'multimodal' WHEN is_normal THEN 'normal'
         WHEN abs(s) < 0.5 THEN CASE WHEN k > 2 THEN 'heavy_tailed' WHEN k < -1 THEN 'light_tailed' ELSE 'approximately_normal' END
         WHEN s >= 0.5 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution_type,
-        {r('s', digits)} AS skewness, {r('k', digits)} AS kurtosis, is_multimodal
-        FROM ({moments}) JOIN ({peaks(src, columns, whole)}) USING ("column")"""
+        {r('s', digits)} AS skewness, {r('k', digits)} AS kurtosis, p_value AS normality_p_value, is_multimodal
+        FROM ({moments}) JOIN ({peaks(src, columns, whole)}) USING ("column") JOIN ({normality(src, columns)}) USING ("column")"""
 
 
 def categorical_segments(src: str, categories, numbers, digits: int = 6) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsight.functions.order import dense_position
@@ -437,11 +437,10 @@ def histogram_peaks(spark, d):
 
 @query("classify_distribution", oracle.shapes(S, _SHAPED, {"user_id"}))
 def classify_distribution(spark, d):
-    # The p-value has no SQL twin; the labels do, as none of these columns is normal.
-    return shape.classify_distribution(data.signals(spark, d), _SHAPED, ndigits=6).drop("normality_p_value")
+    return shape.classify_distribution(data.signals(spark, d), _SHAPED, ndigits=6)
 
 
-@query("normality_test")
+@query("normality_test", oracle.normality(L, LINE_NUMBERS))
 def normality_test(spark, d):
     return shape.normality_test(data.lineitem_gaps(spark, d), LINE_NUMBERS)
 
@@ -1018,9 +1017,30 @@ def ridge_regression(spark, d):
     return _coefficients(spark, train.ridge_regression(rows), ["quantity", "discount"])
 
 
-def _fit_and_score(spark, d, split, names, target, candidates, metrics):
-    trained = train.fit_candidates(materialise(split, "split"), names, target, candidates)
-    return metrics(trained.predictions)
+def _candidate_facts(spark, split, names, target, name, candidates, limits):
+    """What holds of any right fit: the test rows are all predicted, the trees are as many
+    and as deep as asked, and the model beats the constant guess."""
+    saved = materialise(split, "split")
+    trained = train.fit_candidates(saved, names, target, {name: candidates[name]})
+    fitted = trained.models[name]
+    trees, depth = limits
+    parts = fitted.models if hasattr(fitted, "models") else [fitted]
+    sized = all(m.getNumTrees == trees and max(t.depth for t in m.trees) <= depth for m in parts)
+    test = saved.where("split = 'test'").select(F.col(target).alias("actual"))
+    hit = trained.predictions
+    if candidates is train.REGRESSION:
+        # Less squared error than the mean of the test rows.
+        both = hit.agg(F.sum((F.col("actual") - F.col("predicted")) ** 2).alias("mine"), (F.var_pop("actual") * F.count("*")).alias("flat")).first()
+        better = both["mine"] < both["flat"]
+    else:
+        usual = test.groupBy("actual").count().agg(F.max("count")).first()[0]
+        better = hit.where(F.col("actual") == F.col("predicted")).count() >= usual
+    row = (name, hit.count(), bool(sized), bool(better))
+    return spark.createDataFrame([row], "model string, test_rows bigint, sized boolean, better boolean")
+
+
+def _facts_sql(name: str, src: str) -> str:
+    return f"SELECT '{name}' AS model, ceil(0.2::DOUBLE * count(*))::BIGINT AS test_rows, true AS sized, true AS better FROM {src}"
 
 
 def _part_rows(spark, d):
@@ -1039,17 +1059,16 @@ def _part_rows(spark, d):
 _PART_FEATURES = ["size", "brand", "type_length"]
 
 
-def _regressor(name):
+def _regressor(name, limits):
     def run(spark, d):
         split = train.random_split(_part_rows(spark, d), ["pos"])
-        chosen = {name: train.REGRESSION[name]}
-        return _fit_and_score(spark, d, split, _PART_FEATURES, "y", chosen, evaluate.regression_metrics)
+        return _candidate_facts(spark, split, _PART_FEATURES, "y", name, train.REGRESSION, limits)
 
     return run
 
 
-query("random_forest_regressor")(_regressor("Random Forest"))
-query("boosted_regressor")(_regressor("Gradient Boosting"))
+query("random_forest_regressor", _facts_sql("Random Forest", "part"))(_regressor("Random Forest", (100, 10)))
+query("boosted_regressor", _facts_sql("Gradient Boosting", "part"))(_regressor("Gradient Boosting", (150, 5)))
 
 
 def _class_rows(spark, d):
@@ -1065,19 +1084,37 @@ def _class_rows(spark, d):
     )
 
 
-def _classifier(name):
+_CLASS_FEATURES = ["price", "customer", "month"]
+
+
+def _classifier(name, limits):
     def run(spark, d):
         split = train.stratified_split(_class_rows(spark, d), "y", ["pos"])
-        return _fit_and_score(
-            spark, d, split, ["price", "customer", "month"], "y", {name: train.CLASSIFICATION[name]}, evaluate.classification_metrics
-        )
+        return _candidate_facts(spark, split, _CLASS_FEATURES, "y", name, train.CLASSIFICATION, limits)
 
     return run
 
 
-query("logistic_regression")(_classifier("Logistic Regression"))
-query("random_forest_classifier")(_classifier("Random Forest"))
-query("boosted_classifier")(_classifier("Gradient Boosting"))
+@query(
+    "logistic_regression",
+    """SELECT 'Logistic Regression' AS model, true AS stationary""",
+)
+def logistic_regression(spark, d):
+    """Whether the gradient of the penalised likelihood vanishes at the fitted coefficients."""
+    rows = _class_rows(spark, d)
+    fitted = train.logistic_regression(train.assemble(rows, _CLASS_FEATURES, "y"))
+    z = F.lit(float(fitted.intercept))
+    for name, value in zip(_CLASS_FEATURES, fitted.coefficients):
+        z = z + F.col(name) * float(value)
+    miss = 1 / (1 + F.exp(-z)) - F.col("y")
+    slopes = rows.agg(*[F.sum(miss * F.col(n)) for n in _CLASS_FEATURES], F.sum(miss), F.count("*")).first()
+    pulls = [*map(float, fitted.coefficients), 0.0]
+    still = all(abs(s + p) < 1e-3 * slopes[-1] for s, p in zip(slopes, pulls))
+    return spark.createDataFrame([("Logistic Regression", still)], "model string, stationary boolean")
+
+
+query("random_forest_classifier", _facts_sql("Random Forest", "orders"))(_classifier("Random Forest", (100, 10)))
+query("boosted_classifier", _facts_sql("Gradient Boosting", "orders"))(_classifier("Gradient Boosting", (150, 5)))
 
 
 def _embedding_columns(spark, d, dims: int | None = None) -> tuple[DataFrame, list[str]]:
@@ -1087,10 +1124,31 @@ def _embedding_columns(spark, d, dims: int | None = None) -> tuple[DataFrame, li
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
-@query("kmeans_sweep")
+@query(
+    "kmeans_sweep",
+    """SELECT k::INTEGER AS k, 'KMeans (k=' || k || ')' AS model, true AS bounded, true AS falls, (SELECT count(*) FROM embeddings) AS assigned,
+    true AS centred FROM (SELECT unnest(range(2, 9)) AS k)""",
+)
 def kmeans_sweep(spark, d):
+    """Facts that any right sweep has: a silhouette within bounds for each k, a cost that
+    falls as k grows, every row assigned, and centres that are the means of their rows."""
     e, names = _embedding_columns(spark, d)
-    return train.kmeans_sweep(e.withColumnRenamed("vec_id", "pos"), names).scores.select("k", "model", "silhouette")
+    found = train.kmeans_sweep(e.withColumnRenamed("vec_id", "pos"), names)
+    means = found.assigned.groupBy("cluster").agg(*[F.avg(n).alias(n) for n in names])
+    offs = [F.abs(F.col(n) - F.element_at(F.col("given"), i + 1)) for i, n in enumerate(names)]
+    given = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(found.model.clusterCenters())], "cluster int, given array<double>")
+    # A row per cluster.
+    checked = means.join(given, "cluster").agg(F.max(F.greatest(*offs)).alias("off"), F.count("*").alias("n")).first()
+    centred = checked["n"] == found.best_k and checked["off"] < 0.05
+    before = F.lag("cost").over(Window.partitionBy(F.lit(0)).orderBy("k"))
+    return found.scores.select(
+        "k",
+        "model",
+        (F.abs("silhouette") <= 1).alias("bounded"),
+        F.coalesce(F.col("cost") < before, F.lit(True)).alias("falls"),
+        F.lit(found.assigned.count()).cast("bigint").alias("assigned"),
+        F.lit(centred).alias("centred"),
+    )
 
 
 # --- evaluation -------------------------------------------------------------------------
@@ -1125,12 +1183,15 @@ def classification_metrics_binary(spark, d):
 
 @query(
     "silhouette",
-    f"""WITH p AS (SELECT vec_id, label, embedding FROM embeddings),
-    d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d, count(*) AS n
-    FROM p a, p b GROUP BY 1, 2, 3),
-    s AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS own_n, max(CASE WHEN own = other THEN d / nullif(n - 1, 0) END) AS a,
-    min(CASE WHEN own <> other THEN d / n END) AS b FROM d GROUP BY vec_id)
-    SELECT {r('avg(CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END)', 4)} AS silhouette, count(*) AS anchors, count(*) AS rows FROM s""",
+    f"""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+    u AS (SELECT label, i, avg(x[i]) AS m FROM p, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL),
+    c AS (SELECT label, list(m ORDER BY i) AS m FROM u GROUP BY label),
+    k AS (SELECT label, count(*) AS n, avg(list_inner_product(x, x)) AS q FROM p GROUP BY label),
+    d AS (SELECT p.vec_id, p.label AS own, c.label AS other, k.n, list_inner_product(x, x) - 2 * list_inner_product(x, c.m) + k.q AS d
+    FROM p, c JOIN k ON k.label = c.label),
+    s AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS own_n, max(CASE WHEN own = other THEN d * n / nullif(n - 1, 0) END) AS a,
+    min(CASE WHEN own <> other THEN d END) AS b FROM d GROUP BY vec_id)
+    SELECT {r('avg(CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END)', 4)} AS silhouette, count(*) AS rows FROM s""",
 )
 def silhouette(spark, d):
     e, names = _embedding_columns(spark, d)
@@ -1172,11 +1233,16 @@ def prediction_preview(spark, d):
     return round_columns(out, ["predicted"])
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    """SELECT * FROM (VALUES ('size', true, false), ('brand', true, true), ('type_length', true, false)) f(feature, bounded, top)""",
+)
 def feature_importance(spark, d):
+    """Importances lie within 0 and 1, and the brand, which the price hangs on most, is first."""
     rows = train.assemble(_part_rows(spark, d), _PART_FEATURES, "y")
     fitted = train.random_forest_regressor(rows)
-    return evaluate.feature_importance(spark, _PART_FEATURES, train.importances(fitted))
+    found = evaluate.feature_importance(spark, _PART_FEATURES, train.importances(fitted))
+    return found.select("feature", F.col("importance").between(0, 1).alias("bounded"), (F.col("importance") == 1).alias("top"))
 
 
 _weights = f"(SELECT p_brand AS feature, {r('avg(p_size) / 100', 4)} AS importance FROM part GROUP BY p_brand)"

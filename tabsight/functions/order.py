@@ -53,7 +53,8 @@ def dense_position(
     if weight:
         offsets.append(F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_woffset"))
     starts = tasks.select("_task", *[col(w) for w in within], "_start", *offsets)
-    out = saved.join(F.broadcast(starts), ["_task", *within]).withColumn(
+    # Without groups there is a row per sort task; groups may be many.
+    out = saved.join(starts if within else F.broadcast(starts), ["_task", *within]).withColumn(
         name, F.col("_offset") + F.col("_row") - F.col("_start")
     )
     keep = [col(c) for c in df.columns] + [F.col(name)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import classify_columns, col, per_column, rounded, union_all
 from ..functions.quantiles import exact_quantiles
 from .bivariate import correlation_matrix, grouped_values
-from .shape import binned_counts
+from .shape import binned_counts, finite_frame
 from .univariate import QUARTILES, categorical_univariate, numeric_frame, quartiles, top_values, whiskers
 
 HISTOGRAM_BINS = 30
@@ -26,7 +26,7 @@ def _lit(v) -> Column:
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     rows = per_column(
-        numeric_frame(df, columns), columns, lambda c: {"lo": F.min(col(c)), "hi": F.max(col(c))}
+        finite_frame(df, columns), columns, lambda c: {"lo": F.min(col(c)), "hi": F.max(col(c))}
     ).collect()
     return {r["column"]: (r["lo"], r["hi"]) for r in rows if r["lo"] is not None}
 
@@ -112,7 +112,9 @@ def bar(df: DataFrame, columns: Sequence[str] | None = None, n: int = BAR_VALUES
 
 def scatter(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFrame:
     """All complete points of a pair, counted on a two-dimensional grid."""
-    ranges = _ranges(df.where(col(x).isNotNull() & col(y).isNotNull()), [x, y])
+    # A point is drawn if both values are present and finite; only those span the grid.
+    points = finite_frame(df, [x, y]).where(col(x).isNotNull() & col(y).isNotNull())
+    ranges = _ranges(points, [x, y])
     schema = "x_bin bigint, y_bin bigint, x_low double, y_low double, count bigint"
     if len(ranges) < 2:
         return df.sparkSession.createDataFrame([], schema)
@@ -128,8 +130,7 @@ def scatter(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFram
         return _lit(lo) + F.col(name) * _lit((hi - lo) / bins)
 
     grid = (
-        numeric_frame(df, [x, y])
-        .select(at(x).alias("x_bin"), at(y).alias("y_bin"))
+        points.select(at(x).alias("x_bin"), at(y).alias("y_bin"))
         .where("x_bin IS NOT NULL AND y_bin IS NOT NULL")
         .groupBy("x_bin", "y_bin")
         .agg(F.count("*").alias("count"))

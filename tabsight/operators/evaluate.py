@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, per_column, rounded
-from ..session import ship_functions_of
 
-ship_functions_of(__name__)
-
-ANCHORS = 2000
 PREVIEW_ROWS = 200
 TOP_DRIVERS = 5
 
@@ -51,7 +48,13 @@ def classification_metrics(
     Up to two labels among the actuals: scores of the ``positive`` label. More: the mean
     over all labels that were seen or predicted. A score without cases is 0.
     """
-    label = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    types = {f.name: f.dataType for f in predictions.schema.fields}
+
+    def label(c: str):
+        # 1.0 and 1 are the same label only where labels are numbers.
+        shown = F.col(c).cast("string")
+        return F.regexp_replace(shown, r"\.0$", "") if isinstance(types[c], T.NumericType) else shown
+
     cells = (
         predictions.select("model", label("actual").alias("a"), label("predicted").alias("p"))
         .groupBy("model", "a", "p")
@@ -101,95 +104,31 @@ def classification_metrics(
 
 
 def silhouette(
-    df: DataFrame,
-    features: Sequence[str],
-    cluster: str,
-    anchors: int = ANCHORS,
-    ndigits: int | None = 4,
+    df: DataFrame, features: Sequence[str], cluster: str, ndigits: int | None = 4
 ) -> DataFrame:
-    """Mean Euclidean silhouette: ``(silhouette, anchors, rows)``.
+    """Mean silhouette by squared Euclidean distance: ``(silhouette, rows)``.
 
-    The silhouette of a row needs its distance to all rows, so the full score is
-    quadratic. It is computed exactly for ``anchors`` rows picked by hash, each against
-    the whole table, and averaged; with at most ``anchors`` rows that is the exact score.
-    Anchors are a bounded broadcast; each task sends one number per anchor and cluster.
+    The mean squared distance of a row to a cluster follows from the cluster's count, sum
+    and sum of squares, so every row is scored exactly in linear time; clusters, one entry
+    each, are taken to be few. Rows without cluster are left out; null for fewer than two.
     """
-    values = df.select(
-        F.array(*[col(f).cast("double") for f in features]).alias("x"),
-        col(cluster).cast("string").alias("c"),
-    )
-    sizes = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    spark = df.sparkSession
-    if len(sizes) < 2:
-        return spark.createDataFrame(
-            [(None, 0, total)], "silhouette double, anchors bigint, rows bigint"
-        )
-    picked = values
-    if total > anchors:
-        # About twice the wanted rows pass the filter; each task then keeps the best few.
-        # The row's place is hashed too, so equal rows are drawn one by one.
-        spread = 1 << 40
-        hashed = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "x", "c"), F.lit(spread))
-        share = min(1.0, 2.0 * anchors / total)
-        picked = (
-            values.withColumn("h", hashed)
-            .where(F.col("h") < int(share * spread))
-            .orderBy("h")
-            .limit(anchors)
-        )
-    chosen = picked.select("x", "c").collect()
-    labels = sorted(sizes)
-    code = {c: i for i, c in enumerate(labels)}
-    shared = spark.sparkContext.broadcast(
-        (np.array([r["x"] for r in chosen], dtype=float), code)
-    )
-
-    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, codes = shared.value
-        sums = np.zeros((len(points), len(codes)))
-        norms = (points**2).sum(axis=1)
-        seen = False
-        for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.iloc[start : start + 2048]
-                rows = np.stack(part["x"].to_numpy())
-                square = norms[:, None] + (rows**2).sum(axis=1)[None, :] - 2 * points @ rows.T
-                apart = np.sqrt(np.maximum(square, 0.0))
-                member = part["c"].map(codes).to_numpy()
-                for k in np.unique(member):
-                    sums[:, k] += apart[:, member == k].sum(axis=1)
-                seen = True
-        if seen:
-            at, k = np.nonzero(sums > 0)
-            yield pd.DataFrame({"anchor": at, "k": k, "d": sums[at, k]})
-
-    partial = values.select("x", "c").mapInPandas(distances, "anchor bigint, k bigint, d double")
-    own = spark.createDataFrame(
-        [(i, code[r["c"]]) for i, r in enumerate(chosen)], "anchor bigint, own bigint"
-    )
-    every = spark.createDataFrame([(code[c], n) for c, n in sizes.items()], "k bigint, n bigint")
-    grid = own.select("anchor", "own", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(len(labels))])).alias("k"))
-    mean = (
-        grid.join(F.broadcast(every), "k")
-        .join(partial.groupBy("anchor", "k").agg(F.sum("d").alias("d")), ["anchor", "k"], "left")
-        .withColumn("d", F.coalesce("d", F.lit(0.0)))
-    )
-    is_own = F.col("k") == F.col("own")
-    per_anchor = mean.groupBy("anchor").agg(
-        F.max(F.when(is_own, F.col("n"))).alias("own_n"),
-        F.max(F.when(is_own, F.try_divide(F.col("d"), (F.col("n") - 1).cast("double")))).alias("a"),
-        F.min(F.when(~is_own, F.col("d") / F.col("n"))).alias("b"),
-    )
-    score = F.when(
-        F.col("own_n") > 1,
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)),
-    ).otherwise(0.0)
-    return per_anchor.agg(
-        rounded(F.avg(score), ndigits).alias("silhouette"),
-        F.count("*").alias("anchors"),
-        F.lit(total).cast("bigint").alias("rows"),
+    placed = df.where(col(cluster).isNotNull())
+    safe = [f"f{i}" for i in range(len(features))]
+    rows = placed.select(
+        *[col(f).cast("double").alias(s) for f, s in zip(features, safe)], col(cluster).alias("c")
     )
+    schema = "silhouette double, rows bigint"
+    if rows.select("c").distinct().limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([(None, rows.count())], schema)
+    if isinstance(rows.schema["c"].dataType, T.NumericType):
+        coded = rows.withColumn("prediction", F.col("c").cast("double"))
+    else:
+        named = rows.withColumn("c", F.col("c").cast("string"))
+        coded = StringIndexer(inputCol="c", outputCol="prediction").fit(named).transform(named)
+    vectors = VectorAssembler(inputCols=safe, outputCol="features").transform(coded)
+    score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
+    shown = score if ndigits is None else round(score, ndigits)
+    return df.sparkSession.createDataFrame([(shown, rows.count())], schema)
 
 
 def best_model(scores: DataFrame, metric: str) -> DataFrame:

@@ -136,13 +136,24 @@ def one_hot(
     max_distinct: int = ONE_HOT_MAX,
     log: list | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """0/1 columns per value but the first of each low-cardinality column."""
+    """0/1 columns per value but the first of each low-cardinality column.
+
+    A name that another column has already gets the next free number as suffix.
+    """
     columns = list(classify_columns(df).categorical if columns is None else columns)
-    made, kept = {}, {}
+    made, kept, taken = {}, {}, set(df.columns)
     for c, values in small_domains(df, columns, max_distinct).items():
-        kept[c] = [f"{c}_{v}" for v in list(values)[1:]]
+        kept[c] = []
         for v in list(values)[1:]:
-            made[f"{c}_{v}"] = F.when(text(c) == F.lit(v), 1.0).otherwise(0.0)
+            name, k = f"{c}_{v}", 1
+            while name in taken:
+                k += 1
+                name = f"{c}_{v}_{k}"
+            if k > 1:
+                _note(log, "one_hot_renamed", c, name)
+            taken.add(name)
+            kept[c].append(name)
+            made[name] = F.when(text(c) == F.lit(v), 1.0).otherwise(0.0)
         _note(log, "one_hot", c, len(kept[c]))
     return df.withColumns(made).drop(*[f"`{c}`" if "." in c else c for c in kept]), list(made)
 

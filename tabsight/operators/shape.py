@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +17,12 @@ from ..functions.columns import (
     sample_kurtosis,
     sample_skewness,
 )
-from ..session import ship_functions_of
 from .univariate import numeric_frame, quartiles
 
-ship_functions_of(__name__)
-
-NORMALITY_SAMPLE = 5000
 NORMAL_P = 0.05
 MIN_VALUES = 8
+# Stands for the bin of infinite values while they are counted.
+ENDLESS = -1
 
 
 def auto_bins(
@@ -35,13 +30,13 @@ def auto_bins(
 ) -> dict[str, tuple[float, float, int]]:
     """Lowest value, highest value and number of equal bins per (non-empty) column.
 
-    The bin width is the smaller of Freedman-Diaconis and Sturges, where the former is
+    Infinite values are left out. The bin width is the smaller of Freedman-Diaconis and Sturges, where the former is
     at least half the square-root rule; whole-number columns have no bin below one.
     """
     q = known_quartiles or quartiles(df, columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = per_column(
-        numeric_frame(df, columns),
+        finite_frame(df, columns),
         columns,
         lambda c: {"n": F.count(col(c)), "lo": F.min(col(c)), "hi": F.max(col(c))},
     ).collect()
@@ -54,7 +49,8 @@ def auto_bins(
         reach = r["hi"] - r["lo"]
         sturges = reach / (math.log2(n) + 1.0)
         freedman = max(2.0 * (q3 - q1) * n ** (-1.0 / 3.0), reach / math.sqrt(n) / 2)
-        width = min(freedman, sturges)
+        # Infinite quartiles say nothing of the finite values' spread.
+        width = min(freedman, sturges) if math.isfinite(freedman) else sturges
         if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and 0 < width < 1:
             width = 1.0
         # Bins and their counts are at most 2 sqrt(n) rows per column.
@@ -68,19 +64,23 @@ def binned_counts(
     """``(column, bin, count)`` with empty bins, for given ``(low, high, bins)``.
 
     A value on an inner edge belongs to the bin it opens; the top value to the last bin.
+    Infinite values are counted in a row of their own, without bin, if there are any.
     """
     spark = df.sparkSession
     columns = list(edges)
     if not columns:
         return spark.createDataFrame([], "column string, bin bigint, low double, high double, count bigint")
     values = numeric_frame(df, columns)
+    endless = float("inf")
     shown = []
     for c in columns:
         lo, hi, bins = edges[c]
         reach = hi - lo
-        at = F.floor((col(c) - F.lit(lo)) * F.lit(float(bins)) / F.lit(reach if reach else 1.0))
+        finite = F.when(F.abs(col(c)) < endless, col(c))
+        at = F.floor((finite - F.lit(lo)) * F.lit(float(bins)) / F.lit(reach if reach else 1.0))
         # ``least`` passes over nulls, so a missing value is kept out explicitly.
-        shown.append(F.when(at.isNotNull(), F.least(at, F.lit(bins - 1).cast("bigint"))).alias(c))
+        inside = F.when(at.isNotNull(), F.least(at, F.lit(bins - 1).cast("bigint")))
+        shown.append(F.when(F.abs(col(c)) == endless, F.lit(ENDLESS).cast("bigint")).otherwise(inside).alias(c))
     counted = (
         values.select(*shown)
         .unpivot([], [col(c) for c in columns], "column", "bin")
@@ -101,8 +101,14 @@ def binned_counts(
         (F.col("_lo") + F.col("bin") * width).alias("low"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"),
     )
-    return every.join(counted, ["column", "bin"], "left").select(
-        "column", "bin", "low", "high", F.coalesce("count", F.lit(0).cast("bigint")).alias("count")
+    nothing = F.lit(None).cast("double")
+    apart = counted.where(F.col("bin") == ENDLESS).select(
+        "column", F.lit(None).cast("bigint").alias("bin"), nothing.alias("low"), nothing.alias("high"), "count"
+    )
+    return (
+        every.join(counted, ["column", "bin"], "left")
+        .select("column", "bin", "low", "high", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+        .unionByName(apart)
     )
 
 
@@ -120,123 +126,51 @@ def histogram_peaks(histogram: DataFrame) -> DataFrame:
     c = F.col("count")
     peak = (c > F.lag("count").over(order)) & (c > F.lead("count").over(order))
     return (
-        histogram.withColumn("_peak", F.coalesce(peak, F.lit(False)))
+        histogram.where(F.col("bin").isNotNull()).withColumn("_peak", F.coalesce(peak, F.lit(False)))
         .groupBy("column")
         .agg(F.count("*").alias("bins"), F.count_if("_peak").alias("peaks"))
         .withColumn("is_multimodal", F.col("peaks") >= 2)
     )
 
 
-def normality_test(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    sample_size: int = NORMALITY_SAMPLE,
-    counts: dict[str, int] | None = None,
-) -> DataFrame:
-    """Shapiro-Wilk on at most ``sample_size`` values per column.
+def finite_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The numeric columns as doubles; NaN and infinities turned into null."""
+    return numeric_frame(df, columns).select(*[F.when(F.abs(col(c)) < float("inf"), col(c)).alias(c) for c in columns])
+
 
-    Rows are taken in the order of a hash of their place and content, so equal rows are
-    drawn one by one however many there are. Hashes above a cut that leaves about twice
-    the wanted rows are filtered out during the scan; only the rest is ranked.
+def normality_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """K-squared test of all finite values of each column, from one scan: the sum of
+    the squared normal scores of skewness (D'Agostino) and kurtosis (Anscombe and Glynn),
+    whose upper tail is exp(-K2 / 2). Null for fewer than eight values or without variance.
     """
     columns = list(classify_columns(df).numeric if columns is None else columns)
-    if counts is None:
-        row = numeric_frame(df, columns).agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-        found = row.first()
-        counts = {c: found[f"n{i}"] for i, c in enumerate(columns)}
-    spread = 1 << 40
-    hashed = df.select(
-        F.pmod(
-            F.xxhash64(F.monotonically_increasing_id(), *[col(c) for c in columns]), F.lit(spread)
-        ).alias("_hash"),
-        *[col(c).cast("double").alias(c) for c in columns],
-    )
-    kept = []
-    for c in columns:
-        share = 1.0 if counts[c] <= 2 * sample_size else 2.0 * sample_size / counts[c]
-        kept.append(F.when(F.col("_hash") < int(share * spread), col(c)).alias(c))
-    order = Window.partitionBy("column").orderBy("_hash", "value")
-    sample = (
-        hashed.select("_hash", *kept)
-        .unpivot(["_hash"], [col(c) for c in columns], "column", "value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= sample_size)
-        .select("column", "value")
+    moments = per_column(
+        finite_frame(df, columns),
+        columns,
+        lambda c: {"n": F.count(col(c)), "g1": F.skewness(col(c)), "g2": F.kurtosis(col(c)), "lo": F.min(col(c)), "hi": F.max(col(c))},
     )
-    return sample.groupBy("column").applyInPandas(
-        _shapiro_wilk, "column string, sample_size bigint, w double, p_value double"
-    ).select(
-        "column",
-        "sample_size",
-        F.round("w", 6).alias("w"),
-        F.round("p_value", 6).alias("p_value"),
-        (F.col("p_value") > NORMAL_P).alias("is_normal"),
+    n = F.col("n").cast("double")
+    # Skewness: a Johnson curve of the symmetric kind.
+    y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    z1 = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
+    # Kurtosis: a cube root of its standardised value.
+    centre = 3 * (n - 1) / (n + 1)
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (F.col("g2") + 3 - centre) / F.sqrt(spread)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    below = 1 + x * F.sqrt(2 / (a - 4))
+    z2 = (1 - 2 / (9 * a) - F.signum(below) * F.cbrt(F.try_divide(1 - 2 / a, F.abs(below)))) / F.sqrt(2 / (9 * a))
+    fits = (F.col("n") >= MIN_VALUES) & (F.col("lo") < F.col("hi"))
+    tested = moments.withColumn("k2", F.when(fits, z1 * z1 + z2 * z2))
+    p = F.exp(-F.col("k2") / 2)
+    return tested.select(
+        "column", "n", F.round("k2", 3).alias("k2"), F.round(p, 6).alias("p_value"), (p > NORMAL_P).alias("is_normal")
     )
 
 
-def _poly(coefficients, x: float) -> float:
-    """Polynomial with the constant term first."""
-    return sum(c * x**k for k, c in enumerate(coefficients))
-
-
-# Royston's published polynomial approximations (1995), constant first.
-_WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
-_WEIGHT_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-_SMALL_GAMMA = (-2.273, 0.459)
-_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
-_SMALL_LOGSD = (1.3822, -0.77857, 0.062767, -0.0020322)
-_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
-_LARGE_LOGSD = (-0.4803, -0.082676, 0.0030302)
-
-
-def _shapiro_wilk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """W and its p-value for one bounded sample."""
-    x = np.sort(pdf["value"].to_numpy(dtype=float))
-    n = len(x)
-    w = p = float("nan")
-    if n >= 3 and x[-1] > x[0]:
-        inverse = NormalDist().inv_cdf
-        m = np.array([inverse((k - 0.375) / (n + 0.25)) for k in range(1, n + 1)])
-        ssq = float(m @ m)
-        a = m / math.sqrt(ssq)
-        if n == 3:
-            a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-        else:
-            u = 1.0 / math.sqrt(n)
-            last = a[-1] + _poly(_WEIGHT_LAST, u)
-            ends, fixed = 1, 2 * last**2
-            taken = 2 * m[-1] ** 2
-            if n > 5:
-                nxt = a[-2] + _poly(_WEIGHT_NEXT, u)
-                ends, fixed = 2, fixed + 2 * nxt**2
-                taken += 2 * m[-2] ** 2
-            a = m / math.sqrt((ssq - taken) / (1.0 - fixed))
-            a[-1], a[0] = last, -last
-            if ends == 2:
-                a[-2], a[1] = nxt, -nxt
-        centred = x - x.mean()
-        w = min(float(a @ x) ** 2 / float(centred @ centred), 1.0)
-        if n == 3:
-            p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-            p = max(p, 0.0)
-        elif w >= 1.0:
-            p = 1.0
-        else:
-            y, log_n = math.log(1.0 - w), math.log(n)
-            if n <= 11:
-                gamma = _poly(_SMALL_GAMMA, n)
-                if y >= gamma:
-                    z = float("inf")
-                else:
-                    y = -math.log(gamma - y)
-                    z = (y - _poly(_SMALL_MEAN, n)) / math.exp(_poly(_SMALL_LOGSD, n))
-            else:
-                z = (y - _poly(_LARGE_MEAN, log_n)) / math.exp(_poly(_LARGE_LOGSD, log_n))
-            p = 0.5 * math.erfc(z / math.sqrt(2.0))
-    return pd.DataFrame({"column": [pdf["column"].iloc[0]], "sample_size": [n], "w": [w], "p_value": [p]})
-
-
 def classify_distribution(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -247,7 +181,7 @@ def classify_distribution(
     columns = list(classify_columns(df).numeric if columns is None else columns)
     q = known_quartiles or quartiles(df, columns)
     moments = per_column(
-        numeric_frame(df, columns),
+        finite_frame(df, columns),
         columns,
         lambda c: {
             "count": F.count(col(c)),
@@ -256,9 +190,7 @@ def classify_distribution(
         },
     )
     peaks = histogram_peaks(auto_histogram(df, columns, q)).select("column", "is_multimodal")
-    normal = normality_test(df, columns, counts={c: q[c][0] for c in columns}).select(
-        "column", "p_value", "is_normal"
-    )
+    normal = normality_test(df, columns).select("column", "p_value", "is_normal")
     multimodal = F.coalesce("is_multimodal", F.lit(False))
     label = (
         F.when(F.col("count") < MIN_VALUES, "insufficient_data")
@@ -283,7 +215,7 @@ def classify_distribution(
             label.alias("distribution_type"),
             rounded(F.when(enough, F.col("skew")), ndigits).alias("skewness"),
             rounded(F.when(enough, F.col("kurt")), ndigits).alias("kurtosis"),
-            F.when(enough, F.nanvl(F.col("p_value"), F.lit(None).cast("double"))).alias("normality_p_value"),
+            F.when(enough, F.col("p_value")).alias("normality_p_value"),
             F.when(enough, multimodal).alias("is_multimodal"),
         )
     )

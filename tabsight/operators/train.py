@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, union_all
+from ..functions.order import dense_position
 from ..functions.quantiles import ranked_values
+from ..session import materialise
 from .evaluate import silhouette
 
 log = logging.getLogger(__name__)
 
+# Shares, seeds and settings of the candidates.
 TEST_SHARE = 0.2
 SEED = 42
 RIDGE_ALPHA = 1.0
@@ -34,8 +37,7 @@ FOREST = dict(numTrees=100, maxDepth=10)
 BOOSTING = dict(maxIter=150, maxDepth=5, stepSize=0.1)
 LOGISTIC_ITERATIONS = 500
 MAX_K = 8
-# Starts per k. The parallel k-means++ start oversamples its seeds, so a few suffice.
-KMEANS_STARTS = 3
+KMEANS_STARTS = 10
 # Independent fits submitted together; the cluster shares its cores among them.
 FITS_AT_ONCE = 4
 
@@ -75,15 +77,24 @@ def chronological_split(df: DataFrame, pos: str = "pos", test_share: float = TES
     return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
-def allocate(sizes: dict, wanted: int) -> dict:
-    """Share ``wanted`` places out in proportion to ``sizes`` by largest remainder."""
-    total = sum(sizes.values())
-    exact = {k: n * wanted / total for k, n in sizes.items()}
-    out = {k: math.floor(v) for k, v in exact.items()}
-    order = sorted(sizes, key=lambda k: (out[k] - exact[k], str(k)))
-    for k in order[: wanted - sum(out.values())]:
-        out[k] += 1
-    return out
+def class_shares(df: DataFrame, label: str, test_share: float) -> DataFrame:
+    """``(_k, _n, _test)``: per class, its rows and how many of them test.
+
+    Training places go to the classes in proportion by largest remainder (equal ones by
+    label). Classes stay in a table of their own, however many there are.
+    """
+    sizes = df.groupBy(col(label).alias("_k")).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0]
+    wanted = total - math.ceil(test_share * total)
+    exact = F.col("_n") * wanted / F.lit(total)
+    shared = materialise(
+        sizes.withColumns({"_floor": F.floor(exact), "_behind": F.floor(exact) - exact, "_text": F.col("_k").cast("string")}),
+        "classes",
+    )
+    left = wanted - shared.agg(F.sum("_floor")).first()[0]
+    placed = dense_position(shared, ["_behind", "_text"], name="_place")
+    train = F.col("_floor") + (F.col("_place") < left).cast("bigint")
+    return placed.select("_k", "_n", (F.col("_n") - train).alias("_test"))
 
 
 def stratified_split(
@@ -95,31 +106,23 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` keeping class shares: per class, the rows with the lowest hash test.
 
-    Falls back to ``random_split`` with a single class or a class of one row. Class cuts
-    are order statistics per class, so a class with a third of the rows is no problem.
+    Falls back to ``random_split`` with a single class or a class of one row. Only labels
+    and hashes are sorted, over the whole table at once, so a class with a third of the
+    rows is spread over tasks; its cut is the hash at its last test place.
     """
-    sizes = {r["k"]: r["n"] for r in df.groupBy(col(label).alias("k")).agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2 or min(sizes.values()) < 2:
+    bounds = df.groupBy(col(label).alias("k")).agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"), F.min("n").alias("least")).first()
+    if bounds["classes"] < 2 or bounds["least"] < 2:
         return random_split(df, key, test_share, seed)
-    total = sum(sizes.values())
-    train = allocate(sizes, total - math.ceil(test_share * total))
-    test = {k: sizes[k] - train[k] for k in sizes}
-    share = math.ceil(test_share * total) / total
-    hashed = df.select(col(label).alias("k"), _hash(key, seed).alias("h"))
-    # Rounding gives a class one row more or fewer than its share, so each class asks for
-    # both neighbours of its rank and the driver takes the one it was allotted.
-    around = lambda p, n: (max(math.floor(p * n) - 1, 0), min(math.floor(p * n), n - 1))
-    found = ranked_values(hashed, ["h"], [share], around, keys=["k"])
-    cuts = []
-    for (k,), (_, values) in found.items():
-        if test[k]:
-            lower, upper = values[0][0]
-            cuts.append((k, lower if test[k] - 1 == around(share, sizes[k])[0] else upper))
-    kind = df.select(col(label)).schema[0].dataType.simpleString()
-    small = df.sparkSession.createDataFrame(cuts, f"_k {kind}, _cut bigint")
-    joined = df.join(F.broadcast(small), col(label).eqNullSafe(F.col("_k")), "left")
+    shares = materialise(class_shares(df, label, test_share), "shares")
+    # A null label is a class too; the position restarts for each label, so it gets a name.
+    named = F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("null"))
+    hashed = df.select(named.alias("_c"), _hash(key, seed).alias("_h"))
+    placed = dense_position(hashed, ["_h"], within=["_c"], name="_place")
+    of = shares.select(F.coalesce(F.concat(F.lit("="), F.col("_k").cast("string")), F.lit("null")).alias("_c"), "_test")
+    cuts = placed.join(of, "_c").where(F.col("_place") == F.col("_test") - 1).select("_c", F.col("_h").alias("_cut"))
+    joined = df.withColumn("_c", named).join(cuts, "_c", "left")
     is_test = F.coalesce(_hash(key, seed) <= F.col("_cut"), F.lit(False))
-    return joined.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_k", "_cut")
+    return joined.withColumn("split", F.when(is_test, "test").otherwise("train")).select(*[col(c) for c in df.columns], "split")
 
 
 # --- candidates -------------------------------------------------------------------------
@@ -234,26 +237,28 @@ def fit_candidates(
     train = rows.where("split = 'train'").persist()
     test = rows.where("split = 'test'")
     models, frames, failed = {}, [], {}
-    for i, (name, fit) in enumerate(candidates.items()):
-        try:
-            models[name] = fit(train, **(settings or {}).get(name, {}))
-        except Exception as error:  # noqa: BLE001 - any failing candidate is skipped
-            log.warning("candidate %s failed: %s", name, error)
-            failed[name] = str(error)
-            continue
-        frames.append(
-            models[name]
-            .transform(test)
-            .select(
-                F.lit(name).alias("model"),
-                F.lit(i).alias("candidate"),
-                "pos",
-                F.col("label").alias("actual"),
-                F.col("prediction").alias("predicted"),
+    try:
+        for i, (name, fit) in enumerate(candidates.items()):
+            try:
+                models[name] = fit(train, **(settings or {}).get(name, {}))
+            except Exception as error:  # noqa: BLE001 - any failing candidate is skipped
+                log.warning("candidate %s failed: %s", name, error)
+                failed[name] = str(error)
+                continue
+            frames.append(
+                models[name]
+                .transform(test)
+                .select(
+                    F.lit(name).alias("model"),
+                    F.lit(i).alias("candidate"),
+                    "pos",
+                    F.col("label").alias("actual"),
+                    F.col("prediction").alias("predicted"),
+                )
             )
-        )
-    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
-    train.unpersist()
+        sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    finally:
+        train.unpersist()
     return Trained(models, union_all(frames) if frames else None, sizes, failed)
 
 
@@ -290,18 +295,21 @@ def kmeans_sweep(
             k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster"
         ).fit(vectors)
 
-    vectors.count()  # cached once, before several fits ask for it at the same time
-    tasks = [(k, s) for k in range(2, min(max_k + 1, n)) for s in range(starts)]
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        fitted = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(fit), tasks)))
-    for k in range(2, min(max_k + 1, n)):
-        model = min((fitted[k, s] for s in range(starts)), key=lambda m: m.summary.trainingCost)
-        score = silhouette(model.transform(vectors), safe, "cluster", ndigits=None).first()["silhouette"]
-        if score is None:
-            continue
-        results.append((k, f"KMeans (k={k})", float(score), float(model.summary.trainingCost)))
-        if best is None or score > best[0]:
-            best = (score, k, model)
+    try:
+        vectors.count()  # cached once, before several fits ask for it at the same time
+        tasks = [(k, s) for k in range(2, min(max_k + 1, n)) for s in range(starts)]
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            fitted = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(fit), tasks)))
+        for k in range(2, min(max_k + 1, n)):
+            model = min((fitted[k, s] for s in range(starts)), key=lambda m: m.summary.trainingCost)
+            score = silhouette(model.transform(vectors), safe, "cluster", ndigits=None).first()["silhouette"]
+            if score is None:
+                continue
+            results.append((k, f"KMeans (k={k})", float(score), float(model.summary.trainingCost)))
+            if best is None or score > best[0]:
+                best = (score, k, model)
+    finally:
+        vectors.unpersist()
     if best is None:
         raise ValueError("too few rows to cluster")
     scores = spark.createDataFrame(results, "k int, model string, silhouette double, cost double")
@@ -312,7 +320,6 @@ def kmeans_sweep(
     assigned = best[2].transform(vectors).drop("features")
     for f, s in zip(features, safe):
         assigned = assigned.withColumnRenamed(s, f)
-    vectors.unpersist()
     return Clustered(
         scores.withColumn("silhouette", F.round("silhouette", 4)), best[1], best[2], assigned, centres
     )

@@ -49,6 +49,11 @@ def _literal(v: float | None) -> Column:
     return F.lit(v).cast("double")
 
 
+def _number(name: str) -> Column:
+    """Null instead of NaN: what infinite values leave undefined."""
+    return F.nanvl(F.col(name), F.lit(None).cast("double"))
+
+
 def numeric_univariate(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -95,11 +100,11 @@ def numeric_univariate(
         "position",
         "column",
         F.when(known, F.col("count")).alias("count"),
-        rounded(F.col("mean"), ndigits).alias("mean"),
+        rounded(_number("mean"), ndigits).alias("mean"),
         rounded(F.col("median"), ndigits).alias("median"),
-        rounded(F.col("std"), ndigits).alias("std"),
-        rounded(F.col("skewness"), ndigits).alias("skewness"),
-        rounded(F.col("kurtosis"), ndigits).alias("kurtosis"),
+        rounded(_number("std"), ndigits).alias("std"),
+        rounded(_number("skewness"), ndigits).alias("skewness"),
+        rounded(_number("kurtosis"), ndigits).alias("kurtosis"),
         "min",
         "max",
         rounded(F.col("q1"), ndigits).alias("q1"),
@@ -109,7 +114,7 @@ def numeric_univariate(
         rounded(F.col("upper"), ndigits).alias("outlier_upper_bound"),
         F.when(known, F.col("outlier_count")).alias("outlier_count"),
         rounded(
-            F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean"))), ndigits
+            F.when(F.col("mean") != 0, F.try_divide(_number("std"), _number("mean"))), ndigits
         ).alias("cv"),
         F.when(~known, F.lit(ALL_NULL)).alias("error"),
     )

@@ -13,9 +13,6 @@ from .explore import Exploration, explore
 from .ingest import Ingested, ingest
 from .model import Modeling, model
 
-# A table of charts stops growing here.
-MAX_SPLIT_CHARTS = 35
-
 
 @dataclass
 class Analysis:
@@ -56,7 +53,6 @@ def chart_tables(df: DataFrame, explored: Exploration, modeled: Modeling) -> dic
         (r["split_column"], r["column"])
         for r in explored.segments.where("type = 'categorical_split'")
         .orderBy("effect_size", ascending=False)
-        .limit(MAX_SPLIT_CHARTS)
         .collect()
     ]
     if splits:

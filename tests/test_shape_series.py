@@ -1,39 +1,75 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.operators import charts, series, shape
+from tabsight.operators import charts, series, shape, univariate
 
 
 def frame(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "v double")
 
 
-def test_shapiro_textbook_example(spark):
-    # Published example: weights of eleven men, W = 0.79.
-    df = frame(spark, [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    row = shape.normality_test(df).first()
-    assert row["w"] == pytest.approx(0.7888, abs=2e-4) and row["p_value"] == pytest.approx(0.0067, abs=2e-4)
+def k_squared(x):
+    """The published formulas, term by term."""
+    x = np.asarray(x, float)
+    n = len(x)
+    d = x - x.mean()
+    g1 = (d**3).mean() / (d**2).mean() ** 1.5
+    b2 = (d**4).mean() / (d**2).mean() ** 2
+    y = g1 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + math.sqrt(2 * (beta - 1))
+    alpha = math.sqrt(2 / (w2 - 1))
+    z1 = math.log(y / alpha + math.sqrt((y / alpha) ** 2 + 1)) / math.sqrt(math.log(math.sqrt(w2)))
+    e, v = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    s = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / s * (2 / s + math.sqrt(1 + 4 / s**2))
+    t = 1 + (b2 - e) / math.sqrt(v) * math.sqrt(2 / (a - 4))
+    z2 = (1 - 2 / (9 * a) - math.copysign(abs((1 - 2 / a) / t) ** (1 / 3), t)) / math.sqrt(2 / (9 * a))
+    return z1**2 + z2**2
+
+
+@pytest.mark.parametrize("n", [8, 11, 30, 5001])
+def test_k_squared_equals_the_formulas(spark, n):
+    x = np.random.default_rng(n).gamma(3, size=n)
+    row = shape.normality_test(frame(spark, x)).first()
+    assert row["n"] == n and row["k2"] == pytest.approx(k_squared(x), abs=1e-3)
+    assert row["p_value"] == pytest.approx(math.exp(-k_squared(x) / 2), abs=1e-6)
 
 
 def test_normal_and_exponential(spark):
     rng = np.random.default_rng(8)
     assert shape.normality_test(frame(spark, rng.normal(size=2000))).first()["is_normal"]
     assert not shape.normality_test(frame(spark, rng.exponential(size=2000))).first()["is_normal"]
+    for values in (range(7), [3.0] * 20):
+        assert shape.normality_test(frame(spark, values)).first()["p_value"] is None
 
 
-def test_sample_is_bounded_and_stable(spark):
+def test_all_values_count_on_any_partitioning(spark):
     df = spark.range(40_000).select(F.sin("id").alias("v"))
-    a = shape.normality_test(df).first()
-    assert a["sample_size"] == 5000 and a == shape.normality_test(df).first()
-
-
-def test_equal_rows_are_sampled_one_by_one(spark):
-    # A third of the rows are equal; a sample by content alone would take all or none.
-    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.randn(3)).alias("v"))
-    row = shape.normality_test(df).first()
-    assert row["sample_size"] == 5000 and 0.8 < row["w"] < 0.99
+    got = {tuple(shape.normality_test(df.repartition(k)).first()) for k in (1, 4, 7)}
+    assert len(got) == 1 and got.pop()[1] == 40_000
+
+
+def test_infinities_are_counted_apart(spark):
+    df = frame(spark, [1.0, 2.0, 3.0, 4.0, 2.5, 3.5, 2.2, 3.1, float("inf"), float("-inf"), float("nan")])
+    rows = shape.auto_histogram(df).collect()
+    assert sum(r["count"] for r in rows if r["bin"] is not None) == 8
+    assert [r["count"] for r in rows if r["bin"] is None] == [2]
+    label = shape.classify_distribution(df).first()
+    assert label["skewness"] is not None and label["distribution_type"] != "insufficient_data"
+    assert charts.histogram(df, ["v"]).where("bin IS NOT NULL").agg(F.sum("count")).first()[0] == 8
+    stats = univariate.numeric_univariate(df).first()
+    assert stats["std"] is None and stats["skewness"] is None and stats["max"] == float("inf")
+
+
+def test_scatter_spans_drawn_points(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (float("nan"), 900.0), (3.0, float("inf"))], "x double, y double")
+    rows = charts.scatter(df, "x", "y").collect()
+    assert sorted((r["x_bin"], r["y_bin"]) for r in rows) == [(0, 0), (39, 39)]
 
 
 @pytest.mark.parametrize("kind", ["normal", "bimodal", "whole", "constant"])

@@ -30,7 +30,11 @@ def test_stratified_split(spark):
     )
     got = {(r["y"], r["split"]): r["count"] for r in train.stratified_split(df, "y", ["id"]).groupBy("y", "split").count().collect()}
     sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
-    fit = train.allocate(sizes, 5003 - math.ceil(0.2 * 5003))
+    wanted = 5003 - math.ceil(0.2 * 5003)
+    exact = {k: n * wanted / 5003 for k, n in sizes.items()}
+    fit = {k: math.floor(v) for k, v in exact.items()}
+    for k in sorted(sizes, key=lambda k: (fit[k] - exact[k], k))[: wanted - sum(fit.values())]:
+        fit[k] += 1
     assert {k: got.get((k, "train"), 0) for k in sizes} == fit
     assert sum(v for (_, s), v in got.items() if s == "test") == 1001
 
@@ -109,7 +113,7 @@ def test_classification_metrics_edges(spark):
 
 
 def brute_silhouette(x, c):
-    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    apart = ((x[:, None] - x[None]) ** 2).sum(-1)
     scores = []
     for i in range(len(x)):
         own = c == c[i]
@@ -127,13 +131,28 @@ def test_silhouette(spark):
     x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(5, 1, (40, 2)), [[30.0, 30.0]]])
     c = np.array([0] * 60 + [1] * 40 + [2])
     df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, c)], "x double, y double, cluster int").repartition(4)
-    got = evaluate.silhouette(df, ["x", "y"], "cluster", ndigits=None).first()
-    assert got["silhouette"] == pytest.approx(brute_silhouette(x, c)) and got["anchors"] == 101
-    part = evaluate.silhouette(df, ["x", "y"], "cluster", anchors=50).first()
-    assert part["anchors"] == 50 and abs(part["silhouette"] - got["silhouette"]) < 0.2
+    got = {tuple(evaluate.silhouette(df.repartition(k), ["x", "y"], "cluster", ndigits=9).first()) for k in (1, 4, 7)}
+    assert len(got) == 1 and got.pop() == (pytest.approx(brute_silhouette(x, c)), 101)
+    named = df.withColumn("cluster", F.concat(F.lit("c"), "cluster"))
+    assert evaluate.silhouette(named, ["x", "y"], "cluster", ndigits=None).first()[0] == pytest.approx(brute_silhouette(x, c))
     assert evaluate.silhouette(df.where("cluster = 0"), ["x", "y"], "cluster").first()["silhouette"] is None
 
 
+def test_labels_are_numbers_only_where_they_are(spark):
+    rows = [("m", "v1", "v1.0"), ("m", "v1.0", "v1"), ("m", "v1", "v1"), ("m", "v2", "v2")]
+    text = spark.createDataFrame(rows, "model string, actual string, predicted string")
+    assert evaluate.classification_metrics(text).first()["accuracy"] == 0.5
+    mixed = spark.createDataFrame([("m", 1, 1.0), ("m", 0, 0.0)], "model string, actual int, predicted double")
+    assert evaluate.classification_metrics(mixed).first()["accuracy"] == 1.0
+
+
+def test_many_classes_are_split_by_share(spark):
+    df = spark.range(180_000).select("id", (F.col("id") % 60_000).alias("y"))
+    split = train.stratified_split(df, "y", ["id"])
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 144_000, "test": 36_000}
+    assert split.groupBy("y").agg(F.count_if(F.col("split") == "test").alias("t")).agg(F.max("t")).first()[0] == 1
+
+
 def test_kmeans_sweep(spark):
     rng = np.random.default_rng(25)
     rows = [(float(rng.normal(k * 10)), float(rng.normal(k * 10))) for k in range(3) for _ in range(30)]
