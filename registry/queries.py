@@ -67,20 +67,39 @@ def _written(df: DataFrame, label: str, fmt: str, **options) -> str:
     return path
 
 
-@query(
-    "csv_scan",
-    f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM {O}",
-)
+@query("csv_scan", f"SELECT * FROM {O}")
 def csv_scan(spark, d):
     # Gaps are written as "missing" words, which the reader must recognise.
-    o = data.orders_gaps(spark, d).select(
-        "o_orderkey",
-        "o_custkey",
-        "o_orderstatus",
-        F.coalesce(F.col("o_totalprice").cast("string"), F.lit("N/A")).alias("o_totalprice"),
-        F.coalesce("o_orderpriority", F.lit("null")).alias("o_orderpriority"),
+    o = data.orders_gaps(spark, d)
+    text = o.withColumns(
+        {
+            "o_totalprice": F.coalesce(F.col("o_totalprice").cast("string"), F.lit("N/A")),
+            "o_orderpriority": F.coalesce("o_orderpriority", F.lit("null")),
+            "o_orderdate": F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("NaN")),
+        }
     )
-    return load_csv(spark, _written(o, "csv", "csv", header=True))
+    got = load_csv(spark, _written(text, "csv", "csv", header=True))
+    return promote_datetimes(got).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query(
+    "csv_quoted_breaks",
+    "SELECT conv_id, turn, role, text FROM conversations",
+)
+def csv_quoted_breaks(spark, d):
+    """Texts with line breaks and quotes, in quoted fields."""
+    path = _written(data.table(spark, d, "conversations"), "breaks", "csv", header=True, quoteAll=True, escape='"')
+    return load_csv(spark, path)
+
+
+@query("csv_mixed_headers", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_mixed_headers(spark, d):
+    """Files of one folder whose headers list the columns in another order."""
+    c = data.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = scratch_path(spark, "headers")
+    for name, part, order in (("a", 0, ["c_custkey", "c_name", "c_acctbal"]), ("b", 1, ["c_acctbal", "c_custkey", "c_name"])):
+        c.where(F.col("c_custkey") % 2 == part).select(*order).write.csv(f"{path}/{name}", header=True)
+    return load_csv(spark, f"{path}/*")
 
 
 @query("tsv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -89,12 +108,16 @@ def tsv_scan(spark, d):
     return load_csv(spark, path)
 
 
-@query("latin1_csv_scan", "SELECT doc_id, lang, source, n_chars FROM documents")
+# Latin-1 text: what it cannot hold, and the breaks that the CSV twin does not tell apart.
+_LATIN = "regexp_replace(text, '[^\\x{20}-\\x{7E}\\x{A1}-\\x{FF}]', '?', 'g')"
+
+
+@query("latin1_csv_scan", f"SELECT doc_id, nullif(trim({_LATIN}), '') AS text, lang, source, n_chars FROM documents")
 def latin1_csv_scan(spark, d):
-    docs = data.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.lit("é").alias("mark"))
-    path = _written(docs, "latin1", "csv", header=True, encoding="ISO-8859-1")
-    out = load_csv(spark, path)
-    return out.where(F.col("mark") == "é").drop("mark")
+    plain = F.regexp_replace("text", "[^\\x20-\\x7E\\xA1-\\xFF]", "?")
+    docs = data.table(spark, d, "documents").withColumn("text", F.trim(plain))
+    path = _written(docs, "latin1", "csv", header=True, encoding="ISO-8859-1", quoteAll=True, escape='"')
+    return load_csv(spark, path)
 
 
 @query(
@@ -102,7 +125,7 @@ def latin1_csv_scan(spark, d):
     "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100",
 )
 def csv_projection_filter_limit(spark, d):
-    path = _written(data.table(spark, d, "orders").drop("o_orderdate"), "csv", "csv", header=True)
+    path = _written(data.table(spark, d, "orders"), "csv", "csv", header=True)
     return load_csv(
         spark,
         path,
@@ -126,6 +149,26 @@ def json_records(spark, d):
     )
 
 
+@query("json_lines_detected", "SELECT event_id, user_id, event_type, value, props FROM events")
+def json_lines_detected(spark, d):
+    """Line-delimited records, without being told."""
+    e = data.table(spark, d, "events").drop("ts")
+    return load_json(spark, _written(e, "json", "json"))
+
+
+@query("json_document_wrapped", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def json_document_wrapped(spark, d):
+    """One document a file, over several lines, that wraps its records."""
+    s = data.table(spark, d, "supplier")
+    record = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    rows = s.select((F.col("s_suppkey") % 8).alias("file"), record.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",\n").alias("r"))
+    document = rows.select("file", F.concat(F.lit('{"status": "ok",\n"results": [\n'), "r", F.lit("\n]}")).alias("value"))
+    path = scratch_path(spark, "documents")
+    # A file for each document: one row a partition.
+    document.repartition(8, "file").sortWithinPartitions("file").write.partitionBy("file").text(path)
+    return load_json(spark, f"{path}/*")
+
+
 @query("json_wrapped_records", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
 def json_wrapped_records(spark, d):
     c = data.table(spark, d, "customer")
@@ -184,6 +227,19 @@ def date_promotion(spark, d):
     return promote_datetimes(text).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query(
+    "date_layouts",
+    """SELECT o_orderkey, o_orderdate AS zulu, o_orderdate AS millis, date_trunc('minute', o_orderdate) AS minutes,
+    date_trunc('day', o_orderdate) AS us, date_trunc('day', o_orderdate) AS words FROM orders""",
+)
+def date_layouts(spark, d):
+    o = data.table(spark, d, "orders")
+    at = F.col("o_orderdate")
+    layouts = {"zulu": "yyyy-MM-dd'T'HH:mm:ss'Z'", "millis": "yyyy-MM-dd HH:mm:ss.SSS", "minutes": "yyyy-MM-dd HH:mm", "us": "M/d/yyyy", "words": "MMM d, yyyy"}
+    text = o.select("o_orderkey", *[F.date_format(at, f).alias(c) for c, f in layouts.items()])
+    return promote_datetimes(text).withColumns({c: F.col(c).cast("timestamp_ntz") for c in layouts})
+
+
 # --- profile ----------------------------------------------------------------------------
 
 _METADATA_COLUMNS = ["l_quantity", "l_returnflag", "l_linestatus", "l_linenumber", "l_discount"]

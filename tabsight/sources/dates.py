@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, per_column
 
 # Date layouts tried in this order; a column takes the first that parses
 # all of its values.
@@ -27,6 +28,18 @@ DATE_FORMATS = [
     "yyyyMMdd",
     "dd MMM yyyy",
     "MMM dd, yyyy",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm",
+    "d MMM yyyy",
+    "MMM d, yyyy",
 ]
 MIN_PARSED_SHARE = 0.5
 
@@ -40,40 +53,43 @@ def _shape(value: Column) -> Column:
     return F.translate(value, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
 
 
+# The shapes of a layout's parts; a longer part stands before its prefixes.
+_PARTS = {
+    "yyyy": "9{4}", "MMM": "a{3}", "MM": "9{2}", "dd": "9{2}", "HH": "9{2}", "mm": "9{2}", "ss": "9{2}",
+    "SSSSSS": "9{6}", "SSS": "9{3}", "XXX": "(?:a|[+-]9{2}:9{2})", "'T'": "a", "M": "9{1,2}", "d": "9{1,2}", "H": "9{1,2}",
+}
+
+
 def _layout_shape(layout: str) -> str:
-    plain = layout.replace("'T'", "a").replace("MMM", "aaa")
-    return "".join("9" if ch in "yMdHmsS" else ch for ch in plain)
+    """A pattern of the shapes that a layout can have."""
+    part = re.compile("|".join(sorted(_PARTS, key=len, reverse=True)) + "|.")
+    return "^" + "".join(_PARTS.get(p, re.escape(p)) for p in part.findall(layout)) + "$"
 
 
 def promote_datetimes(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
     """Turn text columns into timestamps when every value parses and most are present.
 
-    One aggregate pass decides for all columns and layouts.
+    Each value gives the set of layouts that read it, as bits of a number; the layouts
+    of a column are those in all of its sets, one aggregate a column.
     """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
-    longest = max(len(_layout_shape(f)) for f in formats)
-    shown = df.select(
-        *[col(c).alias(f"v{i}") for i, c in enumerate(strings)],
-        *[
-            F.when(F.length(col(c)) <= longest, _shape(col(c))).alias(f"s{i}")
-            for i, c in enumerate(strings)
-        ],
-    )
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(strings)):
-        aggs.append(F.count(f"v{i}").alias(f"n{i}"))
+    longest = max(map(len, formats)) + len("+00:00")
+
+    def stats(c: str) -> dict[str, Column]:
+        shape = F.when(F.length(col(c)) <= longest, _shape(col(c)))
+        bits = F.lit(0).cast("bigint")
         for j, layout in enumerate(formats):
-            parsed = F.try_to_timestamp(F.col(f"v{i}"), F.lit(layout))
-            fits = F.col(f"s{i}") == _layout_shape(layout)
-            aggs.append(F.count(F.when(fits, parsed)).alias(f"p{i}_{j}"))
-    seen = shown.agg(*aggs).first()
+            reads = shape.rlike(_layout_shape(layout)) & F.try_to_timestamp(col(c), F.lit(layout)).isNotNull()
+            bits = bits + F.when(reads, F.lit(1 << j).cast("bigint")).otherwise(0)
+        return {"rows": F.count(F.lit(1)), "n": F.count(col(c)), "layouts": F.bit_and(F.when(col(c).isNotNull(), bits))}
+
+    seen = per_column(df.select(*[col(c) for c in strings]), strings, stats).collect()
     chosen = {}
-    for i, c in enumerate(strings):
-        n = seen[f"n{i}"]
-        if n and n / seen["rows"] > MIN_PARSED_SHARE:
-            chosen[c] = next((f for j, f in enumerate(formats) if seen[f"p{i}_{j}"] == n), None)
+    for r in seen:
+        if r["n"] and r["n"] / r["rows"] > MIN_PARSED_SHARE:
+            chosen[r["column"]] = next((f for j, f in enumerate(formats) if r["layouts"] >> j & 1), None)
     return df.select(
         *[
             F.try_to_timestamp(col(c), F.lit(chosen[c])).alias(c) if chosen.get(c) else col(c)

@@ -89,3 +89,45 @@ def test_awkward_path(spark, tmp_path):
     folder = tmp_path / "a b%20c"
     folder.mkdir()
     assert load_csv(spark, put(folder, "x y.csv", b"k,v\n1,2\n")).first()["v"] == 2
+
+
+def test_breaks_in_quotes_and_other_header_orders(spark, tmp_path):
+    path = put(tmp_path, "b.csv", b'k,t,n\n1,"line one\nline two",5\n2,"say ""hi""",6\n')
+    assert sorted(tuple(r) for r in load_csv(spark, path).collect()) == [(1, "line one\nline two", 5), (2, 'say "hi"', 6)]
+    folder = tmp_path / "heads"
+    folder.mkdir()
+    put(folder, "a.csv", b"a,b\n1,x\n")
+    put(folder, "b.csv", b"b,a\ny,2\n")
+    put(folder, "c.csv", b"b;a\nz;3\n")
+    got = load_csv(spark, str(folder)).select("a", "b").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_lines_are_told_from_documents(spark, tmp_path):
+    assert load_json(spark, put(tmp_path, "l.json", b'{"a":1}\n{"a":2}\n\n{"a":3}\n')).count() == 3
+    folder = tmp_path / "both"
+    folder.mkdir()
+    put(folder, "l.json", b'{"a":1}\n{"a":2}\n')
+    put(folder, "d.json", b'[\n {"a":3},\n {"a":4}\n]\n')
+    assert sorted(r["a"] for r in load_json(spark, str(folder)).collect()) == [1, 2, 3, 4]
+
+
+def test_sources_that_are_refused():
+    for source in ("a.xlsx", "dir/b.XLS", "x.db", "y.sqlite", "https://example.com/a.csv"):
+        with pytest.raises(ValueError):
+            detect_source_kind(source)
+    assert detect_source_kind("a/b.jsonl") == detect_source_kind("b.ndjson") == "json"
+
+
+@pytest.mark.parametrize(
+    "value", ["2024-01-02T03:04:05Z", "2024-01-02T05:04:05+02:00", "2024-01-02T03:04:05.000Z", "2024-01-02 03:04:05.000"]
+)
+def test_everyday_layouts(spark, value):
+    got = promote_datetimes(spark.createDataFrame([(value,)], "t string"))
+    assert got.select(F.date_format("t", "yyyy-MM-dd HH:mm:ss")).first()[0] == "2024-01-02 03:04:05"
+
+
+@pytest.mark.parametrize("values", [["1/2/2024", "12/25/2024"], ["Jan 5, 2024", "Feb 15, 2024"], ["5 Jan 2024", "15 Feb 2024"], ["2024-01-01 10:30"]])
+def test_short_layouts(spark, values):
+    got = promote_datetimes(spark.createDataFrame([(v,) for v in values], "t string"))
+    assert got.dtypes == [("t", "timestamp")] and got.where("t IS NULL").count() == 0
