@@ -601,22 +601,25 @@ def insights(spark, d):
     return rules.insights(i["numeric"], i["categorical"], i["strong"], i["shapes"], i["found"])
 
 
-_rec = "SELECT {p} AS priority, '{t}' AS chart_type, {x} AS x, {y} AS y"
+_rec = "SELECT {p} AS priority, {r} AS rule, {o} AS place, '{t}' AS chart_type, {x} AS x, {y} AS y"
+_place = "list_position([" + ", ".join(f"'{c}'" for c in SIGNAL_NUMBERS) + """], "column")"""
 
 
 @query(
     "chart_recommendations",
-    oracle.union(
+    "SELECT row_number() OVER (ORDER BY priority, rule, place, x, y)::INTEGER AS ordinal, priority, chart_type, x, y FROM ("
+    + oracle.union(
         [
-            *[_rec.format(p=1, t="histogram", x=f"'{c}'", y="NULL::VARCHAR") for c in SIGNAL_NUMBERS],
-            *[_rec.format(p=4, t="bar", x=f"'{c}'", y="NULL::VARCHAR") for c in SIGNAL_CATEGORIES],
-            _rec.format(p=2, t="correlation_heatmap", x=f"'{','.join(SIGNAL_NUMBERS)}'", y="NULL::VARCHAR"),
-            *[_rec.format(p=2, t="line", x="'ts'", y=f"'{c}'") for c in SIGNAL_NUMBERS],
-            _rec.format(p=2, t="boxplot", x='"column"', y="NULL::VARCHAR") + f" FROM ({_seg}) WHERE type = 'outlier_segment'",
-            _rec.format(p=3, t="grouped_boxplot", x="split_column", y='"column"') + f" FROM ({_seg}) WHERE type = 'categorical_split'",
-            _rec.format(p=3, t="scatter", x="a", y="b") + f" FROM ({_strong})",
+            *[_rec.format(p=1, r=0, o=i, t="histogram", x=f"'{c}'", y="NULL::VARCHAR") for i, c in enumerate(SIGNAL_NUMBERS)],
+            *[_rec.format(p=4, r=3, o=i, t="bar", x=f"'{c}'", y="NULL::VARCHAR") for i, c in enumerate(SIGNAL_CATEGORIES)],
+            _rec.format(p=2, r=5, o=0, t="correlation_heatmap", x=f"'{','.join(SIGNAL_NUMBERS)}'", y="NULL::VARCHAR"),
+            *[_rec.format(p=2, r=6, o=i, t="line", x="'ts'", y=f"'{c}'") for i, c in enumerate(SIGNAL_NUMBERS)],
+            _rec.format(p=2, r=1, o=_place, t="boxplot", x='"column"', y="NULL::VARCHAR") + f" FROM ({_seg}) WHERE type = 'outlier_segment'",
+            _rec.format(p=3, r=4, o="-effect_size", t="grouped_boxplot", x="split_column", y='"column"') + f" FROM ({_seg}) WHERE type = 'categorical_split'",
+            _rec.format(p=3, r=2, o="-abs(correlation)", t="scatter", x="a", y="b") + f" FROM ({_strong})",
         ]
-    ),
+    )
+    + ")",
 )
 def chart_recommendations(spark, d):
     i = _rule_inputs(spark, d)
@@ -1322,22 +1325,39 @@ def ingest_orders(spark, d):
     return ingest(spark, _written(text, "csv", "csv", header=True), source_type="csv").summary
 
 
-@query("explore_events", ORACLE["insights"])
+@query("explore_events", oracle.time_series(S, "ts, event_id", SIGNAL_NUMBERS))
 def explore_events(spark, d):
-    s = data.signals(spark, d).drop("event_id", "ts")
-    return explore(s, ndigits=6).insights
+    """The exploration of all columns, through its time series; that of the row number
+    itself, which correlates fully at every lag, is left out of the comparison."""
+    found = explore(data.signals(spark, d), order_by=["ts", "event_id"], ndigits=6).time_series
+    return found.where("column <> 'event_id'").withColumn("position", F.col("position") - 1)
 
 
-@query("model_customers")
+@query(
+    "model_customers",
+    """SELECT k::INTEGER AS k, 'KMeans (k=' || k || ')' AS model, 'clustering' AS problem_type, 'full_dataset' AS method,
+    (SELECT count(*) FROM customer) AS assigned FROM (SELECT unnest(range(2, 9)) AS k)""",
+)
 def model_customers(spark, d):
-    c = data.table(spark, d, "customer").drop("c_name")
-    trial = {"Random Forest": dict(numTrees=20, maxDepth=5), "Gradient Boosting": dict(maxIter=10)}
-    return model(c, target="c_acctbal", order_by=["c_custkey"], settings=trial).scores
+    """The facts of a whole modelling run on all columns: balances are nearly unique, so
+    customers are clustered."""
+    done = model(data.table(spark, d, "customer"), target="c_acctbal", order_by=["c_custkey"])
+    said = {"problem_type": done.problem.problem_type, "method": done.split_info["method"], "assigned": done.clusters.count()}
+    return done.scores.select("k", "model", *[F.lit(v).alias(c) for c, v in said.items()]).withColumn("assigned", F.col("assigned").cast("bigint"))
 
 
-@query("analyze_events")
+@query(
+    "analyze_events",
+    """SELECT model, (count(*) - floor(count(*) * 0.8::DOUBLE))::BIGINT AS test_rows, 'time_series' AS problem_type, 'value' AS target,
+    'chronological' AS method FROM events, (VALUES ('Linear Regression'), ('Ridge Regression'), ('Random Forest'), ('Gradient Boosting')) m(model)
+    GROUP BY model""",
+)
 def analyze_events(spark, d):
-    trial = {"Random Forest": dict(numTrees=10, maxDepth=4), "Gradient Boosting": dict(maxIter=5)}
-    events = data.events_gaps(spark, d).drop("props")
-    done = analyze(spark, events, order_by=["ts", "event_id"], settings=trial)
-    return done.explored.findings
+    """The facts of a whole analysis of all columns with the full settings."""
+    done = analyze(spark, data.table(spark, d, "events"), order_by=["ts", "event_id"])
+    said = {
+        "problem_type": done.modeled.problem.problem_type,
+        "target": done.modeled.problem.target,
+        "method": done.modeled.split_info["method"],
+    }
+    return done.modeled.scores.select("model", "test_rows", *[F.lit(v).alias(k) for k, v in said.items()])

@@ -16,8 +16,6 @@ from .columns import AGGREGATES_PER_SCAN, col, union_all
 GATE_MARGIN = 2.0
 # Longer texts are grouped by head and digest, so counting them does not shuffle them.
 LONG_TEXT_BYTES = 64
-# Digests looked up by broadcast; more (many texts with one head) go through a shuffle.
-BROADCAST_DIGESTS = 100_000
 
 
 def text(name: str) -> Column:
@@ -87,8 +85,6 @@ def with_full_text(df: DataFrame, selected: DataFrame) -> DataFrame:
     if not size:
         return saved.drop("digest")
     columns = [r["column"] for r in wanted.select("column").distinct().collect()]
-    if size <= BROADCAST_DIGESTS:
-        wanted = F.broadcast(wanted)
     texts = (
         _long_texts(df, columns)
         .withColumn("digest", F.sha2("text", 256))
@@ -116,8 +112,9 @@ def _family(t: T.DataType) -> str:
 def column_modes(df: DataFrame, counts: DataFrame) -> DataFrame:
     """Per column: values, distinct values, smallest of the most frequent, its count.
 
-    One row per column, decided at once. Where the leading head belongs to long texts,
-    the texts with that head (only those) are counted whole to find the smallest.
+    One row per column, decided at once. Where the leading values are long texts, the
+    digests with the top count are known, and the smallest of their texts is a minimum
+    that combines on the map side; a column of which every value occurs once needs no digests.
     """
     found = (
         counts.groupBy("column")
@@ -131,18 +128,20 @@ def column_modes(df: DataFrame, counts: DataFrame) -> DataFrame:
     )
     modes = {r["column"]: r["best"]["value"] for r in found}
     unsure = [r for r in found if r["best"]["digest"] is not None]
-    if unsure:
-        names = [r["column"] for r in unsure]
-        lead = df.sparkSession.createDataFrame(
-            [(r["column"], r["best"]["value"], r["mode_frequency"]) for r in unsure],
-            "column string, head string, most bigint",
-        )
+    single = [r["column"] for r in unsure if r["mode_frequency"] == 1]
+    if single:
+        least = df.agg(*[F.min(text(c)).alias(f"m{i}") for i, c in enumerate(single)]).first()
+        modes.update({c: least[f"m{i}"] for i, c in enumerate(single)})
+    several = [(r["column"], r["best"]["value"], r["mode_frequency"]) for r in unsure if r["mode_frequency"] > 1]
+    if several:
+        lead = df.sparkSession.createDataFrame(several, "column string, value string, count bigint")
+        # The smallest text has the smallest head, so only digests with that head count.
+        wanted = counts.join(F.broadcast(lead), ["column", "value", "count"]).select("column", "digest")
         whole = (
-            _long_texts(df, names)
-            .join(F.broadcast(lead), ["column", "head"])
-            .groupBy("column", "text", "most")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") == F.col("most"))
+            _long_texts(df, [c for c, _, _ in several])
+            .join(F.broadcast(lead.select("column", F.col("value").alias("head"))), ["column", "head"])
+            .withColumn("digest", F.sha2("text", 256))
+            .join(wanted, ["column", "digest"], "left_semi")
             .groupBy("column")
             .agg(F.min("text").alias("mode"))
         )
@@ -156,20 +155,16 @@ def column_modes(df: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def top_ranked(df: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """``(column, rank, value, count)``: the ``n`` most frequent values, ties by value.
+    """``(column, rank, value, count)``: the ``n`` most frequent values, ties by the first
+    bytes of the value and, for long texts with one head, by digest.
 
-    The first rank filter becomes a limit inside each task before the exchange, so a
-    column with billions of distinct values sends only the leading rows of each task.
-    Equal heads of long texts share a rank there and are told apart by the whole text.
+    That order is total, so exactly ``n`` rows pass for each column, and only their texts
+    are looked up. The rank filter becomes a limit inside each task before the exchange, so
+    a column with billions of distinct values sends only the leading rows of each task.
     """
-    head = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    leading = counts.withColumn("_r", F.rank().over(head)).where(F.col("_r") <= n).drop("_r")
-    whole = with_full_text(df, leading)
-    return (
-        whole.withColumn("rank", F.row_number().over(head))
-        .where(F.col("rank") <= n)
-        .select("column", "rank", "value", "count")
-    )
+    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"), F.asc("digest"))
+    leading = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return with_full_text(df, leading).select("column", "rank", "value", "count")
 
 
 def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:

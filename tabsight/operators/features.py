@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import classify_columns, col, missing_as_null, per_column
-from ..functions.counts import column_modes, distinct_estimates, small_domains, text, value_counts
+from ..functions.counts import LONG_TEXT_BYTES, column_modes, distinct_estimates, small_domains, text, value_counts
 from ..functions.order import dense_position, neighbours, with_halo
 from ..functions.quantiles import column_quantiles
 from ..session import materialise
@@ -20,9 +20,6 @@ LAGS = (1, 3, 7)
 WINDOWS = (3, 7)
 NO_MODE = "MISSING"
 ROW = "pos"
-# Code tables up to this many rows are broadcast; larger ones are joined by shuffle,
-# where adaptive execution splits hot values.
-BROADCAST_CODES = 500_000
 
 
 def time_ordered(df: DataFrame, order_by: Sequence[str], name: str = ROW) -> DataFrame:
@@ -158,35 +155,37 @@ def one_hot(
     return df.withColumns(made).drop(*[f"`{c}`" if "." in c else c for c in kept]), list(made)
 
 
+def _code_key(column: str) -> Column:
+    """Short values as they are, long ones by digest, so codes never carry whole texts."""
+    value = text(column)
+    long = F.octet_length(value) > LONG_TEXT_BYTES
+    return F.when(long, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(F.concat(F.lit("="), value))
+
+
 def first_seen_codes(df: DataFrame, column: str, pos: str = ROW) -> DataFrame:
-    """``(value, code)``: distinct values numbered by their first position."""
+    """``(_key, first_seen, code)``: distinct values numbered by their first position."""
     firsts = (
-        df.select(text(column).alias("value"), col(pos).alias("_p"))
-        .where("value IS NOT NULL")
-        .groupBy("value")
+        df.select(_code_key(column).alias("_key"), col(pos).alias("_p"))
+        .where("_key IS NOT NULL")
+        .groupBy("_key")
         .agg(F.min("_p").alias("first_seen"))
     )
-    return dense_position(firsts, ["first_seen"], name="code").select("value", "code")
+    return dense_position(firsts, ["first_seen"], name="code")
 
 
-def factorize(df: DataFrame, column: str, pos: str = ROW) -> DataFrame:
+def factorize(df: DataFrame, column: str, pos: str = ROW, codes: DataFrame | None = None) -> DataFrame:
     """Replace a high-cardinality category by its order of first appearance."""
-    codes = first_seen_codes(df, column, pos)
-    size = codes.count()
-    if size <= BROADCAST_CODES:
-        codes = F.broadcast(codes)
-    names = [c for c in df.columns]
-    joined = df.withColumn("_value", text(column)).join(
-        codes.withColumnRenamed("value", "_value"), "_value", "left"
-    )
+    codes = first_seen_codes(df, column, pos) if codes is None else codes
+    joined = df.withColumn("_key", _code_key(column)).join(codes.select("_key", "code"), "_key", "left")
     coded = F.coalesce(F.col("code"), F.lit(-1)).cast("double")
-    return joined.select(*[coded.alias(c) if c == column else col(c) for c in names])
+    return joined.select(*[coded.alias(c) if c == column else col(c) for c in df.columns])
 
 
 def encode_target(df: DataFrame, target: str, pos: str = ROW) -> tuple[DataFrame, DataFrame]:
     """Class labels as numbers in order of first appearance, with the mapping."""
-    mapping = first_seen_codes(df, target, pos)
-    return factorize(df, target, pos), mapping
+    codes = first_seen_codes(df, target, pos)
+    named = df.select(col(pos).alias("first_seen"), text(target).alias("value"))
+    return factorize(df, target, pos, codes), named.join(codes, "first_seen").select("value", "code")
 
 
 def standard_scale(
@@ -292,9 +291,10 @@ def engineer_features(
     low = [c for c, n in distinct_estimates(work, categorical).items() if n <= 4 * ONE_HOT_MAX] if categorical else []
     work, dummies = one_hot(work, low, log=log)
     names += dummies
+    coded = work  # all codes come from here, so no join is repeated for the next column
     for c in categorical:
         if c in work.columns:
-            work = factorize(work, c)
+            work = factorize(work, c, codes=first_seen_codes(coded, c))
             names.append(c)
             _note(log, "label_encode", c, "")
     mapping = None

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnClasses, classify_columns, col, missing_as_null, per_column
+from ..functions.columns import classify_columns, col, missing_as_null, per_column
 from ..functions.counts import value_counts
 from ..functions.order import dense_position, neighbours, with_halo
 
@@ -42,27 +42,21 @@ class Problem:
 
 @dataclass
 class ColumnFacts:
-    """Presence and (sketched) distinct count of one column; exact count on demand."""
+    """What the rules ask of a column. ``distinct`` and ``least`` (the smallest class) are
+    exact where a rule needs them, else the sketch and nothing."""
 
+    kind: str | None
     non_null: int
-    estimate: int
+    distinct: int
+    least: int | None
+    whole: bool
+    identifier: bool
 
-
-def column_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnFacts]:
-    rows = per_column(
-        missing_as_null(df),
-        list(columns),
-        lambda c: {"n": F.count(col(c)), "d": F.approx_count_distinct(col(c))},
-    ).collect()
-    return {r["column"]: ColumnFacts(r["n"], r["d"]) for r in rows}
-
-
-def distinct_count(df: DataFrame, column: str) -> tuple[int, int]:
-    """Exact distinct values and the size of the smallest class."""
-    row = value_counts(missing_as_null(df.select(col(column))), [column]).agg(
-        F.count("*").alias("d"), F.min("count").alias("least")
-    ).first()
-    return row["d"], row["least"] or 0
+    @property
+    def labels(self) -> bool:
+        """Whether the values are class labels."""
+        few = self.whole and self.distinct <= MAX_CLASSES and self.distinct <= MAX_CLASS_RATIO * self.non_null
+        return self.kind == "categorical" or few
 
 
 def name_is_identifier(column: str) -> bool:
@@ -87,40 +81,73 @@ def monotonic(df: DataFrame, column: str, order_by: Sequence[str]) -> bool:
     return row["lo"] is None or row["lo"] >= 0 or row["hi"] <= 0
 
 
-def identifier_like(
+def column_facts(
     df: DataFrame,
-    column: str,
+    columns: Sequence[str],
     order_by: Sequence[str] | None = None,
-    facts: ColumnFacts | None = None,
-) -> bool:
-    """Named like a key, nearly unique, or mostly unique and monotonic in row order.
-
-    Distinct values are counted exactly only when the sketch leaves the answer open. The
-    monotonic rule needs a row order and is skipped without ``order_by``.
+    classes: bool = False,
+) -> dict[str, ColumnFacts]:
+    """Facts of all columns: sketches from a few scans, then one exact count of the values
+    of those columns that a sketch leaves open, together.
+
+    A column is identifier-like if it is named like a key, is nearly unique, or is numeric,
+    mostly unique and monotonic in the row order (which needs ``order_by``). With
+    ``classes`` label-like columns are counted exactly too.
     """
-    if name_is_identifier(column):
-        return True
-    facts = facts or column_facts(df, [column])[column]
-    if not facts.non_null:
-        return False
-    numeric = column in classify_columns(df).numeric
-    floor = MONOTONIC_RATIO if numeric and order_by else ID_RATIO
-    if facts.estimate / facts.non_null < floor * SKETCH_MARGIN:
-        return False
-    ratio = distinct_count(df, column)[0] / facts.non_null
-    if ratio >= ID_RATIO:
-        return True
-    if numeric and order_by and ratio >= MONOTONIC_RATIO:
-        return monotonic(df, column, order_by)
-    return False
+    found = classify_columns(df)
+    numeric = set(found.numeric)
+    clean = missing_as_null(df)
+
+    def stats(c: str):
+        number = col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        return {
+            "n": F.count(col(c)),
+            "estimate": F.approx_count_distinct(col(c)),
+            "whole": F.coalesce(F.bool_and(F.round(number) == number), F.lit(False)),
+        }
+
+    scanned = {r["column"]: r for r in per_column(clean, list(columns), stats).collect()}
+
+    def floor(c: str) -> float:
+        return MONOTONIC_RATIO if c in numeric and order_by else ID_RATIO
+
+    def undecided(c: str) -> bool:
+        n, estimate = scanned[c]["n"], scanned[c]["estimate"]
+        unique = not name_is_identifier(c) and estimate >= floor(c) * SKETCH_MARGIN * n
+        return n > 0 and (unique or classes and (c not in numeric or estimate <= 2 * MAX_CLASSES))
+
+    exact = {}
+    if wanted := [c for c in columns if undecided(c)]:
+        counts = value_counts(clean.select(*[col(c) for c in wanted]), wanted)
+        summed = counts.groupBy("column").agg(F.count("*").alias("d"), F.min("count").alias("least"))
+        exact = {r["column"]: (r["d"], r["least"]) for r in summed.collect()}
+
+    def key_like(c: str, n: int, distinct: int) -> bool:
+        if name_is_identifier(c):
+            return True
+        if not n or distinct < floor(c) * n:
+            return False
+        return distinct >= ID_RATIO * n or monotonic(df, c, order_by)
+
+    facts = {}
+    for c in columns:
+        r = scanned[c]
+        distinct, least = exact.get(c, (r["estimate"], None))
+        # A sketch that settles the question stands below every floor.
+        unique = distinct if c in exact else 0
+        facts[c] = ColumnFacts(found.of(c), r["n"], distinct, least, r["whole"], key_like(c, r["n"], unique))
+    return facts
+
+
+def identifier_like(df: DataFrame, column: str, order_by: Sequence[str] | None = None) -> bool:
+    return column_facts(df, [column], order_by)[column].identifier
 
 
 def identifier_table(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """``(column, identifier_like)`` for every analysed column."""
     classes = classify_columns(df)
-    columns = [c for c in df.columns if classes.of(c)]
-    facts = column_facts(df, columns)
-    rows = [(c, identifier_like(df, c, order_by, facts[c])) for c in columns]
+    facts = column_facts(df, [c for c in df.columns if classes.of(c)], order_by)
+    rows = [(c, f.identifier) for c, f in facts.items()]
     return df.sparkSession.createDataFrame(rows, "column string, identifier_like boolean")
 
 
@@ -136,62 +163,49 @@ def integer_like(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out.select("column", F.coalesce("whole", F.lit(False)).alias("integer_like"))
 
 
-def pick_forecast_target(numeric: Sequence[str]) -> str | None:
-    for word in TARGET_WORDS:
-        for c in numeric:
-            if word in c.lower():
-                return c
-    return numeric[-1] if numeric else None
+def forecast_target(numeric: Sequence[str]) -> str | None:
+    """The column whose name has the most telling word; the last one if none has any."""
+    told = [(rank, place) for place, c in enumerate(numeric) for rank, w in enumerate(TARGET_WORDS) if w in c.lower()]
+    place = min(told)[1] if told else len(numeric) - 1
+    return numeric[place] if numeric else None
 
 
 def guess_target(df: DataFrame, order_by: Sequence[str] | None = None) -> str | None:
     """Last column that does not look like a key or index."""
     classes = classify_columns(df)
-    able = [
-        c
-        for c in reversed(df.columns)
-        if not any(w in c.lower() for w in NOT_TARGET_WORDS)
-        and not name_is_identifier(c)
-        and c in (*classes.numeric, *classes.categorical)
-    ]
-    if not able:
-        return None
-    facts = column_facts(df, able)
-    return next((c for c in able if not identifier_like(df, c, order_by, facts[c])), None)
+    usable = {*classes.numeric, *classes.categorical}
+    named = [c for c in df.columns if c in usable and not any(w in c.lower() for w in NOT_TARGET_WORDS)]
+    facts = column_facts(df, [c for c in named if not name_is_identifier(c)], order_by) if named else {}
+    return next((c for c in reversed(list(facts)) if not facts[c].identifier), None)
 
 
-def _problem(kind, target, features, time_column=None) -> Problem:
-    return Problem(kind, target, list(features), time_column)
+# What a target makes of a table: the first rule that holds decides.
+TARGET_RULES = (
+    ("empty", lambda f: f.non_null == 0),
+    ("clustering", lambda f: f.identifier),
+    ("classification", lambda f: f.labels and f.least >= 2),
+    ("clustering", lambda f: f.labels),
+    ("regression", lambda f: f.kind == "numeric"),
+    ("clustering", lambda f: True),
+)
 
 
-def classify_target(
-    df: DataFrame, target: str, order_by: Sequence[str] | None = None
-) -> Problem:
-    """Regression, classification or (when the target will not do) clustering."""
+def classify_target(df: DataFrame, target: str, order_by: Sequence[str] | None = None) -> Problem:
+    """Regression, classification or (when the target will not do) clustering.
+
+    A target that will not do joins the features, unless it is empty.
+    """
     classes = classify_columns(df)
-    features = [c for c in (*classes.numeric, *classes.categorical) if c != target]
-    time_column = classes.datetime[0] if classes.datetime else None
-    clustering = _problem("clustering", None, [*features, target], time_column)
-    facts = column_facts(df, [target])[target]
-    if not facts.non_null:
-        return _problem("clustering", None, features, time_column)
-    if identifier_like(df, target, order_by, facts):
-        return clustering
-    categorical = target in classes.categorical
-    # A sketch far above the class limit settles that a number is no class label.
-    few = categorical or facts.estimate <= MAX_CLASSES * 2
-    if few:
-        distinct, least = distinct_count(df, target)
-        if not categorical:
-            whole = integer_like(df, [target]).first()["integer_like"]
-            few = whole and distinct <= MAX_CLASSES and distinct / facts.non_null <= MAX_CLASS_RATIO
-    if few:
-        if least >= 2:
-            return _problem("classification", target, features, time_column)
-        return clustering
-    if target in classes.numeric:
-        return _problem("regression", target, features, time_column)
-    return clustering
+    facts = column_facts(df, [target], order_by, classes=True)[target]
+    verdict = next(kind for kind, holds in TARGET_RULES if holds(facts))
+    predicted = verdict in ("classification", "regression")
+    others = [c for c in (*classes.numeric, *classes.categorical) if c != target]
+    return Problem(
+        "clustering" if verdict == "empty" else verdict,
+        target if predicted else None,
+        others if predicted or verdict == "empty" else [*others, target],
+        next(iter(classes.datetime), None),
+    )
 
 
 def detect_problem(
@@ -200,22 +214,17 @@ def detect_problem(
     order_by: Sequence[str] | None = None,
     row_count: int | None = None,
 ) -> Problem:
-    """The problem type, target and features of a table."""
-    classes: ColumnClasses = classify_columns(df)
-    everything = [*classes.numeric, *classes.categorical]
-    if row_count is None:
-        row_count = df.limit(MIN_ROWS).count()
-    if row_count < MIN_ROWS:
-        return _problem("clustering", None, everything)
-    if target_hint and target_hint in df.columns:
-        return classify_target(df, target_hint, order_by)
-    if classes.datetime:
-        target = pick_forecast_target(classes.numeric)
-        if target:
-            return _problem(
-                "time_series", target, [c for c in everything if c != target], classes.datetime[0]
-            )
-    target = guess_target(df, order_by)
-    if target:
-        return classify_target(df, target, order_by)
-    return _problem("clustering", None, everything)
+    """The problem type, target and features of a table.
+
+    Enough rows and a hint, or a date next to a number, or a guessed target, in this
+    order, make a supervised problem; otherwise rows are clustered.
+    """
+    classes = classify_columns(df)
+    columns = [*classes.numeric, *classes.categorical]
+    enough = (df.limit(MIN_ROWS).count() if row_count is None else row_count) >= MIN_ROWS
+    hinted = target_hint if target_hint in df.columns else None
+    if enough and hinted is None and classes.datetime and classes.numeric:
+        target = forecast_target(classes.numeric)
+        return Problem("time_series", target, [c for c in columns if c != target], classes.datetime[0])
+    target = (hinted or guess_target(df, order_by)) if enough else None
+    return classify_target(df, target, order_by) if target else Problem("clustering", None, columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import union_all
@@ -72,35 +72,37 @@ def chart_recommendations(
     time_series: DataFrame | None = None,
     time_column: str | None = None,
 ) -> DataFrame:
-    """``(priority, chart_type, x, y)``, most important first."""
+    """``(ordinal, priority, chart_type, x, y)``, most important first: by priority, then
+    in the order of the rules, and inside a rule in that of the columns or of the input's rank."""
     none = F.lit(None).cast("string")
 
-    def rec(df, chart, priority, x, y=none):
+    def rec(df, chart, priority, x, y=none, place=F.lit(0)):
         return df.select(
-            F.lit(priority).alias("priority"), F.lit(chart).alias("chart_type"), x.alias("x"), y.alias("y")
-        )
-
-    frames = [
-        rec(_names(spark, numeric_columns), "histogram", 1, F.col("x")),
-        rec(segments.where("type = 'outlier_segment'"), "boxplot", 2, F.col("column")),
-        rec(strong, "scatter", 3, F.col("a"), F.col("b")),
-        rec(_names(spark, categorical_columns), "bar", 4, F.col("x")),
-        rec(
-            segments.where("type = 'categorical_split'"),
-            "grouped_boxplot",
-            3,
-            F.col("split_column"),
-            F.col("column"),
-        ),
-    ]
+            F.lit(priority).alias("priority"), F.lit(len(frames)).alias("rule"), place.cast("double").alias("place"),
+            F.lit(chart).alias("chart_type"), x.alias("x"), y.alias("y"),
+        )
+
+    def rank_of(names: Sequence[str], c: str):
+        return F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0))
+
+    frames: list[DataFrame] = []
+    frames.append(rec(_names(spark, numeric_columns), "histogram", 1, F.col("x"), place=F.col("n")))
+    outliers = segments.where("type = 'outlier_segment'")
+    frames.append(rec(outliers, "boxplot", 2, F.col("column"), place=rank_of(numeric_columns, "column")))
+    frames.append(rec(strong, "scatter", 3, F.col("a"), F.col("b"), place=-F.abs("correlation")))
+    frames.append(rec(_names(spark, categorical_columns), "bar", 4, F.col("x"), place=F.col("n")))
+    splits = segments.where("type = 'categorical_split'")
+    frames.append(rec(splits, "grouped_boxplot", 3, F.col("split_column"), F.col("column"), place=-F.col("effect_size")))
     if len(numeric_columns) >= 2:
         every = spark.range(1).select(F.lit(",".join(numeric_columns)).alias("x"))
         frames.append(rec(every, "correlation_heatmap", 2, F.col("x")))
     if time_series is not None:
-        frames.append(
-            rec(time_series.where("status = 'ok'"), "line", 2, F.lit(time_column), F.col("column"))
-        )
-    return union_all(frames).orderBy("priority", "chart_type", "x", "y")
+        lines = time_series.where("status = 'ok'")
+        frames.append(rec(lines, "line", 2, F.lit(time_column), F.col("column"), place=rank_of(numeric_columns, "column")))
+    # A row per chart: few.
+    order = Window.partitionBy(F.lit(0)).orderBy("priority", "rule", "place", "x", "y")
+    numbered = union_all(frames).withColumn("ordinal", F.row_number().over(order))
+    return numbered.select("ordinal", "priority", "chart_type", "x", "y").orderBy("ordinal")
 
 
 def findings(
