@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[str] = []
+# All intermediate tables of one driver process lie in one folder.
+_RUN = uuid.uuid4().hex
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +31,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/tabsight-{label}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/tabsight-{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this run, once its results are written: they
+    may still be read from them until then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tabsight-{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

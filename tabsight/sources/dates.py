@@ -53,6 +53,8 @@ def _shape(value: Column) -> Column:
     return F.translate(value, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
 
 
+_PLAIN = str.maketrans({**dict.fromkeys("ydHmsS", "9"), "T": "a"})
+
 # The shapes of a layout's parts; a longer part stands before its prefixes.
 _PARTS = {
     "yyyy": "9{4}", "MMM": "a{3}", "MM": "9{2}", "dd": "9{2}", "HH": "9{2}", "mm": "9{2}", "ss": "9{2}",
@@ -60,10 +62,17 @@ _PARTS = {
 }
 
 
-def _layout_shape(layout: str) -> str:
-    """A pattern of the shapes that a layout can have."""
-    part = re.compile("|".join(sorted(_PARTS, key=len, reverse=True)) + "|.")
-    return "^" + "".join(_PARTS.get(p, re.escape(p)) for p in part.findall(layout)) + "$"
+def _plain(part: str) -> str:
+    return "aaa" if part == "MMM" else "99" if part == "MM" else part.replace("'", "").translate(_PLAIN)
+
+
+def _has_shape(shape: Column, layout: str) -> Column:
+    """Whether a shape is one of those that a layout can have: one text to compare with,
+    or a pattern where parts vary in length."""
+    parts = re.findall("|".join(sorted(_PARTS, key=len, reverse=True)) + "|.", layout)
+    if not {"M", "d", "H", "XXX"} & set(parts):
+        return shape == "".join(_plain(p) if p in _PARTS else p for p in parts)
+    return shape.rlike("^" + "".join(_PARTS.get(p, re.escape(p)) for p in parts) + "$")
 
 
 def promote_datetimes(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
@@ -81,7 +90,7 @@ def promote_datetimes(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS
         shape = F.when(F.length(col(c)) <= longest, _shape(col(c)))
         bits = F.lit(0).cast("bigint")
         for j, layout in enumerate(formats):
-            reads = shape.rlike(_layout_shape(layout)) & F.try_to_timestamp(col(c), F.lit(layout)).isNotNull()
+            reads = _has_shape(shape, layout) & F.try_to_timestamp(col(c), F.lit(layout)).isNotNull()
             bits = bits + F.when(reads, F.lit(1 << j).cast("bigint")).otherwise(0)
         return {"rows": F.count(F.lit(1)), "n": F.count(col(c)), "layouts": F.bit_and(F.when(col(c).isNotNull(), bits))}
 
