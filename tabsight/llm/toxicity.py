@@ -18,7 +18,7 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 # Labelled documents to learn from (chosen by hash), words the model may use, and the
 # evidence (log-likelihood ratio over distinct sentences) that a word needs.
-TRAIN_ROWS, MAX_WORDS, MIN_EVIDENCE = 40_000, 4096, 15.0
+TRAIN_ROWS, MAX_WORDS, MIN_EVIDENCE = 20_000, 1024, 20.0
 STEPS, RATE, RIDGE, START_WORD, START_BIAS = 400, 0.1, 1e-4, 3.0, -1.0
 THRESHOLD = 0.7
 SCORED = "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>"
@@ -53,28 +53,29 @@ class Model:
         return float(-np.expm1(clean)), found
 
 
-def fit_noisy_or(bags: list[tuple[int, list[list[int]]]], words: int) -> tuple[np.ndarray, float, float]:
+def fit_noisy_or(toxic: np.ndarray, sentences: pa.Array, words: int) -> tuple[np.ndarray, float, float]:
     """Word weights, bias and leak that make the document labels likeliest.
 
-    A bag is a label and the word ids of its sentences with evidence. The leak is the
-    smoothed share of toxic documents among those without any.
+    A bag is a label and a list of its sentences with evidence, each a list of word
+    ids. The leak is the smoothed share of toxic documents among those without any.
     """
-    without = [y for y, s in bags if not s]
-    leak = (sum(without) + 0.5) / (len(without) + 10.0)
-    leak = min(leak, 0.3)
-    held = [(y, s) for y, s in bags if s]
+    bags = np.diff(sentences.offsets.to_numpy())
+    inner = sentences.flatten()
+    sizes = np.diff(inner.offsets.to_numpy())
+    word = inner.flatten().to_numpy(zero_copy_only=False)
+    without = toxic[bags == 0]
+    leak = min((without.sum() + 0.5) / (len(without) + 10.0), 0.3)
     weights, bias = np.full(words, START_WORD), START_BIAS
-    if not held:
-        return weights, bias, leak
-    y = np.array([b[0] for b in held], float)
-    bag = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-    ids = [np.array(x) for _, s in held for x in s]
-    sentence = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    word = np.concatenate(ids)
+    held = np.flatnonzero(bags)
+    if not len(held):
+        return weights, bias, float(leak)
+    y = toxic[held].astype(float)
+    bag = np.repeat(np.arange(len(held)), bags[held])
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
     theta = np.append(weights, bias)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(sentence, theta[word], len(ids))
+        z = theta[-1] + np.bincount(sentence, theta[word], len(sizes))
         p = 1 / (1 + np.exp(-z))
         log_clean = np.log1p(-leak) - np.bincount(bag, np.logaddexp(0, z), len(held))
         toxic = np.maximum(-np.expm1(log_clean), 1e-12)
@@ -85,7 +86,7 @@ def fit_noisy_or(bags: list[tuple[int, list[list[int]]]], words: int) -> tuple[n
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return theta[:-1], float(theta[-1]), leak
+    return theta[:-1], float(theta[-1]), float(leak)
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +150,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["toxic", "sentences"])
 
     rows = drawn.mapInArrow(bag, "toxic int, sentences array<array<int>>").toArrow()
-    bags = list(zip(rows["toxic"].to_pylist(), rows["sentences"].to_pylist()))
-    weights, bias, leak = fit_noisy_or(bags, len(words))
+    weights, bias, leak = fit_noisy_or(rows["toxic"].to_numpy(), rows["sentences"].combine_chunks(), len(words))
     return Model(dict(zip(words, weights.tolist())), bias, leak)
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tabsight.llm import toxicity
 
@@ -56,6 +57,7 @@ def test_without_labels(spark):
 def test_gradient_follows_the_likelihood():
     rng = np.random.default_rng(0)
     bags = [(int(i % 3 == 0), [[0]] * (i % 3 == 0) + [[1]] * int(rng.integers(1, 3))) for i in range(300)] + [(0, [])] * 100
-    weights, bias, leak = toxicity.fit_noisy_or(bags, 2)
+    labels, sentences = zip(*bags)
+    weights, bias, leak = toxicity.fit_noisy_or(np.array(labels), pa.array(sentences, pa.list_(pa.list_(pa.int32()))), 2)
     p = 1 / (1 + np.exp(-(bias + weights)))
     assert p[0] > 0.9 and p[1] < 0.1 and leak < 0.05
