@@ -12,22 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import slices, texts
 
-WORD = re.compile(r"\w+")
+# What is trimmed from both ends of a word.
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 # A passage is two steps of words long and begins at each step.
 STEP = 32
 # Items of one block (each has its own vocabulary and basis), Gaussian directions, and the
 # share of the largest singular value below which a direction is noise.
 BLOCK_ITEMS, DIRECTIONS, NOISE = 256, 32, 1e-4
-# A word is telling if it is in at most this share of all steps; items with fewer telling
-# words than MIN_TELLING keep all of theirs. Passages need MIN_TERMS telling words.
-MAX_SHARE, MIN_TELLING, MIN_TERMS = 0.01, 8, 3
-MIN_COSINE = 0.4
+# A word is telling if it occurs at most so often for each step of the corpus, or if it is
+# among the MIN_TELLING rarest of an item. Passages need MIN_TERMS telling words.
+MAX_SHARE, MIN_TELLING, MIN_TERMS = 0.002, 8, 3
+# Least cosine with an item, and least part of the item's weight that a passage carries.
+MIN_COSINE, MIN_WEIGHT = 0.4, 0.3
 # Shares of an item's words in common order: sure, or enough if the answer's are there too.
 SURE, ENOUGH, ANSWER = 0.8, 0.6, 0.6
 LEAST_WORDS = 6
@@ -37,15 +40,26 @@ GATHER, ROWS = 1024, 512
 SLICE_BYTES = 4 << 20
 
 
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words in a row, and where each text's begin (one more at the end): what white
+    space parts, in lower case, without punctuation at its ends."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    words = pc.utf8_trim(lists.flatten(), characters=PUNCTUATION)
+    full = pc.greater(pc.binary_length(words), 0)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), before[bounds]
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return cut_words(pa.array([text]))[0].to_pylist()
 
 
 def answer_of(text: str) -> list[str]:
     """The words of the last sentence, or the last third where there is only one."""
-    parts = [p for p in re.split(r"[.!?\n]+", text) if WORD.search(p)]
+    parts = [w for w in map(words_of, re.split(r"[.!?\n]+", text)) if w]
     words = words_of(text)
-    return words_of(parts[-1]) if len(parts) > 1 else words[-(-2 * len(words) // 3) :]
+    return parts[-1] if len(parts) > 1 else words[-(-len(words) // 3) :]
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -63,9 +77,19 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def steps_of(words: list[str], index: dict[str, int]) -> list[list[int]]:
-    get = index.get
-    return [[i for i in map(get, words[k : k + STEP]) if i is not None] for k in range(0, len(words), STEP)]
+def steps_of(bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words' term ids (-1: none): the known ones in a row, how many each step
+    has, and how many steps each text has."""
+    sizes = np.diff(bounds)
+    steps = -(-sizes // STEP)
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], sizes)
+    step = np.repeat(np.cumsum(steps) - steps, sizes) + place // STEP
+    known = ids >= 0
+    return ids[known], np.bincount(step[known], minlength=int(steps.sum())), steps
+
+
+def term_ids(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    return pc.index_in(words, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
 def _summed(parts: DataFrame, dtype: str) -> list[bytes]:
@@ -120,17 +144,16 @@ def passage_vectors(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis:
 class Index:
     """A block of items in latent coordinates: weights of words, a basis, unit items."""
 
-    def __init__(self, index, telling, basis, items, unit):
-        self.index, self.telling, self.basis, self.items, self.unit = index, telling, basis, items, unit
+    def __init__(self, vocabulary, telling, basis, items, unit, norms):
+        self.vocabulary, self.telling, self.basis = vocabulary, telling, basis
+        self.items, self.unit, self.norms = items, unit, norms
 
 
 def weigh(items: list[list[str]], index: dict[str, int], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies, and which words tell."""
-    telling = df <= MAX_SHARE * max(1, total)
+    """Inverse frequencies, and which words tell."""
+    telling = df <= MAX_SHARE * total
     for words in items:
-        own = [index[w] for w in set(words)]
-        if sum(telling[i] for i in own) < MIN_TELLING:
-            telling[own] = True
+        telling[sorted({index[w] for w in words}, key=lambda i: (df[i], i))[:MIN_TELLING]] = True
     return np.log(1 + total / (1.0 + df)), telling
 
 
@@ -138,7 +161,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     """Distributed randomised SVD of the TF-IDF passages over the items' vocabulary.
 
     One pass over the texts saves the term ids of each step of words; document
-    frequencies, the range of the passage matrix (its Gram matrix times Gaussian
+    frequencies (occurrences), the range of the passage matrix (its Gram matrix times Gaussian
     directions) and the Gram matrix in that range are then sums over tasks, of a size
     that the vocabulary of a block fixes. The items' own directions are put into the range,
     so rare words of an item are never lost in the noise of the corpus.
@@ -147,13 +170,17 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     index = {w: i for i, w in enumerate(sorted({w for ws in item_words for w in ws}))}
     n = len(index)
 
+    vocabulary = sorted(index)
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
         for part in (p for batch in batches for p in slices(batch, "text", SLICE_BYTES)):
-            steps = [steps_of(words_of(t.as_py()), index) for t in part.column(0)]
-            ids = [[i for s in d for i in s] for d in steps]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array([[len(s) for s in d] for d in steps], pa.list_(pa.int32()))], ["ids", "lengths"]
-            )
+            words, bounds = cut_words(part.column(0))
+            ids, counts, steps = steps_of(bounds, term_ids(words, known))
+            ends = np.concatenate([[0], np.cumsum(steps)])
+            held = np.concatenate([[0], np.cumsum(counts)])[ends]
+            columns = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((held, ids), (ends, counts))]
+            yield pa.RecordBatch.from_arrays(columns, ["ids", "lengths"])
 
     saved = materialise(docs.select("text").mapInArrow(take, "ids array<int>, lengths array<int>"), "steps")
 
@@ -161,8 +188,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
         seen = np.zeros(n + 1, np.int64)
         for batch in batches:
             ids, counts, _ = _steps(batch)
-            step = np.repeat(np.arange(len(counts)), counts)
-            seen[:n] += np.bincount(np.unique(step * n + ids) % n, minlength=n)
+            seen[:n] += np.bincount(ids, minlength=n)
             seen[n] += len(counts)
         yield _blocks(seen)
 
@@ -221,14 +247,14 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     unit = queries @ q @ kept
     norms = np.linalg.norm(unit, axis=1, keepdims=True)
     unit = (unit / np.where(norms > 0, norms, 1)).astype(np.float32)
-    return Index(index, telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], unit)
+    return Index(sorted(index), telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], unit, norms[:, 0])
 
 
-def leaked(words: list[str], at: int, item: list[str], answer: list[str]) -> tuple[int, int, int] | None:
+def leaked(words: pa.Array, at: int, item: list[str], answer: list[str]) -> tuple[int, int, int] | None:
     """Words in common order, and the region around the passage that has them, or None."""
     reach = max(2 * STEP, len(item))
     low, high = max(0, at - reach // 2), min(len(words), at + 2 * STEP + reach // 2)
-    region = words[low:high]
+    region = words.slice(low, high - low).to_pylist()
     n = common_length(item, region)
     if n < min(len(item), max(LEAST_WORDS, ENOUGH * len(item))):
         return None
@@ -244,28 +270,26 @@ def search(docs: DataFrame, block: Index) -> DataFrame:
     """One row for each document and item of the block that it holds."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for part in slices(batch, "text", SLICE_BYTES):
-                words = [words_of(t.as_py()) for t in part.column(1)]
-                steps = [steps_of(w, block.index) for w in words]
-                counts = np.array([len(s) for d in steps for s in d], np.int64)
-                ids = np.fromiter((i for d in steps for s in d for i in s), np.int64)
-                doc = np.repeat(np.arange(len(steps)), [len(d) for d in steps])
-                first = np.concatenate([[0], np.cumsum([len(d) for d in steps])])
-                best: dict[tuple[int, int], tuple] = {}
-                for which, both in passage_vectors(ids, counts, doc, block.basis, block.telling):
-                    norms = np.linalg.norm(both, axis=1)
-                    cosine = both @ block.unit.T
-                    for s, k in zip(*np.nonzero(cosine >= MIN_COSINE * norms[:, None] + (norms[:, None] == 0))):
-                        d = int(doc[which[s]])
-                        _, item, answer = block.items[k]
-                        hit = leaked(words[d], int(which[s] - first[d]) * STEP, item, answer)
-                        if hit and hit > best.get((d, k), (0,)):
-                            best[d, k] = hit
-                names = part.column(0).to_pylist()
-                for (d, k), (n, low, high) in best.items():
-                    out.append((names[d], block.items[k][0], n, len(block.items[k][1]), low, high))
+        known = pa.array(block.vocabulary, pa.string())
+        for part in (p for batch in batches for p in slices(batch, "text", SLICE_BYTES)):
+            words, bounds = cut_words(part.column(1))
+            ids, counts, steps = steps_of(bounds, term_ids(words, known))
+            doc = np.repeat(np.arange(len(steps)), steps)
+            first = np.cumsum(steps) - steps
+            best: dict[tuple[int, int], tuple] = {}
+            for which, both in passage_vectors(ids, counts, doc, block.basis, block.telling):
+                norms = np.linalg.norm(both, axis=1)
+                along = both @ block.unit.T
+                least = np.maximum(MIN_COSINE * norms[:, None], MIN_WEIGHT * block.norms[None, :])
+                for s, k in zip(*np.nonzero((along >= least) & (norms[:, None] > 0))):
+                    d = int(doc[which[s]])
+                    _, item, answer = block.items[k]
+                    at, low = int(which[s] - first[d]) * STEP, int(bounds[d])
+                    hit = leaked(words.slice(low, int(bounds[d + 1]) - low), at, item, answer)
+                    if hit and hit > best.get((d, k), (0,)):
+                        best[d, k] = hit
+            names = part.column(0).to_pylist()
+            out = [(names[d], block.items[k][0], n, len(block.items[k][1]), low, high) for (d, k), (n, low, high) in best.items()]
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in FOUND.split(", ")])
 
@@ -278,7 +302,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
     All passages of all whole texts (64 words, from every 32nd) are searched for all
     items, taken in blocks of ``block_items``. A passage whose cosine with an item is 0.4
-    or more in the latent space is compared word by word with its surroundings: 0.8 of the
+    or more in the latent space, and that carries 0.3 of the item's weight, is compared word by word with its surroundings: 0.8 of the
     item's words in the same order tell, or 0.6 if 0.6 of the answer's words (an item's
     last sentence) are in order there too; at least six words, or all of a shorter item.
 
@@ -287,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     reported; empty tables give no rows.
     """
     own = texts(docs)
-    known = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where(F.col("text").rlike(r"\w"))
+    known = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where(F.col("text").rlike(r"[^\s\p{Punct}]"))
     rows = known.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
     blocks: list[list[tuple[int, str]]] = [[]]
     for r in rows.toLocalIterator():

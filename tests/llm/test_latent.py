@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tabsight.llm import latent
 
@@ -63,7 +64,7 @@ def test_brute_force_decision(spark):
     rows, items, _ = corpus()
     want = set()
     for i, t in rows:
-        words = latent.words_of(t)
+        words = pa.array(latent.words_of(t), pa.string())
         for k, item in items:
             for at in range(0, len(words), latent.STEP):
                 if latent.leaked(words, at, latent.words_of(item), latent.answer_of(item)):
@@ -82,15 +83,23 @@ def test_empty_tables(spark):
 def test_basis_is_a_singular_basis(spark):
     rows, items, _ = corpus()
     block = latent.fit(documents(spark, rows).select("doc_id", "text"), items)
-    matrix = []
+    matrix, index = [], {w: i for i, w in enumerate(block.vocabulary)}
     for _, t in rows:
-        steps = latent.steps_of(latent.words_of(t), block.index)
-        for a, b in zip(steps, [*steps[1:], []]):
-            ids = [i for i in a + b if block.telling[i]]
+        words = latent.words_of(t)
+        for at in range(0, len(words), latent.STEP):
+            ids = [index[w] for w in words[at : at + 2 * latent.STEP] if w in index]
+            ids = [i for i in ids if block.telling[i]]
             if len(ids) >= latent.MIN_TERMS:
                 matrix.append(block.basis[ids].sum(axis=0))
     got = np.array(matrix, float)
-    queries = np.array([block.basis[[block.index[w] for w in ws if block.telling[block.index[w]]]].sum(axis=0) for _, ws, _ in block.items], float)
+    queries = np.array([block.basis[[index[w] for w in ws if block.telling[index[w]]]].sum(axis=0) for _, ws, _ in block.items], float)
     gram = got.T @ got + queries.T @ queries
     off = gram - np.diag(np.diag(gram))
     assert np.abs(off).max() < 1e-3 * np.diag(gram).max()
+
+
+def test_words():
+    texts = ["A b-c. (D)\n\t!!! e***", "", "  ", "Ünï x"]
+    words, bounds = latent.cut_words(pa.array(["skipped", *texts]).slice(1))
+    assert words.to_pylist() == ["a", "b-c", "d", "e", "ünï", "x"] and bounds.tolist() == [0, 4, 4, 4, 6]
+    assert latent.answer_of("One two. Three four?") == ["three", "four"] and latent.answer_of("a b c d") == ["c", "d"]
