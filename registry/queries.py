@@ -242,7 +242,10 @@ def date_layouts(spark, d):
 
 # --- profile ----------------------------------------------------------------------------
 
-_METADATA_COLUMNS = ["l_quantity", "l_returnflag", "l_linestatus", "l_linenumber", "l_discount"]
+_METADATA_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+]
 _nulls = " + ".join(f"count(*) - count({c})" for c in _METADATA_COLUMNS)
 
 

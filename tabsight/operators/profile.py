@@ -28,24 +28,29 @@ TYPE_WIDTH = {
 }
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """Columns whose equality (nulls equal) means equal rows, with bounded width.
+def _row_key(df: DataFrame) -> Column:
+    """32 bytes whose equality means equal rows (nulls equal): the SHA-256 of all values.
 
-    Long text is compared by its SHA-256 digest, so a table of long documents does not
-    cross the network to find equal rows.
+    Every value stands with its length, and null apart from empty, so neither can be
+    mistaken for its neighbour's; long text enters by a digest of its own. However wide the
+    table, a row crosses the network as one key.
     """
-    keys = []
-    for i, f in enumerate(df.schema.fields):
+    parts = []
+    for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             long = F.octet_length(c) > LONG_TEXT_BYTES
-            keys.append(F.when(~long, c.cast("binary")).alias(f"k{i}"))
-            keys.append(F.when(long, F.unhex(F.sha2(c.cast("binary"), 256))).alias(f"d{i}"))
-        elif isinstance(f.dataType, (T.MapType, T.VariantType)):
-            keys.append(F.to_json(c).alias(f"k{i}"))
+            shown = F.when(long, F.concat(F.lit("#"), F.sha2(c.cast("binary"), 256))).otherwise(F.concat(F.lit("="), F.hex(c.cast("binary"))))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            shown = (c + F.lit(0.0)).cast("string")  # both zeros are one value
+        elif isinstance(f.dataType, T.TimestampType):
+            shown = F.unix_micros(c).cast("string")  # text would join two hours of some zones
+        elif isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType)):
+            shown = F.to_json(c)
         else:
-            keys.append(c.alias(f"k{i}"))
-    return keys
+            shown = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("n")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -62,11 +67,9 @@ def dataset_metadata(df: DataFrame, source_type: str = "table") -> DataFrame:
     """
     df = missing_as_null(df)
     nulls = sum((col(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    keys = _row_key(df)
-    names = [f"`{df.select(k).columns[0]}`" for k in keys]
     groups = (
-        df.select(*keys, nulls.alias("_nulls"))
-        .groupBy(*names)
+        df.select(_row_key(df).alias("_key"), nulls.alias("_nulls"))
+        .groupBy("_key")
         .agg(F.count("*").alias("_n"), F.sum("_nulls").alias("_missing"))
     )
     return groups.agg(
