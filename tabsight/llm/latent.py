@@ -23,13 +23,13 @@ from .common import slices, texts
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 # A passage is two steps of words long and begins at each step.
 STEP = 32
-# Items of one block (each has its own vocabulary and basis), Gaussian directions, and the
+# Pieces of items in one block (each has its own vocabulary and basis), Gaussian directions, and the
 # share of the largest singular value below which a direction is noise.
 BLOCK_ITEMS, DIRECTIONS, NOISE = 256, 32, 1e-4
 # A word is telling if it occurs at most so often for each step of the corpus, or if it is
 # among the MIN_TELLING rarest of an item. Passages need MIN_TERMS telling words.
 MAX_SHARE, MIN_TELLING, MIN_TERMS = 0.002, 8, 3
-# Least cosine with an item, and least part of the item's weight that a passage carries.
+# Least cosine with a piece of an item, and least part of its weight that a passage carries.
 MIN_COSINE, MIN_WEIGHT = 0.4, 0.3
 # Shares of an item's words in common order: sure, or enough if the answer's are there too.
 SURE, ENOUGH, ANSWER = 0.8, 0.6, 0.6
@@ -62,6 +62,13 @@ def answer_of(text: str) -> list[str]:
     return parts[-1] if len(parts) > 1 else words[-(-len(words) // 3) :]
 
 
+def places_of(words: list[str]) -> list[int]:
+    """Where an item's pieces begin: one piece, or as many of a passage's length as cover a
+    longer item, from every step and up to its end."""
+    last = max(0, len(words) - 2 * STEP)
+    return [*range(0, last, STEP), last]
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     """Words of the longest common subsequence, by bit vectors."""
     places: dict[str, int] = {}
@@ -142,11 +149,12 @@ def passage_vectors(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis:
 
 
 class Index:
-    """A block of items in latent coordinates: weights of words, a basis, unit items."""
+    """A block of items in latent coordinates: weights of words, a basis, unit pieces, and
+    the number of each piece's item and its place there."""
 
-    def __init__(self, vocabulary, telling, basis, items, unit, norms):
+    def __init__(self, vocabulary, telling, basis, items, pieces, unit, norms):
         self.vocabulary, self.telling, self.basis = vocabulary, telling, basis
-        self.items, self.unit, self.norms = items, unit, norms
+        self.items, self.pieces, self.unit, self.norms = items, pieces, unit, norms
 
 
 def weigh(items: list[list[str]], index: dict[str, int], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +171,14 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     One pass over the texts saves the term ids of each step of words; document
     frequencies (occurrences), the range of the passage matrix (its Gram matrix times Gaussian
     directions) and the Gram matrix in that range are then sums over tasks, of a size
-    that the vocabulary of a block fixes. The items' own directions are put into the range,
+    that the vocabulary of a block fixes. Items go in pieces; the pieces' own directions are put into the range,
     so rare words of an item are never lost in the noise of the corpus.
     """
     item_words = [words_of(t) for _, t in items]
     index = {w: i for i, w in enumerate(sorted({w for ws in item_words for w in ws}))}
     n = len(index)
+    pieces = [(k, at) for k, ws in enumerate(item_words) for at in places_of(ws)]
+    piece_words = [item_words[k][at : at + 2 * STEP] for k, at in pieces]
 
     vocabulary = sorted(index)
 
@@ -194,10 +204,10 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
 
     seen = np.frombuffer(b"".join(_summed(saved.mapInArrow(frequencies, "block long, data binary"), "i8")), "i8")
     seen = seen if len(seen) else np.zeros(n + 1, np.int64)
-    idf, telling = weigh(item_words, index, seen[:n], int(seen[n]))
+    idf, telling = weigh(piece_words, index, seen[:n], int(seen[n]))
 
-    queries = np.zeros((len(items), n))
-    for q, words in enumerate(item_words):
+    queries = np.zeros((len(pieces), n))
+    for q, words in enumerate(piece_words):
         for w in words:
             if telling[index[w]]:
                 queries[q, index[w]] += idf[index[w]]
@@ -239,7 +249,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
 
     found = b"".join(_summed(saved.mapInArrow(grams, "block long, data binary"), "f8"))
     gram = np.frombuffer(found, "f8").reshape(q.shape[1], -1) if found else np.zeros((q.shape[1],) * 2)
-    # The items are passages too, so none of their directions is lost.
+    # The pieces are passages too, so none of their directions is lost.
     gram = gram + (queries @ q).T @ (queries @ q)
     squares, turn = np.linalg.eigh(gram)
     kept = turn[:, squares > (NOISE**2) * max(squares.max(initial=0), 1e-300)]
@@ -247,13 +257,14 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     unit = queries @ q @ kept
     norms = np.linalg.norm(unit, axis=1, keepdims=True)
     unit = (unit / np.where(norms > 0, norms, 1)).astype(np.float32)
-    return Index(sorted(index), telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], unit, norms[:, 0])
+    return Index(sorted(index), telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], pieces, unit, norms[:, 0])
 
 
 def leaked(words: pa.Array, at: int, item: list[str], answer: list[str]) -> tuple[int, int, int] | None:
-    """Words in common order, and the region around the passage that has them, or None."""
+    """Words in common order, and the region around the item's length from ``at`` on that
+    has them, or None."""
     reach = max(2 * STEP, len(item))
-    low, high = max(0, at - reach // 2), min(len(words), at + 2 * STEP + reach // 2)
+    low, high = max(0, at - reach // 2), max(0, min(len(words), at + reach + reach // 2))
     region = words.slice(low, high - low).to_pylist()
     n = common_length(item, region)
     if n < min(len(item), max(LEAST_WORDS, ENOUGH * len(item))):
@@ -277,14 +288,20 @@ def search(docs: DataFrame, block: Index) -> DataFrame:
             doc = np.repeat(np.arange(len(steps)), steps)
             first = np.cumsum(steps) - steps
             best: dict[tuple[int, int], tuple] = {}
+            compared: set[tuple[int, int, int]] = set()
             for which, both in passage_vectors(ids, counts, doc, block.basis, block.telling):
                 norms = np.linalg.norm(both, axis=1)
                 along = both @ block.unit.T
                 least = np.maximum(MIN_COSINE * norms[:, None], MIN_WEIGHT * block.norms[None, :])
                 for s, k in zip(*np.nonzero((along >= least) & (norms[:, None] > 0))):
                     d = int(doc[which[s]])
+                    k, place = block.pieces[k]
                     _, item, answer = block.items[k]
-                    at, low = int(which[s] - first[d]) * STEP, int(bounds[d])
+                    # The item would begin so far before its piece; it may be negative.
+                    at, low = int(which[s] - first[d]) * STEP - place, int(bounds[d])
+                    if (d, k, at) in compared:
+                        continue
+                    compared.add((d, k, at))
                     hit = leaked(words.slice(low, int(bounds[d + 1]) - low), at, item, answer)
                     if hit and hit > best.get((d, k), (0,)):
                         best[d, k] = hit
@@ -301,9 +318,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     common subsequence with the item's item_words words), from_word, to_word (the region).
 
     All passages of all whole texts (64 words, from every 32nd) are searched for all
-    items, taken in blocks of ``block_items``. A passage whose cosine with an item is 0.4
-    or more in the latent space, and that carries 0.3 of the item's weight, is compared word by word with its surroundings: 0.8 of the
-    item's words in the same order tell, or 0.6 if 0.6 of the answer's words (an item's
+    items, taken in blocks of ``block_items`` pieces: an item of more words than a passage
+    is cut into pieces of 64 words, from every 32nd, and is never divided between blocks.
+    Where a passage's cosine with a piece is 0.4 or more in the latent space, and it
+    carries 0.3 of the piece's weight, the whole item is compared word by word with the
+    passage's surroundings: 0.8 of the item's words in the same order tell, or 0.6 if 0.6 of the answer's words (an item's
     last sentence) are in order there too; at least six words, or all of a shorter item.
 
     Null texts are empty and hold nothing; items without words are passed over, and of
@@ -314,10 +333,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     known = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where(F.col("text").rlike(r"[^\s\p{Punct}]"))
     rows = known.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
     blocks: list[list[tuple[int, str]]] = [[]]
+    held = 0
     for r in rows.toLocalIterator():
-        if len(blocks[-1]) == block_items:
+        pieces = len(places_of(words_of(r.text)))
+        if held + pieces > block_items and blocks[-1]:
             blocks.append([])
+            held = 0
         blocks[-1].append((r.item_id, r.text))
+        held += pieces
     found = [search(own, fit(own, b)) for b in blocks if b]
     if not found:
         return docs.sparkSession.createDataFrame([], FOUND)
