@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, latent, packing, pii, preference, quality, simhash, suffix, toxicity, urls
+from . import bitpack, infill, latent, packing, pii, preference, quality, resampling, simhash, suffix, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -119,3 +119,33 @@ URL_RULES = [
 )
 def op10(spark, d):
     return urls.judge_urls(table(spark, d, "pages").select("page_id", "url"), spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA))
+
+
+@query("op11_importance_resampling")
+def op11(spark, d):
+    got = resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query(
+    "op13_fill_in_middle",
+    """WITH own AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         drawn AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+             ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM own),
+         cut AS (SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+             greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                 WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+         parts AS (SELECT *, array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m,
+             array_to_string(tokens[b + 1:], '') AS s FROM cut)
+         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+             CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+             sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                 ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+             sha256(text) AS restored_sha256 FROM parts""",
+)
+def op13(spark, d):
+    made = infill.fill_in_middle(table(spark, d, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
