@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, infill, latent, packing, pii, preference, quality, resampling, simhash, suffix, toxicity, urls
+from . import bitpack, infill, latent, packing, pii, preference, quality, resampling, simhash, sketches, suffix, toxicity, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -127,6 +127,28 @@ def op11(spark, d):
     return got.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
+@query(
+    "op12_minhash_near_dedup",
+    r"""WITH RECURSIVE own AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         sets AS (SELECT r, doc_id, CASE WHEN len(w) > 1
+             THEN list_sort(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) ELSE w END AS s FROM own),
+         nodes AS (SELECT s, min(doc_id) AS name, len(s) AS size FROM sets WHERE len(s) > 0 GROUP BY s),
+         members AS (SELECT name, size, unnest(s) AS m FROM nodes),
+         links AS (SELECT a.name AS a, b.name AS b FROM members a JOIN members b
+                 ON a.m = b.m AND a.name < b.name AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+             GROUP BY a.name, b.name, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+         reach(node, other) AS (SELECT a, b FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+         parts AS (SELECT node, min(other) AS least FROM reach GROUP BY node)
+         SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(least(least, name), sets.doc_id) AS component_id,
+             sets.doc_id = coalesce(least(least, name), sets.doc_id) AS kept
+         FROM sets LEFT JOIN nodes USING (s) LEFT JOIN parts ON node = name""",
+)
+def op12(spark, d):
+    return sketches.near_duplicates(table(spark, d, "documents"))
+
+
 @query(
     "op13_fill_in_middle",
     """WITH own AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
