@@ -124,9 +124,12 @@ def _steps(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids.flatten().to_numpy(zero_copy_only=False), counts, doc
 
 
-def passage_vectors(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis: np.ndarray, telling: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(steps, their passages' coordinates) some at a time: a passage is the sum of a
-    step's and the next step's rows of the basis; those of fewer telling words are left out."""
+def passage_vectors(
+    ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis: np.ndarray, telling: np.ndarray, least: int = MIN_TERMS
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(steps, their passages' coordinates, how many telling words they have) some at a time:
+    a passage is the sum of a step's and the next step's rows of the basis; those of fewer
+    than ``least`` telling words are left out."""
     step = np.repeat(np.arange(len(counts)), counts)
     step, ids = step[telling[ids]], ids[telling[ids]]
     held = np.bincount(step, minlength=len(counts) + 1)
@@ -136,7 +139,7 @@ def passage_vectors(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis:
     edges = np.searchsorted(step, np.arange(len(counts) + 1))
     for at in range(0, len(counts), GATHER):
         stop = min(len(counts), at + GATHER)
-        some = np.flatnonzero(terms[at:stop] >= MIN_TERMS)
+        some = np.flatnonzero(terms[at:stop] >= least)
         if not len(some):
             continue
         end = min(len(counts), stop + 1)
@@ -145,16 +148,17 @@ def passage_vectors(ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, basis:
         used = np.flatnonzero(held[at:end])
         sums[used] = np.add.reduceat(basis[ids[a:b]], edges[at + used] - a, axis=0)
         both = sums[some] + np.where(joined[at + some, None], sums[some + 1], 0)
-        yield at + some, both
+        yield at + some, both, terms[at + some]
 
 
 class Index:
-    """A block of items in latent coordinates: weights of words, a basis, unit pieces, and
-    the number of each piece's item and its place there."""
+    """A block of items in latent coordinates: weights of words, a basis, unit pieces, the
+    number of each piece's item and its place there, and the telling words that a passage
+    needs to be compared with it: MIN_TERMS, or all that the piece has."""
 
-    def __init__(self, vocabulary, telling, basis, items, pieces, unit, norms):
+    def __init__(self, vocabulary, telling, basis, items, pieces, unit, norms, needs):
         self.vocabulary, self.telling, self.basis = vocabulary, telling, basis
-        self.items, self.pieces, self.unit, self.norms = items, pieces, unit, norms
+        self.items, self.pieces, self.unit, self.norms, self.needs = items, pieces, unit, norms, needs
 
 
 def weigh(items: list[list[str]], index: dict[str, int], df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +169,7 @@ def weigh(items: list[list[str]], index: dict[str, int], df: np.ndarray, total:
     return np.log(1 + total / (1.0 + df)), telling
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTIONS) -> Index:
+def fit(docs: DataFrame, items: list[tuple[int | None, str]], directions: int = DIRECTIONS) -> Index:
     """Distributed randomised SVD of the TF-IDF passages over the items' vocabulary.
 
     One pass over the texts saves the term ids of each step of words; document
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
             ids, counts, doc = _steps(batch)
             step = np.repeat(np.arange(len(counts)), counts)
             y = np.zeros((len(counts) + 1, directions), np.float32)
-            for steps, both in passage_vectors(ids, counts, doc, omega, telling):
+            for steps, both, _ in passage_vectors(ids, counts, doc, omega, telling):
                 y[steps] = both
             # A step belongs to the passage it begins and to the one before it.
             follows = np.zeros(len(counts), bool)
@@ -243,7 +247,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((q.shape[1], q.shape[1]))
         for batch in batches:
-            for _, both in passage_vectors(*_steps(batch), scaled, telling):
+            for _, both, _ in passage_vectors(*_steps(batch), scaled, telling):
                 total += both.T @ both
         yield _blocks(total)
 
@@ -257,7 +261,8 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], directions: int = DIRECTI
     unit = queries @ q @ kept
     norms = np.linalg.norm(unit, axis=1, keepdims=True)
     unit = (unit / np.where(norms > 0, norms, 1)).astype(np.float32)
-    return Index(sorted(index), telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], pieces, unit, norms[:, 0])
+    needs = np.array([min(MIN_TERMS, sum(telling[index[w]] for w in words)) for words in piece_words])
+    return Index(sorted(index), telling, basis, [(i, w, answer_of(t)) for (i, t), w in zip(items, item_words)], pieces, unit, norms[:, 0], needs)
 
 
 def leaked(words: pa.Array, at: int, item: list[str], answer: list[str]) -> tuple[int, int, int] | None:
@@ -289,11 +294,12 @@ def search(docs: DataFrame, block: Index) -> DataFrame:
             first = np.cumsum(steps) - steps
             best: dict[tuple[int, int], tuple] = {}
             compared: set[tuple[int, int, int]] = set()
-            for which, both in passage_vectors(ids, counts, doc, block.basis, block.telling):
+            for which, both, terms in passage_vectors(ids, counts, doc, block.basis, block.telling, max(1, block.needs.min())):
                 norms = np.linalg.norm(both, axis=1)
                 along = both @ block.unit.T
                 least = np.maximum(MIN_COSINE * norms[:, None], MIN_WEIGHT * block.norms[None, :])
-                for s, k in zip(*np.nonzero((along >= least) & (norms[:, None] > 0))):
+                enough = terms[:, None] >= block.needs[None, :]
+                for s, k in zip(*np.nonzero((along >= least) & (norms[:, None] > 0) & enough)):
                     d = int(doc[which[s]])
                     k, place = block.pieces[k]
                     _, item, answer = block.items[k]
@@ -323,16 +329,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     Where a passage's cosine with a piece is 0.4 or more in the latent space, and it
     carries 0.3 of the piece's weight, the whole item is compared word by word with the
     passage's surroundings: 0.8 of the item's words in the same order tell, or 0.6 if 0.6 of the answer's words (an item's
-    last sentence) are in order there too; at least six words, or all of a shorter item.
+    last sentence) are in order there too; at least six words, or all of a shorter item. A
+    passage needs three of a piece's telling words, or as many as the piece has, so items of
+    one and two words are found too.
 
-    Null texts are empty and hold nothing; items without words are passed over, and of
-    equal item_ids the first by text holds; null ids stay; repeated documents are all
+    Null texts are empty and hold nothing; items without words are passed over. Every
+    different (item_id, text) is an item, so equal and null item_ids lose nothing: a document
+    has a row for each of them that it holds. Null ids stay; repeated documents are all
     reported; empty tables give no rows.
     """
     own = texts(docs)
     known = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where(F.col("text").rlike(r"[^\s\p{Punct}]"))
-    rows = known.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
-    blocks: list[list[tuple[int, str]]] = [[]]
+    rows = known.distinct().orderBy("item_id", "text")
+    blocks: list[list[tuple[int | None, str]]] = [[]]
     held = 0
     for r in rows.toLocalIterator():
         pieces = len(places_of(words_of(r.text)))

@@ -73,6 +73,15 @@ def test_brute_force_decision(spark):
     assert {(r.doc_id, r.item_id) for r in latent.find_leaks(documents(spark, rows), bench).collect()} == want
 
 
+def test_equal_null_and_short_items(spark):
+    rng, text = language(31)
+    items = [(1, text(30)), (1, text(30)), (None, text(30)), (None, text(25)), (2, "paris france"), (3, "zyzzyva")]
+    rows = [(100 + k, f"{text(50)} {t} {text(50)}") for k, (_, t) in enumerate(items)] + [(200 + k, text(120)) for k in range(40)] + [(300, "paris france"), (301, None), (302, "")]
+    got = latent.find_leaks(documents(spark, rows), spark.createDataFrame([*items, (1, items[0][1])], "item_id long, text string")).collect()
+    want = [(100 + k, i) for k, (i, _) in enumerate(items)] + [(300, 2)]
+    assert sorted(((r.doc_id, r.item_id or 0) for r in got)) == sorted((d, i or 0) for d, i in want)
+
+
 def test_empty_tables(spark):
     rows, items, _ = corpus()
     bench = spark.createDataFrame(items, "item_id long, text string")
