@@ -18,7 +18,7 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 # Labelled documents to learn from (chosen by hash), words the model may use, and the
 # evidence (log-likelihood ratio over distinct sentences) that a word needs.
-TRAIN_ROWS, MAX_WORDS, MIN_EVIDENCE = 20_000, 1024, 20.0
+TRAIN_ROWS, MAX_WORDS, MIN_EVIDENCE = 20_000, 4096, 15.0
 STEPS, RATE, RIDGE, START_WORD, START_BIAS = 400, 0.1, 1e-4, 3.0, -1.0
 THRESHOLD = 0.7
 SCORED = "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>"
@@ -131,13 +131,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     """Fit on at most ``train_rows`` labelled documents, never on held-out ones.
 
     The rows are chosen by a hash of their id; their ids, of a bounded number, are
-    broadcast, so no text is shuffled. Null labels and ids are passed over; of several
-    labels the toxic one holds.
+    broadcast, so only their texts are shuffled. Null labels and ids are passed over; of several
+    labels the toxic one holds, and of several texts of one id the first in order, so a
+    repeated id brings no more than one row.
     """
     doc_id = labels["doc_id"].cast("long")
     known = labels.select(doc_id.alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 1))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    drawn = materialise(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    matched = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    drawn = materialise(matched.select("text", "toxic"), "labelled")
     words = telling_words(drawn, max_words, min_evidence)
     index = {w: i for i, w in enumerate(words)}
 

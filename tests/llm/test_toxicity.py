@@ -36,6 +36,15 @@ def test_learns_from_document_labels_and_locates_sentences(spark):
     assert got[902].predicted == 1 and len(got[902].offending) == 1
 
 
+def test_a_repeated_id_is_learned_from_once(spark):
+    rows, labels = corpus(60)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = rows[next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1)][0]
+    many = documents(spark, rows + [(learned, dict(rows)[learned])] * 50 + [(learned, "~ later text")] * 50)
+    a, b = toxicity.train_toxicity(documents(spark, rows), labels), toxicity.train_toxicity(many, labels)
+    assert a.weights == b.weights and a.leak == b.leak
+
+
 def test_held_out_labels_are_not_learned_from(spark):
     rows, labels = corpus()
     kept = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 3 != 1]
