@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, per_column
+from ..functions.columns import col
 
 # Date layouts tried in this order; a column takes the first that parses
 # all of its values.
@@ -44,8 +45,7 @@ DATE_FORMATS = [
 MIN_PARSED_SHARE = 0.5
 
 
-# A value can only match a layout of its own shape: digits as 9, letters as a. Comparing
-# shapes first keeps the parser away from values it would reject one exception at a time.
+# A value can only match a layout of its own shape: digits as 9, letters as a.
 _DIGITS, _LETTERS = "0123456789", string.ascii_letters
 
 
@@ -53,55 +53,62 @@ def _shape(value: Column) -> Column:
     return F.translate(value, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
 
 
-_PLAIN = str.maketrans({**dict.fromkeys("ydHmsS", "9"), "T": "a"})
-
-# The shapes of a layout's parts; a longer part stands before its prefixes.
+# The shapes that a layout's parts can have; a longer part stands before its prefixes.
 _PARTS = {
-    "yyyy": "9{4}", "MMM": "a{3}", "MM": "9{2}", "dd": "9{2}", "HH": "9{2}", "mm": "9{2}", "ss": "9{2}",
-    "SSSSSS": "9{6}", "SSS": "9{3}", "XXX": "(?:a|[+-]9{2}:9{2})", "'T'": "a", "M": "9{1,2}", "d": "9{1,2}", "H": "9{1,2}",
+    "SSSSSS": ["999999"], "yyyy": ["9999"], "MMM": ["aaa"], "SSS": ["999"], "XXX": ["a", "+99:99", "-99:99"], "'T'": ["a"],
+    "MM": ["99"], "dd": ["99"], "HH": ["99"], "mm": ["99"], "ss": ["99"], "M": ["9", "99"], "d": ["9", "99"], "H": ["9", "99"],
 }
 
 
-def _plain(part: str) -> str:
-    return "aaa" if part == "MMM" else "99" if part == "MM" else part.replace("'", "").translate(_PLAIN)
-
-
-def _has_shape(shape: Column, layout: str) -> Column:
-    """Whether a shape is one of those that a layout can have: one text to compare with,
-    or a pattern where parts vary in length."""
-    parts = re.findall("|".join(sorted(_PARTS, key=len, reverse=True)) + "|.", layout)
-    if not {"M", "d", "H", "XXX"} & set(parts):
-        return shape == "".join(_plain(p) if p in _PARTS else p for p in parts)
-    return shape.rlike("^" + "".join(_PARTS.get(p, re.escape(p)) for p in parts) + "$")
+def layout_shapes(layout: str) -> set[str]:
+    """All shapes of the values that a layout can read."""
+    parts = re.findall("|".join(map(re.escape, _PARTS)) + "|.", layout)
+    return {"".join(way) for way in product(*(_PARTS.get(p, [p]) for p in parts))}
+
+
+def column_shapes(df: DataFrame, columns: Sequence[str], known: set[str]) -> dict[str, tuple[float, set[str]] | None]:
+    """Of each text column, the share of values present and the known shapes they have, or
+    None where a value has another shape. The shape of a value is made once, below the
+    aggregate, and a set holds known shapes only, so its size does not depend on the data."""
+    longest = max(map(len, known), default=0)
+    shaped = df.select(*[F.when(F.length(col(c)) <= longest, _shape(col(c))).alias(f"s{i}") for i, c in enumerate(columns)], *[col(c).isNotNull().alias(f"n{i}") for i, c in enumerate(columns)])
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i in range(len(columns)):
+        listed = F.col(f"s{i}").isin(sorted(known))
+        aggregates += [
+            F.count_if(F.col(f"n{i}")).alias(f"n{i}"),
+            F.count_if(F.col(f"n{i}") & ~F.coalesce(listed, F.lit(False))).alias(f"odd{i}"),
+            F.collect_set(F.when(listed, F.col(f"s{i}"))).alias(f"s{i}"),
+        ]
+    r = shaped.agg(*aggregates).first()
+    return {c: None if r[f"odd{i}"] or not r["rows"] else (r[f"n{i}"] / r["rows"], set(r[f"s{i}"])) for i, c in enumerate(columns)}
 
 
 def promote_datetimes(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
     """Turn text columns into timestamps when every value parses and most are present.
 
-    Each value gives the set of layouts that read it, as bits of a number; the layouts
-    of a column are those in all of its sets, one aggregate a column.
+    A column's shapes, from one scan, leave the layouts that can read all of them, mostly
+    one or none; a second scan parses the columns that have any by those alone, and the first
+    that reads every value holds.
     """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
-    longest = max(map(len, formats)) + len("+00:00")
-
-    def stats(c: str) -> dict[str, Column]:
-        shape = F.when(F.length(col(c)) <= longest, _shape(col(c)))
-        bits = F.lit(0).cast("bigint")
-        for j, layout in enumerate(formats):
-            reads = _has_shape(shape, layout) & F.try_to_timestamp(col(c), F.lit(layout)).isNotNull()
-            bits = bits + F.when(reads, F.lit(1 << j).cast("bigint")).otherwise(0)
-        return {"rows": F.count(F.lit(1)), "n": F.count(col(c)), "layouts": F.bit_and(F.when(col(c).isNotNull(), bits))}
-
-    seen = per_column(df.select(*[col(c) for c in strings]), strings, stats).collect()
-    chosen = {}
-    for r in seen:
-        if r["n"] and r["n"] / r["rows"] > MIN_PARSED_SHARE:
-            chosen[r["column"]] = next((f for j, f in enumerate(formats) if r["layouts"] >> j & 1), None)
+    shapes = {f: layout_shapes(f) for f in formats}
+    possible = {}
+    for c, seen in column_shapes(df, strings, set().union(*shapes.values())).items():
+        if seen and seen[1] and seen[0] > MIN_PARSED_SHARE:
+            possible[c] = [f for f in formats if seen[1] <= shapes[f]]
+    tries = [(c, f) for c, layouts in possible.items() for f in layouts]
+    chosen: dict[str, str] = {}
+    if tries:
+        unread = [F.count_if(col(c).isNotNull() & F.try_to_timestamp(col(c), F.lit(f)).isNull()) for c, f in tries]
+        for (c, f), n in zip(tries, df.select(*[col(c) for c in possible]).agg(*unread).first()):
+            if n == 0:
+                chosen.setdefault(c, f)
     return df.select(
         *[
-            F.try_to_timestamp(col(c), F.lit(chosen[c])).alias(c) if chosen.get(c) else col(c)
+            F.try_to_timestamp(col(c), F.lit(chosen[c])).alias(c) if c in chosen else col(c)
             for c in df.columns
         ]
     )
