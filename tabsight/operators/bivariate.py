@@ -17,6 +17,7 @@ from ..functions.columns import (
     rounded,
     union_all,
 )
+from ..functions.comoments import correlation, pair_moments
 from ..functions.counts import small_domains, text
 from ..functions.order import dense_position
 from ..functions.quantiles import exact_quantiles
@@ -40,6 +41,10 @@ def correlation_matrix(
         return df.sparkSession.createDataFrame([], "i int, j int, a string, b string, r double")
     if method == "pearson":
         values = numeric_frame(df, columns)
+        if len(pairs) > AGGREGATES_PER_SCAN // _PAIR_AGGREGATES:
+            names = F.array(*map(F.lit, columns))
+            named = [F.element_at(names, F.col(k) + 1).alias(name) for k, name in (("i", "a"), ("j", "b"))]
+            return correlation(pair_moments(values, columns)).select("i", "j", *named, "r")
         return _pair_table(
             values, columns, {(i, j): guarded_corr(col(columns[i]), col(columns[j])) for i, j in pairs}
         )
@@ -49,24 +54,19 @@ def correlation_matrix(
 
 
 def _pair_table(values: DataFrame, columns, expressions: dict[tuple[int, int], Column]) -> DataFrame:
-    frames = []
-    step = AGGREGATES_PER_SCAN // _PAIR_AGGREGATES
-    items = list(expressions.items())
-    for start in range(0, len(items), step):
-        part = items[start : start + step]
-        row = values.agg(*[expr.alias(f"r{i}_{j}") for (i, j), expr in part])
-        structs = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("a"),
-                F.lit(columns[j]).alias("b"),
-                F.col(f"r{i}_{j}").alias("r"),
-            )
-            for (i, j), _ in part
-        ]
-        frames.append(row.select(F.inline(F.array(*structs))))
-    return union_all(frames)
+    """A few pairs by aggregates of one scan."""
+    row = values.agg(*[expr.alias(f"r{i}_{j}") for (i, j), expr in expressions.items()])
+    structs = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            F.lit(columns[i]).alias("a"),
+            F.lit(columns[j]).alias("b"),
+            F.col(f"r{i}_{j}").alias("r"),
+        )
+        for i, j in expressions
+    ]
+    return row.select(F.inline(F.array(*structs)))
 
 
 def _spearman(df: DataFrame, columns: Sequence[str], i: int, j: int) -> DataFrame:
@@ -86,15 +86,11 @@ def _spearman(df: DataFrame, columns: Sequence[str], i: int, j: int) -> DataFram
         return placed.select(F.col(side), middle.alias(f"r{side}"))
 
     ranked = cells.join(ranks("_x"), "_x").join(ranks("_y"), "_y")
-    # Weighted moments of the distinct pairs equal plain moments of all pairs.
+    # Weighted moments of the distinct pairs equal plain moments of all pairs, and average
+    # ranks of n values have the mean (n + 1) / 2 on both sides.
     w = F.col("_c").cast("double")
-    means = ranked.agg(
-        F.sum(w).alias("n"),
-        (F.sum(w * F.col("r_x")) / F.sum(w)).alias("mx"),
-        (F.sum(w * F.col("r_y")) / F.sum(w)).alias("my"),
-    ).first()
-    dx = F.col("r_x") - F.lit(means["mx"]).cast("double")
-    dy = F.col("r_y") - F.lit(means["my"]).cast("double")
+    mean = F.lit((both.count() + 1) / 2)
+    dx, dy = F.col("r_x") - mean, F.col("r_y") - mean
     return ranked.agg(
         F.try_divide(
             F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))

@@ -24,6 +24,46 @@ def test_correlations_match_pandas(spark):
     assert [(r["a"], r["b"], r["direction"]) for r in strong.collect()] == [("a", "d", "positive")]
 
 
+def test_many_columns_match_pandas(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(500, 9)) + 1e6, columns=list("abcdefghi"))
+    pdf["b"] = pdf["a"] * 3 + rng.normal(size=500)
+    for k, c in enumerate("abcdef"):
+        pdf.loc[k :: 5 + k, c] = np.nan
+    pdf["same"] = 0.1
+    # Varies, but not where c is present; and is nowhere present where d is.
+    pdf["held"] = np.where(pdf["c"].isna(), rng.normal(size=500), 0.3)
+    pdf["apart"] = np.where(pdf["d"].isna(), rng.normal(size=500), np.nan)
+    pdf["endless"] = np.where(np.arange(500) == 7, np.inf, rng.normal(size=500))
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = {(r["a"], r["b"]): r["r"] for r in bivariate.correlation_matrix(df).collect()}
+    assert len(got) == 13 * 12 // 2
+    want = pdf.corr()
+    for (a, b), value in got.items():
+        if "endless" in (a, b) and (np.isinf(pdf["endless"]) & pdf[a].notna() & pdf[b].notna()).any():
+            assert np.isnan(value), (a, b)
+        elif "same" in (a, b) or {a, b} in ({"c", "held"}, {"d", "apart"}):
+            assert value is None, (a, b)
+        elif "endless" in (a, b):
+            assert abs(value) < 0.3
+        else:
+            assert value == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
+    # The aggregates of a narrow table say the same.
+    few = bivariate.correlation_matrix(df, ["a", "b", "c", "held", "endless"]).collect()
+    for r in few:
+        assert got[r["a"], r["b"]] == pytest.approx(r["r"], nan_ok=True) if r["r"] is not None else got[r["a"], r["b"]] is None
+
+
+def test_a_hundred_columns_take_one_scan_after_their_means(spark, tmp_path):
+    names = [f"c{i}" for i in range(100)]
+    spark.range(300).select(*[F.rand(i).alias(c) for i, c in enumerate(names)]).write.parquet(f"{tmp_path}/wide")
+    found = bivariate.correlation_matrix(spark.read.parquet(f"{tmp_path}/wide"), names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert found.count() == 4950 and found.where("abs(r) < 0.3").count() > 4900
+    assert bivariate.correlation_matrix(spark.read.parquet(f"{tmp_path}/wide").limit(0), names).where("r IS NOT NULL").count() == 0
+
+
 def test_one_column_has_no_pairs(spark):
     assert bivariate.correlation_matrix(spark.range(3)).count() == 0
 
