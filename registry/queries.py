@@ -393,6 +393,14 @@ def correlation_matrix(spark, d):
     return round_columns(bivariate.correlation_matrix(data.lineitem_gaps(spark, d), LINE_NUMBERS), ["r"])
 
 
+WIDE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("correlation_wide", oracle.correlations(L, WIDE_NUMBERS))
+def correlation_wide(spark, d):
+    return round_columns(bivariate.correlation_matrix(data.lineitem_gaps(spark, d), WIDE_NUMBERS), ["r"])
+
+
 def _spearman_sql(src: str, columns) -> str:
     parts = []
     for i, a in enumerate(columns):
@@ -560,6 +568,12 @@ def detect_seasonality(spark, d):
     return series.detect_seasonality(placed, ndigits=6)
 
 
+@query("time_series_ties", oracle.time_series("orders", "o_orderdate, o_custkey, o_totalprice", ["o_custkey", "o_totalprice"]))
+def time_series_ties(spark, d):
+    orders = data.table(spark, d, "orders").select("o_totalprice", "o_orderdate", "o_custkey")
+    return series.time_series_analysis(orders, numbers=["o_custkey", "o_totalprice"], ndigits=6)
+
+
 @query("time_series_analysis", oracle.time_series(S, "ts, event_id", ["user_id", "value", "wave"]))
 def time_series_analysis(spark, d):
     return series.time_series_analysis(data.signals(spark, d), ["ts", "event_id"], ["user_id", "value", "wave"], ndigits=6)

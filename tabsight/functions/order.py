@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, ship_functions_of
 from .columns import col
 
+ship_functions_of(__name__)
+
 # Rows per window partition when looking at neighbouring rows.
 BLOCK_ROWS = 200_000
 
@@ -68,6 +74,30 @@ def dense_position(
     return out.select(*keep)
 
 
+def counts_before(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of rows that are sorted over tasks: their values, ``_task``, and for each column i how
+    many rows before it in its task have a value there, as ``_p<i>``. Nothing is shuffled."""
+    columns = list(columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), [0] * len(columns)
+        for batch in batches:
+            made = [pa.array(np.full(batch.num_rows, task), pa.int64())]
+            for i, values in enumerate(batch.columns):
+                valid = pc.is_valid(values).to_numpy(zero_copy_only=False)
+                until = np.cumsum(valid)
+                made.append(pa.array(seen[i] + until - valid))
+                seen[i] += int(until[-1]) if len(until) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    plain = df.select(*[col(c) for c in columns])
+    names = [*columns, "_task", *[f"_p{i}" for i in range(len(columns))]]
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(n, T.LongType()) for n in names[len(columns) :]]])
+    return plain.mapInArrow(count, schema)
+
+
 def with_halo(
     df: DataFrame, width: int, pos: str = "pos", block_rows: int | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import classify_columns, col, missing_as_null, per_column
 from ..functions.counts import LONG_TEXT_BYTES, column_modes, distinct_estimates, small_domains, text, value_counts
@@ -20,6 +21,7 @@ LAGS = (1, 3, 7)
 WINDOWS = (3, 7)
 NO_MODE = "MISSING"
 ROW = "pos"
+TIE = "row digest"
 
 
 def time_ordered(df: DataFrame, order_by: Sequence[str], name: str = ROW) -> DataFrame:
@@ -256,8 +258,9 @@ def engineer_features(
 ) -> Features:
     """All preparation steps in order; ``matrix`` holds features, target and ``pos``.
 
-    Rows are numbered by ``order_by`` (time first, unique last), by the time column, or,
-    for a table without order, arbitrarily but once and for all.
+    Rows are numbered by ``order_by`` (time first, unique last), by the time column and, where
+    times are equal, a digest of the whole row, or, for a table without order, arbitrarily
+    but once and for all.
     """
     log: list = []
     classes = classify_columns(df)
@@ -265,7 +268,9 @@ def engineer_features(
     order = list(order_by or ([time_column] if time_column else []))
     work = missing_as_null(df)
     if order:
-        work = time_ordered(work, order)
+        hashed = [col(f.name) for f in work.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        tied = work if order_by else work.withColumn(TIE, F.xxhash64(*hashed))
+        work = time_ordered(tied, order if order_by else [*order, TIE])
         _note(log, "sort_by_time", order[0], "")
     else:
         work = numbered_rows(work)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import classify_columns, col, missing_as_null, rounded
-from ..functions.order import dense_position, neighbours, with_halo
+from ..functions.order import ascending, counts_before, neighbours, with_halo
+from ..session import materialise
 
 MAX_LAG = 60
 PEAK = 0.2
@@ -20,30 +21,36 @@ INSUFFICIENT = "insufficient_data"
 
 
 def positioned_series(
-    df: DataFrame, order_by: Sequence[str], numbers: Sequence[str]
+    df: DataFrame, order_by: Sequence[str], numbers: Sequence[str], by_values: bool = False
 ) -> DataFrame:
     """``(column, pos, value)``: each number's non-null values in time order, 0-based.
 
-    ``order_by`` starts with the time column and ends with a unique tiebreaker. All
-    columns share one sort; positions are per column because gaps differ.
+    ``order_by`` starts with the time column and ends with a unique tiebreaker; with
+    ``by_values`` rows that tie there go by the numbers themselves, in the order given, so
+    the series do not depend on how the rows are stored. All columns share one sort of
+    whole rows; each task counts the values before a row as it writes them, and a row a task
+    gives what earlier tasks hold, so positions, which differ by column as gaps do, need no
+    second sort.
     """
-    long = (
-        missing_as_null(
-            df.select(
-                *[col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-                *[col(c).cast("double").alias(c) for c in numbers],
-            )
+    numbers = list(numbers)
+    if not numbers:
+        return df.sparkSession.createDataFrame([], "column string, pos bigint, value double")
+    keys, values = [f"_o{i}" for i in range(len(order_by))], [f"_v{i}" for i in range(len(numbers))]
+    wide = missing_as_null(
+        df.select(
+            *[col(c).alias(k) for k, c in zip(keys, order_by)],
+            *[col(c).cast("double").alias(v) for v, c in zip(values, numbers)],
         )
-        .unpivot(
-            [F.col(f"_o{i}") for i in range(len(order_by))],
-            [col(c) for c in numbers],
-            "column",
-            "value",
-        )
-        .where(F.col("value").isNotNull())
     )
-    placed = dense_position(long, [f"_o{i}" for i in range(len(order_by))], within=["column"])
-    return placed.select("column", "pos", "value")
+    placed = materialise(counts_before(wide.orderBy(*ascending(keys + values if by_values else keys)), values), "sorted")
+    tasks = placed.groupBy("_task").agg(*[F.count(v).alias(v) for v in values])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.select("_task", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_b{i}") for i, v in enumerate(values)])
+    cells = [
+        F.struct(F.lit(n).alias("column"), (F.col(f"_b{i}") + F.col(f"_p{i}")).alias("pos"), F.col(values[i]).alias("value"))
+        for i, n in enumerate(numbers)
+    ]
+    return placed.join(F.broadcast(offsets), "_task").select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
 
 def detect_trend(series: DataFrame, ndigits: int | None = 4, slope_digits: int | None = 6) -> DataFrame:
@@ -188,14 +195,16 @@ def time_series_analysis(
     numbers: Sequence[str] | None = None,
     ndigits: int | None = 4,
 ) -> DataFrame:
-    """Trend and seasonality of every numeric column along the first datetime column."""
+    """Trend and seasonality of every numeric column along the first datetime column.
+
+    Without ``order_by`` rows of equal times go by the numbers, so the answer is the same
+    however the rows are stored.
+    """
     classes = classify_columns(df)
     numbers = list(classes.numeric if numbers is None else numbers)
-    if order_by is None:
-        if not classes.datetime:
-            raise ValueError("no datetime column")
-        order_by = [classes.datetime[0]]
-    series = positioned_series(df, order_by, numbers)
+    if order_by is None and not classes.datetime:
+        raise ValueError("no datetime column")
+    series = positioned_series(df, order_by or [classes.datetime[0]], numbers, by_values=not order_by)
     names = df.sparkSession.createDataFrame(list(enumerate(numbers)), "position int, column string")
     trend, season = detect_trend(series, ndigits), detect_seasonality(series, ndigits=ndigits)
     enough = F.coalesce(F.col("n"), F.lit(0)) >= MIN_SERIES

@@ -52,7 +52,8 @@ def explore(
 
     Quartiles, value counts and group statistics are made once and passed to every step
     that needs them; the small result tables are saved before rules combine them.
-    ``order_by`` (time column first, unique column last) sets the row order.
+    ``order_by`` (time column first, unique column last) sets the row order; without it rows
+    go by the first datetime column and those of equal times by their numbers.
     """
     spark = df.sparkSession
     df = missing_as_null(df)
@@ -86,7 +87,7 @@ def explore(
     )
     if dates and numbers:
         along = saved(
-            series.time_series_analysis(df, order_by or [dates[0]], numbers, ndigits), "time_series"
+            series.time_series_analysis(df, order_by, numbers, ndigits), "time_series"
         )
     if metadata is None:
         metadata = profile.dataset_metadata(df)

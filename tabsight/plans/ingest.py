@@ -50,7 +50,8 @@ def ingest(
     """Load, promote dates and profile. An empty source raises ``ValueError``.
 
     Text sources are saved once as Parquet: the later passes then read only the columns
-    they use instead of parsing every line again.
+    they use instead of parsing every line again. Where dates were promoted, the promoted table
+    is saved too, so no later pass parses them again.
     """
     if isinstance(source, DataFrame):
         kind, df = source_type or "table", source
@@ -69,7 +70,10 @@ def ingest(
         df = materialise(df, "source")
     if df.isEmpty():
         raise ValueError("the source holds no rows")
-    df = missing_as_null(promote_datetimes(df))
+    promoted = promote_datetimes(df)
+    if promoted.schema != df.schema:
+        promoted = materialise(promoted, "promoted")
+    df = missing_as_null(promoted)
     classes = classify_columns(df)
     # Counts of categories serve the summary and the exploration; numbers and times, whose
     # distinct values may be as many as the rows, are only counted, never saved.

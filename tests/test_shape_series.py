@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.operators import charts, series, shape, univariate
+from tabsight.operators import charts, features, problem, series, shape, univariate
 
 
 def frame(spark, values):
@@ -142,3 +142,38 @@ def test_short_and_constant_series(spark):
     assert series.autocorrelation(placed).agg(F.max("lag")).first()[0] == 10
     line = series.detect_trend(placed).first()
     assert (line["trend"], line["slope"], line["r_squared"]) == ("upward", 1.0, 1.0)
+
+
+def ten_a_day(spark, parts):
+    rng = np.random.default_rng(14)
+    rows = [(i // 10, float(v) if i % 9 else None, int(k), f"x{k % 3}") for i, (v, k) in enumerate(zip(rng.normal(size=200).cumsum(), rng.permutation(200)))]
+    df = spark.createDataFrame(rows, "day bigint, v double, k bigint, g string").selectExpr("timestamp_micros(day * 86400000000) as t", "v", "k", "g")
+    return df.repartition(parts)
+
+
+def test_equal_times_give_one_answer_however_rows_are_stored(spark):
+    answers = [sorted(map(str, series.time_series_analysis(ten_a_day(spark, n), ndigits=None).drop("r_squared").collect())) for n in (1, 4, 7)]
+    digits = [series.time_series_analysis(ten_a_day(spark, n), ndigits=6).orderBy("position").collect() for n in (1, 4, 7)]
+    assert digits[0] == digits[1] == digits[2] and len(answers[0]) == 2
+    pdf = ten_a_day(spark, 1).toPandas().sort_values(["t", "v", "k"], na_position="last")
+    v = pdf["v"].dropna().to_numpy()
+    assert digits[0][0]["column"] == "v" and digits[0][0]["slope"] == pytest.approx(np.polyfit(np.arange(len(v)), v, 1)[0], abs=1e-6)
+
+
+def test_equal_times_give_one_model_matrix(spark):
+    got = []
+    for n in (1, 4, 7):
+        df = ten_a_day(spark, n)
+        made = features.engineer_features(df, problem.Problem("time_series", "v", ["k", "g"], time_column="t"), scale=False).matrix
+        got.append(sorted(map(str, made.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
+
+
+def test_positions_count_values_only(spark):
+    df = ten_a_day(spark, 5)
+    placed = series.positioned_series(df, ["t", "k"], ["v", "k"]).collect()
+    pdf = df.toPandas().sort_values(["t", "k"])
+    for name in ("v", "k"):
+        want = pdf[name].dropna().tolist()
+        assert [r["value"] for r in sorted((r for r in placed if r["column"] == name), key=lambda r: r["pos"])] == want
+        assert sorted(r["pos"] for r in placed if r["column"] == name) == list(range(len(want)))
