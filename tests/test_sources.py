@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.plans import ingest
-from tabsight.sources import detect_source_kind, load_csv, load_json, load_table, project, promote_datetimes, where_equals
+from tabsight.sources import dates, detect_source_kind, load_csv, load_json, load_table, project, promote_datetimes, where_equals
 
 
 def put(folder, name, content: bytes) -> str:
@@ -131,3 +131,19 @@ def test_everyday_layouts(spark, value):
 def test_short_layouts(spark, values):
     got = promote_datetimes(spark.createDataFrame([(v,) for v in values], "t string"))
     assert got.dtypes == [("t", "timestamp")] and got.where("t IS NULL").count() == 0
+
+
+def test_shapes_of_layouts():
+    assert dates.layout_shapes("M/d/yyyy") == {"9/9/9999", "9/99/9999", "99/9/9999", "99/99/9999"}
+    assert dates.layout_shapes("yyyy-MM-dd'T'HH:mmXXX") == {"9999-99-99a99:99a", "9999-99-99a99:99+99:99", "9999-99-99a99:99-99:99"}
+
+
+def test_shapes_of_columns(spark):
+    rows = [("2024-01-02", "1/2/2024", "x", None), ("2024-13-02", "11/12/2024", "2024-01-01", None), (None, "1/12/2024", "2024-01-02", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    known = dates.layout_shapes("yyyy-MM-dd") | dates.layout_shapes("M/d/yyyy")
+    got = dates.column_shapes(df, list("abcd"), known)
+    assert got == {"a": (2 / 3, {"9999-99-99"}), "b": (1.0, {"9/9/9999", "99/99/9999", "9/99/9999"}), "c": None, "d": (0.0, set())}
+    # A shape that fits is not enough: 2024-13-02 is no date.
+    assert [f.dataType.typeName() for f in promote_datetimes(df).schema.fields] == ["string", "timestamp", "string", "string"]
+    assert promote_datetimes(df.limit(0)).schema == df.schema
