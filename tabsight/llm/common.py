@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Ids that may be broadcast to pick or leave out rows.
+BROADCAST_IDS = 1 << 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +32,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A digest of a row's id and text, for stages whose rows may lack an id or share one;
+    rows with equal ids and texts are one to them."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def bounded(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A saved table of one long, to be broadcast if it has at most ``most`` rows (16 bytes
+    each); beyond that a join with it is a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def tasks_of(spark: SparkSession) -> int:
     """How many parts the session's shuffles have: the parts of an explicit repartition."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import slices
+from .common import BROADCAST_IDS, bounded, slices
 from .components import connected_components
 
 # Two sets are alike if they share at least ALIKE[0] of ALIKE[1] parts of their union.
@@ -19,6 +19,8 @@ ALIKE = (4, 5)
 # Members of sets that one side of a comparison may hold, those that one task compares with a
 # hub, and bytes of text whose sets are held at once.
 GROUP, HUB_SHARE, SLICE_BYTES = 1 << 17, 1 << 21, 4 << 20
+# Members of sets, and sets, that one task compares with each other as a family.
+FAMILY, FAMILY_SETS = 1 << 20, 8192
 # How often labels follow each other before companies are judged; each turn doubles the reach.
 JUMPS = 2
 
@@ -86,7 +88,7 @@ def group_links(sets: list[np.ndarray], names: list[int], labels: list | None =
 
 
 def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (hub, share, role, digest, name, hub_name, hashes), each hub's own (role 0)
+    """The rows (hub, share, role, node, name, hub_name, hashes), each hub's own (role 0)
     before the others of its share, that are like their hub."""
     hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
@@ -97,11 +99,11 @@ def _near_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hub, own = (key, share), found
             fine = role == 1 and hub == (key, share)
             keep.append(fine and overlap_enough(len(np.intersect1d(own, found, assume_unique=True)), len(own), len(found)))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["digest", "name", "hub", "hub_name"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["node", "name", "hub", "hub_name"])
 
 
 def _near_each_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the companies that come one after the other: (key, low, high, name, label, hashes)."""
+    """Links of the groups that come one after the other: (key, low, high, name, label, hashes)."""
     group, names, labels, sets = None, [], [], []
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -120,28 +122,77 @@ def _near_each_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from done()
 
 
-def linked_sets(own: DataFrame, saved: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], group: int = GROUP, hub_share: int = HUB_SHARE) -> DataFrame:
+def linked_sets(own: DataFrame, saved: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], group: int = GROUP, hub_share: int = HUB_SHARE, family: int = FAMILY) -> DataFrame:
     """(digest, component) of every distinct set of ``saved`` (doc_id, digest, size, keys):
     sets link that share one of their keys and are alike; a set is named by its smallest
     doc_id, and component is the smallest name reachable. ``own`` (doc_id, text) gives the
     texts again and ``sets_of`` their sets, as ascending 64-bit hashes.
 
     Equal sets are one node, so copies cost nothing. Only texts that share a key with another
-    set are read a second time. First each is compared with its hub, the least of all sets it
-    shares a key with: for this its set is sent once, and a hub with many followers is sent to
-    several tasks. A company (the sets of one key) whose members all follow one hub is
-    settled. In the others every two sets that do not follow the same hub are compared, once for
-    each different company; a company of more than ``group`` members of sets is dealt into
-    parts and each pair of parts is compared by a task. So every pair that shares a key is
-    either compared or already joined, and nothing is capped. Null ids name nothing.
+    set are read a second time, and only sets are sent, each of them about twice:
+
+    - each goes to its hub, the first of all nodes it shares a key with, and is compared with
+      it; a hub with many followers is sent to several tasks. A company (the nodes of one
+      key) whose members all follow one hub is settled;
+    - companies that are not settled and share a node are a family. A family of up to
+      ``family`` members of sets is compared by one task;
+    - in a larger one every two sets of a company that do not follow the same hub are compared,
+      once for each different company; a company of more than ``group`` members is dealt into
+      parts and each pair of parts is compared by a task.
+
+    So every pair that shares a key is either compared or already joined, and nothing is
+    capped. Null ids name nothing.
     """
     distinct = saved.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("name"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    reps = materialise(distinct, "distinct")
-    met = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "digest", "name", "size")
-    least = met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("name", "digest")).alias("hub")).where(F.col("n") > 1)
-    shared = materialise(met.join(least.drop("n"), "key"), "shared")
-    pairs = shared.where(F.col("hub.digest") != F.col("digest")).groupBy("digest", "name").agg(F.min("hub").alias("hub"), F.first("size").alias("size"))
-    pairs = materialise(pairs.select("digest", "name", "size", F.col("hub.digest").alias("hub"), F.col("hub.name").alias("hub_name")), "pairs")
+    reps = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    met = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    least = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    shared = materialise(met.join(least.drop("last"), "key"), "shared")
+    involved = materialise(shared.select("node").distinct().join(reps.drop("keys"), "node"), "involved")
+    sets = materialise(_sets_again(own, involved, sets_of), "sets")
+
+    size, name = involved.select("node", "size", "name"), involved.select(F.col("node").alias("hub"), F.col("name").alias("hub_name"))
+    pairs = materialise(shared.where("hub < node").groupBy("node").agg(F.min("hub").alias("hub")).join(size, "node").join(name, "hub"), "pairs")
+    shares = pairs.groupBy("hub").agg(F.ceil(F.sum("size") / hub_share).cast("long").alias("shares"))
+    place = F.pmod(F.xxhash64("node"), F.col("shares"))
+    followers = pairs.join(shares, "hub").select("hub", place.alias("share"), F.lit(1).alias("role"), "node", "name", "hub_name")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    hubs = shares.select("hub", copies.alias("share"), F.lit(0).alias("role"), F.col("hub").alias("node"), F.lit(None).cast("long").alias("name"), F.lit(None).cast("long").alias("hub_name"))
+    sent = followers.union(hubs).join(sets, "node").select("hub", "share", "role", "node", "name", "hub_name", "hashes")
+    compared = sent.repartition("hub", "share").sortWithinPartitions("hub", "share", "role").mapInArrow(_near_hub, "node long, name long, hub long, hub_name long")
+    near = materialise(compared, "near")
+
+    labels = near.select("node", F.col("hub").alias("label"))
+    for _ in range(JUMPS):
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = materialise(labels.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+    labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    unsettled = labelled.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min("node").alias("a")).where(F.col("first") != F.col("last"))
+    open_ones = materialise(labelled.join(unsettled.select("key", "a"), "key").join(size, "node"), "unsettled")
+    families = connected_components(open_ones.select("a", F.col("node").alias("b")).distinct())
+    member = open_ones.select("node", "name", "size", "label").distinct().join(families, "node")
+    totals = member.groupBy("component").agg((F.sum("size") <= family).alias("small_sum"), (F.count("*") <= FAMILY_SETS).alias("small_count"))
+    judged = materialise(member.join(totals.select("component", F.expr("small_sum AND small_count").alias("small")), "component"), "families")
+    whole = judged.where("small").select(F.col("component").alias("key"), F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"), "node", "name", "label")
+
+    large = open_ones.join(judged.where("NOT small").select("node"), "node", "left_semi")
+    company = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    companies = large.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *company)
+    once = companies.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / group).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = large.join(once, "key").select("*", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    members = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "name", "label")
+
+    others = whole.union(members).join(sets, "node").select("key", "low", "high", "name", "label", "hashes")
+    grouped = others.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "name")
+    links = near.select(F.col("hub_name").alias("a"), F.col("name").alias("b")).union(grouped.mapInArrow(_near_each_other, "a long, b long"))
+    linked = connected_components(links)
+    return reps.join(linked, reps["name"] == linked["node"], "left").select("digest", F.coalesce("component", "name").alias("component"))
+
+
+def _sets_again(own: DataFrame, involved: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+    """(node, hashes): the sets of the nodes, made again from their texts. Where the ids may
+    be broadcast, no other texts are sent."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices(batch, "text", SLICE_BYTES)):
@@ -149,31 +200,6 @@ def linked_sets(own: DataFrame, saved: DataFrame, sets_of: Callable[[pa.Array],
             columns = [pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["digest", "hashes"])
 
-    wanted = shared.select(F.col("name").alias("doc_id")).distinct()
-    read = own.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(again, "digest binary, hashes binary")
-    sets = materialise(read.dropDuplicates(["digest"]), "sets")
-
-    shares = pairs.groupBy("hub", "hub_name").agg(F.ceil(F.sum("size") / hub_share).cast("long").alias("shares"))
-    place = F.pmod(F.xxhash64("digest"), F.col("shares"))
-    columns = ["hub", "share", "role", "digest", "name", "hub_name"]
-    followers = pairs.join(shares.drop("hub_name"), "hub").select("hub", place.alias("share"), F.lit(1).alias("role"), "digest", "name", "hub_name")
-    hubs = shares.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("hub").alias("digest"), F.col("hub_name").alias("name"), "hub_name")
-    rows = followers.union(hubs).join(sets, "digest").select(*columns, "hashes").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
-    near = materialise(rows.mapInArrow(_near_hub, "digest binary, name long, hub binary, hub_name long"), "near")
-
-    labels = near.select("digest", F.col("hub").alias("label"))
-    for _ in range(JUMPS):
-        further = labels.select(F.col("digest").alias("label"), F.col("label").alias("next"))
-        labels = materialise(labels.join(further, "label", "left").select("digest", F.coalesce("next", "label").alias("label")), "labels")
-    labelled = shared.join(labels, "digest", "left").select("key", "digest", "name", "size", F.coalesce("label", "digest").alias("label"))
-    company = [F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")]
-    totals = [F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("first"), F.max("label").alias("last")]
-    open_ones = labelled.groupBy("key").agg(*totals, *company).where(F.col("first") != F.col("last"))
-    once = open_ones.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / group).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    dealt = labelled.join(once, "key").select("key", "digest", "name", "label", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    members = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "name", "label", "digest")
-    others = members.join(sets, "digest").select("key", "low", "high", "name", "label", "hashes").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "name")
-    links = near.select(F.col("hub_name").alias("a"), F.col("name").alias("b")).union(others.mapInArrow(_near_each_other, "a long, b long"))
-    linked = connected_components(links)
-    return reps.join(linked, reps["name"] == linked["node"], "left").select("digest", F.coalesce("component", "name").alias("component"))
+    wanted = materialise(involved.select(F.col("name").alias("doc_id")).distinct(), "wanted")
+    read = own.join(bounded(wanted, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(again, "digest binary, hashes binary")
+    return read.dropDuplicates(["digest"]).join(involved.select("digest", "node"), "digest").select("node", "hashes")

@@ -61,9 +61,10 @@ def brute(rows):
     return [(i, len(plain(t)), None if i is None else found[i] if plain(t) else i, i is None or not plain(t) or found[i] == i) for i, t in rows]
 
 
-@pytest.mark.parametrize("group,hub_share", [(linking.GROUP, linking.HUB_SHARE), (900, 1500)])
-def test_rows_equal_brute_force(spark, monkeypatch, group, hub_share):
-    monkeypatch.setattr(linking.linked_sets, "__defaults__", (group, hub_share))
+@pytest.mark.parametrize("group,hub_share,family,ids", [(*linking.linked_sets.__defaults__, linking.BROADCAST_IDS), (900, 1500, 2000, 0), (900, 1500, 0, 0)])
+def test_rows_equal_brute_force(spark, monkeypatch, group, hub_share, family, ids):
+    monkeypatch.setattr(linking.linked_sets, "__defaults__", (group, hub_share, family))
+    monkeypatch.setattr(linking, "BROADCAST_IDS", ids)
     rows = edited()
     got = sketches.near_duplicates(documents(spark, rows), group=group).collect()
     key = lambda r: tuple((v is None, v or 0) for v in r)
