@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -32,6 +33,24 @@ def test_encoder_equals_the_library(name, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_mixed_texts_equal_the_library(name, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    parts = ["word", "Señor", "Ünï", "don't", "I'LL", "x'S", "İI", "Σίσυφος.", "ŉſ", "é", "e\u0301", "=\u0338", "a=\u0338", "日本", "1", "42", "A1b2", "_x_", "<|", "|>", "a|b", tokens.END]
+    parts += [*" \n\t.,;:!?'\"()[]{}<>=+-*/#@&%$^~`|\\", "  ", "\r\n", "\u00a0", "\u2003", "\x0b", "\x1c", "\u00ad", "²", "½", "\U0001f600"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    enc, want = tokens.Encoder(tokens.tokenizer_path(name)), ids_of(name)
+    assert enc.form is not None
+    for memo in (tokens.MEMO_WORDS, 40):
+        monkeypatch.setattr(tokens, "MEMO_WORDS", memo)
+        for at in range(0, len(texts), 500):
+            ids, begins = enc.encode(pa.array(texts[at : at + 500]))
+            for t, a, b in zip(texts[at:], begins, begins[1:]):
+                assert ids[a:b].tolist() == want(t), t
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 24, 31])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype("<u4")
