@@ -70,3 +70,5 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    # A reused worker would keep what the parts took.
+    pa.default_memory_pool().release_unused()

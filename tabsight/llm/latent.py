@@ -34,8 +34,9 @@ MIN_COSINE, MIN_WEIGHT = 0.4, 0.3
 # Shares of an item's words in common order: sure, or enough if the answer's are there too.
 SURE, ENOUGH, ANSWER = 0.8, 0.6, 0.6
 LEAST_WORDS = 6
-# Steps whose words are projected at once, and rows of a matrix that are summed together.
-GATHER, ROWS = 1024, 512
+# Steps whose words are projected at once, rows of a matrix that are summed together, and
+# documents whose steps are held at once.
+GATHER, ROWS, DOCS = 1024, 512, 512
 # Bytes of text that are cut into words at once.
 SLICE_BYTES = 4 << 20
 
@@ -116,12 +117,14 @@ def _blocks(matrix: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array(pieces, pa.binary())], ["block", "data"])
 
 
-def _steps(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term ids of all steps in a row, how many each step has, and each step's document."""
-    ids, lengths = batch.column(0), batch.column(1)
-    counts = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(lengths.offsets.to_numpy()))
-    return ids.flatten().to_numpy(zero_copy_only=False), counts, doc
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Term ids of all steps in a row, how many each step has, and each step's document, of
+    some documents at a time."""
+    for part in (batch.slice(at, DOCS) for batch in batches for at in range(0, batch.num_rows, DOCS)):
+        ids, lengths = part.column(0), part.column(1)
+        counts = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(lengths.offsets.to_numpy()))
+        yield ids.flatten().to_numpy(zero_copy_only=False), counts, doc
 
 
 def passage_vectors(
@@ -200,8 +203,7 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], directions: int =
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n + 1, np.int64)
-        for batch in batches:
-            ids, counts, _ = _steps(batch)
+        for ids, counts, _ in _steps(batches):
             seen[:n] += np.bincount(ids, minlength=n)
             seen[n] += len(counts)
         yield _blocks(seen)
@@ -219,8 +221,7 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], directions: int =
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, directions))
-        for batch in batches:
-            ids, counts, doc = _steps(batch)
+        for ids, counts, doc in _steps(batches):
             step = np.repeat(np.arange(len(counts)), counts)
             y = np.zeros((len(counts) + 1, directions), np.float32)
             for steps, both, _ in passage_vectors(ids, counts, doc, omega, telling):
@@ -246,8 +247,8 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], directions: int =
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((q.shape[1], q.shape[1]))
-        for batch in batches:
-            for _, both, _ in passage_vectors(*_steps(batch), scaled, telling):
+        for some in _steps(batches):
+            for _, both, _ in passage_vectors(*some, scaled, telling):
                 total += both.T @ both
         yield _blocks(total)
 

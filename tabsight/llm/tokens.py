@@ -13,7 +13,7 @@ import pyarrow as pa
 from .common import process_cache, slices
 
 # Bytes of text encoded at once, and distinct pieces that each half of a worker's memo holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 MEMO_WORDS = 500_000
 # Novel pieces that go to the library in one string, between its end mark.
 GROUP = 64
@@ -88,10 +88,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.marked.encode_special_tokens = False
-        self.end = self.marked.token_to_id(END)
+        self.end = self.plain.token_to_id(END)
         self.vocabulary = self.plain.get_vocab_size(with_added_tokens=True)
         self.new, self.old = Half(), Half()
         probes = [self.plain.encode(p, add_special_tokens=False).ids for p in _PROBES]
@@ -110,14 +109,16 @@ class Encoder:
         for got in self.plain.encode_batch_fast(odd, add_special_tokens=False):
             lengths.append(np.array([len(got.ids)]))
             ids.append(np.array(got.ids, "<u4"))
+        self.plain.encode_special_tokens = False
         for at in range(0, len(plain), GROUP * 256):
             part = plain[at : at + GROUP * 256]
             groups = [part[i : i + GROUP] for i in range(0, len(part), GROUP)]
-            for got in self.marked.encode_batch_fast([END.join(g) for g in groups], add_special_tokens=False):
+            for got in self.plain.encode_batch_fast([END.join(g) for g in groups], add_special_tokens=False):
                 own = np.array(got.ids, "<u4")
                 marks = np.flatnonzero(own == self.end)
                 lengths.append(np.diff(np.concatenate([[-1], marks, [len(own)]])) - 1)
                 ids.append(own[own != self.end])
+        self.plain.encode_special_tokens = True
         return simple + odd + plain, np.concatenate(lengths), np.concatenate(ids)
 
     def _places(self, words: list[str]) -> np.ndarray:
