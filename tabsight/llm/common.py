@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Ids that may be broadcast to pick or leave out rows.
 BROADCAST_IDS = 1 << 21
+# Rows of texts that a stage of the pipeline sends to a worker at once.
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +46,14 @@ def bounded(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """At most so many rows in a batch that goes to a Python worker from here on: with
+    texts of some kilobytes, ten thousand rows at once are most of what a task holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def tasks_of(spark: SparkSession) -> int:
     """How many parts the session's shuffles have: the parts of an explicit repartition."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
