@@ -70,7 +70,7 @@ def pair_moments(values: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(made, ["i", "j", *_NAMES])
 
     schema = "i int, j int, " + ", ".join(f"{n} double" for n in _NAMES)
-    parts = values.select(*[col(c) for c in columns]).mapInArrow(gather, schema)
+    parts = values.select(*[col(c).alias(f"_c{i}") for i, c in enumerate(columns)]).mapInArrow(gather, schema)
     merged = {"li": F.min, "lj": F.min, "hi": F.max, "hj": F.max}
     return parts.groupBy("i", "j").agg(*[merged.get(n, F.sum)(n).alias(n) for n in _NAMES])
 

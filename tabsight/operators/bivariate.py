@@ -18,6 +18,7 @@ from ..functions.columns import (
     union_all,
 )
 from ..functions.comoments import correlation, pair_moments
+from ..functions.contingency import pair_counts
 from ..functions.counts import small_domains, text
 from ..functions.order import dense_position
 from ..functions.quantiles import exact_quantiles
@@ -267,21 +268,6 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def pair_crosstabs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Contingency counts of many pairs in one pass: ``(p, a, b, count)``."""
-    cells = [
-        F.struct(F.lit(p).alias("p"), text(a).alias("a"), text(b).alias("b"))
-        for p, (a, b) in enumerate(pairs)
-    ]
-    return (
-        df.select(F.explode(F.array(*cells)).alias("_cell"))
-        .select("_cell.*")
-        .where("a IS NOT NULL AND b IS NOT NULL")
-        .groupBy("p", "a", "b")
-        .agg(F.count("*").alias("count"))
-    )
-
-
 def association(cells: DataFrame) -> DataFrame:
     """Cramér's V per pair ``p`` from its non-empty cells ``(p, a, b, count)``.
 
@@ -355,7 +341,8 @@ def categorical_associations(
     max_distinct: int = ASSOCIATION_MAX_DISTINCT,
     ndigits: int | None = 4,
 ) -> DataFrame:
-    """Cramér's V of every pair of low-cardinality columns, strongest pairs first."""
+    """Cramér's V of every pair of low-cardinality columns, strongest pairs first. One scan
+    counts the cells of all pairs."""
     columns = list(classify_columns(df).categorical if columns is None else columns)
     eligible = list(small_domains(df, columns, max_distinct))
     pairs = list(combinations(eligible, 2))
@@ -366,7 +353,7 @@ def categorical_associations(
         )
     names = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(pairs)], "p int, a string, b string")
     return (
-        association(pair_crosstabs(df, pairs))
+        association(pair_counts(df, pairs))
         .join(F.broadcast(names), "p")
         .withColumn("cramers_v", rounded(F.col("v"), ndigits))
         .orderBy(F.desc("cramers_v"), "p")

@@ -1,8 +1,11 @@
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.functions import contingency
 from tabsight.operators import bivariate, charts, segments
 
 
@@ -64,6 +67,11 @@ def test_a_hundred_columns_take_one_scan_after_their_means(spark, tmp_path):
     assert bivariate.correlation_matrix(spark.read.parquet(f"{tmp_path}/wide").limit(0), names).where("r IS NOT NULL").count() == 0
 
 
+def test_wide_tables_with_dots_in_names(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) * 1.0).alias(f"a.{i}") for i in range(12)])
+    assert bivariate.correlation_matrix(df).where("r > 0.999").count() == 66
+
+
 def test_one_column_has_no_pairs(spark):
     assert bivariate.correlation_matrix(spark.range(3)).count() == 0
 
@@ -107,6 +115,31 @@ def test_association_gate(spark, distinct):
     assert bivariate.categorical_associations(df).count() == (1 if distinct == 30 else 0)
 
 
+def test_all_pairs_are_counted_in_one_scan(spark, tmp_path):
+    """Cells of ten columns equal plain counts; a task sends no more rows than there are cells."""
+    rng = np.random.default_rng(3)
+    data = {f"c{i}": rng.integers(0, 2 + i, 3000).astype(str) for i in range(10)}
+    plain = pd.DataFrame(data).mask(rng.random((3000, 10)) < 0.1)
+    rows = [tuple(None if pd.isna(v) else v for v in row) for row in plain.itertuples(index=False)]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in data)).repartition(5).write.parquet(f"{tmp_path}/t")
+    df, pairs = spark.read.parquet(f"{tmp_path}/t"), list(combinations(data, 2))
+    cells = contingency.pair_counts(df, pairs)
+    physical = cells._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("FileScan") == 1 and "Generate" not in physical
+    got = {(r["p"], r["a"], r["b"]): r["count"] for r in cells.collect()}
+    want = {(p, a, b): int(n) for p, (x, y) in enumerate(pairs) for (a, b), n in plain.groupby([x, y]).size().items()}
+    assert got == want
+
+
+def test_blocks_of_pairs_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(contingency, "PAIRS_AT_ONCE", 2)
+    df = spark.createDataFrame([("x", "p", "1"), ("y", "q", None), ("x", None, "1")], "a string, b string, d string").toDF("a", "b.c", "d")
+    pairs = [("a", "b.c"), ("a", "d"), ("b.c", "d")]
+    got = sorted(tuple(r) for r in contingency.pair_counts(df, pairs).collect())
+    assert got == [(0, "x", "p", 1), (0, "y", "q", 1), (1, "x", "1", 2), (2, "p", "1", 1)]
+    assert contingency.pair_counts(df.limit(0), pairs).count() == 0
+
+
 def test_segments(spark):
     df = spark.range(100).select(
         F.when(F.col("id") < 50, "lo").otherwise("hi").alias("g"),
