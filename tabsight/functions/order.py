@@ -98,6 +98,69 @@ def counts_before(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return plain.mapInArrow(count, schema)
 
 
+def steps_taken(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> dict[str, tuple[bool, bool]]:
+    """For each column whether its values ever fall, and ever rise, in the given row order;
+    nulls are passed over.
+
+    All columns share one range-partitioned sort of their rows. A sort task sends one row:
+    the first and the last value of each column and the steps between its rows. These are
+    put together in task order, so nothing is saved and no row meets its neighbour twice.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    keys = [f"_o{i}" for i in range(len(order_by))]
+    wide = df.select(
+        *[col(c).alias(k) for k, c in zip(keys, order_by)], *[col(c).alias(f"_v{i}") for i, c in enumerate(columns)]
+    )
+    values = wide.orderBy(*ascending(keys)).select(*[f"_v{i}" for i in range(len(columns))])
+    sides = [(n, f.dataType) for f in values.schema.fields for n in (f"first{f.name}", f"last{f.name}")]
+    moves = [n for i in range(len(columns)) for n in (f"falls_v{i}", f"rises_v{i}")]
+    names = ["_task", *[n for n, _ in sides], *moves]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, last, types = [None] * len(columns), [None] * len(columns), None
+        falls, rises = [False] * len(columns), [False] * len(columns)
+        for batch in batches:
+            types = [v.type for v in batch.columns]
+            for i, column in enumerate(batch.columns):
+                held = column.drop_null()
+                if not len(held):
+                    continue
+                # The last value before the batch stands before its rows.
+                run = held if last[i] is None else pa.concat_arrays([pa.array([last[i]], held.type), held])
+                falls[i] = falls[i] or bool(pc.any(pc.less(run[1:], run[:-1])).as_py())
+                rises[i] = rises[i] or bool(pc.any(pc.greater(run[1:], run[:-1])).as_py())
+                first[i] = held[0].as_py() if first[i] is None else first[i]
+                last[i] = held[-1].as_py()
+        if types is None:
+            return
+        ends = [pa.array([v], t) for f, l, t in zip(first, last, types) for v in (f, l)]
+        steps = [pa.array([v]) for pair in zip(falls, rises) for v in pair]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *ends, *steps], names)
+
+    schema = T.StructType(
+        [
+            T.StructField("_task", T.LongType()),
+            *[T.StructField(n, t) for n, t in sides],
+            *[T.StructField(n, T.BooleanType()) for n in moves],
+        ]
+    )
+    # One row a sort task.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.mapInArrow(summarise, schema)
+    joined = parts.select(
+        "*", *[F.last(f"last_v{i}", ignorenulls=True).over(earlier).alias(f"_b{i}") for i in range(len(columns))]
+    )
+    row = joined.agg(
+        *[F.bool_or(F.col(f"falls_v{i}") | F.coalesce(F.col(f"first_v{i}") < F.col(f"_b{i}"), F.lit(False))) for i in range(len(columns))],
+        *[F.bool_or(F.col(f"rises_v{i}") | F.coalesce(F.col(f"first_v{i}") > F.col(f"_b{i}"), F.lit(False))) for i in range(len(columns))],
+    ).first()
+    return {c: (bool(row[i]), bool(row[len(columns) + i])) for i, c in enumerate(columns)}
+
+
 def with_halo(
     df: DataFrame, width: int, pos: str = "pos", block_rows: int | None = None
 ) -> DataFrame:

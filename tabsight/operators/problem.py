@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import classify_columns, col, missing_as_null, per_column
 from ..functions.counts import value_counts
-from ..functions.order import dense_position, neighbours, with_halo
+from ..functions.order import steps_taken
 
 MAX_CLASSES = 20
 MAX_CLASS_RATIO = 0.2
@@ -63,22 +63,10 @@ def name_is_identifier(column: str) -> bool:
     return any(w in column.lower() for w in ID_WORDS)
 
 
-def monotonic(df: DataFrame, column: str, order_by: Sequence[str]) -> bool:
-    """Whether the non-null values never fall, or never rise, in the given row order."""
-    values = (
-        missing_as_null(df.select(*[col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], col(column).alias("_v")))
-        .where(F.col("_v").isNotNull())
-    )
-    placed = dense_position(values, [f"_o{i}" for i in range(len(order_by))])
-    step = F.col("_v") - F.lag("_v").over(neighbours())
-    row = (
-        with_halo(placed, 1)
-        .withColumn("_step", step)
-        .where(~F.col("_halo"))
-        .agg(F.min("_step").alias("lo"), F.max("_step").alias("hi"))
-        .first()
-    )
-    return row["lo"] is None or row["lo"] >= 0 or row["hi"] <= 0
+def monotonic(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> dict[str, bool]:
+    """Whether the non-null values of each column never fall, or never rise, in the given row
+    order; one sort for all columns."""
+    return {c: not (falls and rises) for c, (falls, rises) in steps_taken(missing_as_null(df), order_by, columns).items()}
 
 
 def column_facts(
@@ -122,20 +110,19 @@ def column_facts(
         summed = counts.groupBy("column").agg(F.count("*").alias("d"), F.min("count").alias("least"))
         exact = {r["column"]: (r["d"], r["least"]) for r in summed.collect()}
 
-    def key_like(c: str, n: int, distinct: int) -> bool:
-        if name_is_identifier(c):
-            return True
-        if not n or distinct < floor(c) * n:
-            return False
-        return distinct >= ID_RATIO * n or monotonic(df, c, order_by)
+    def mostly_unique(c: str, ratio: float) -> bool:
+        # A sketch that settles the question stands below every floor.
+        return scanned[c]["n"] > 0 and exact.get(c, (0, None))[0] >= ratio * scanned[c]["n"]
+
+    keys = {c for c in columns if name_is_identifier(c) or mostly_unique(c, ID_RATIO)}
+    # Only what uniqueness leaves open is asked for its order.
+    steady = monotonic(df, [c for c in columns if c not in keys and mostly_unique(c, floor(c))], order_by or [])
 
     facts = {}
     for c in columns:
         r = scanned[c]
         distinct, least = exact.get(c, (r["estimate"], None))
-        # A sketch that settles the question stands below every floor.
-        unique = distinct if c in exact else 0
-        facts[c] = ColumnFacts(found.of(c), r["n"], distinct, least, r["whole"], key_like(c, r["n"], unique))
+        facts[c] = ColumnFacts(found.of(c), r["n"], distinct, least, r["whole"], c in keys or steady.get(c, False))
     return facts
 
 

@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.functions import order
 from tabsight.functions.order import dense_position, neighbours, with_halo
 
 
@@ -49,3 +50,27 @@ def test_halo_sees_earlier_rows(spark, block):
     want = pd.Series(range(0, 1500, 3)).shift(7)
     assert len(got) == 500
     assert got["before"].reset_index(drop=True).fillna(-1).tolist() == want.fillna(-1).tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_steps_of_many_columns_share_a_sort(spark, parts):
+    df = spark.range(4000).repartition(parts).select(
+        "id",
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("up"),
+        (-F.col("id")).cast("decimal(20,2)").alias("down"),
+        F.when(F.col("id") == 2500, 0).otherwise(F.col("id")).alias("dips"),
+        F.lit(5).alias("still"),
+        F.lit(None).cast("double").alias("gone"),
+    )
+    assert order.steps_taken(df, ["id"], df.columns[1:]) == {
+        "up": (False, True), "down": (True, False), "dips": (True, True), "still": (False, False), "gone": (False, False)
+    }
+    assert order.steps_taken(df.limit(0), ["id"], ["up"]) == {"up": (False, False)}
+    assert order.steps_taken(df, ["id"], []) == {}
+
+
+def test_a_fall_between_two_sort_tasks_is_seen(spark):
+    """Values that rise inside every stretch of rows and fall where the stretches meet."""
+    for cut in range(100, 4000, 450):
+        df = spark.range(4000).select("id", F.when(F.col("id") < cut, F.col("id") + 4000).otherwise(F.col("id")).alias("v"))
+        assert order.steps_taken(df.repartition(6), ["id"], ["v"]) == {"v": (True, True)}
