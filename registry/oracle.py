@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from tabsight.functions import normal
+from tabsight.operators import shape
+
 
 def r(expression: str, digits: int = 6) -> str:
     """Rounded; adding zero turns -0.0 into 0.0."""
@@ -167,6 +170,38 @@ def normality(src: str, columns) -> str:
     return union(parts)
 
 
+def _horner(x: str, coefficients) -> str:
+    made = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        made = f"({made} * {x} + {c!r}::DOUBLE)"
+    return made
+
+
+def normal_quantile(p: str) -> str:
+    """AS241, p an expression."""
+    q, tail = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - ({p}))))"
+
+    def ratio(x, parts):
+        return f"{_horner(x, parts[0])} / {_horner(x, parts[1])}"
+
+    return f"""CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(f"(0.180625 - {q} * {q})", normal.MIDDLE)}
+        WHEN {tail} <= 5 THEN sign({q}) * {ratio(f"({tail} - 1.6)", normal.TAIL)} ELSE sign({q}) * {ratio(f"({tail} - 5)", normal.FAR)} END"""
+
+
+def shapiro_wilk(src: str, column: str) -> str:
+    """W and its normal score of a column of more than 11 values, every weight written out."""
+    last, before = _horner("u", shape.ROYSTON_LAST), _horner("u", shape.ROYSTON_LAST_BUT_ONE)
+    return f"""SELECT '{column}' AS "column", n::BIGINT AS n, {r('w', 5)} AS w,
+        {r(f"(ln(1 - w) - {_horner('ln(n)', shape.ROYSTON_MEAN)}) / exp({_horner('ln(n)', shape.ROYSTON_SPREAD)})", 3)} AS z, n <= 5000 AS fitted
+        FROM (SELECT n, pow(sum(d * CASE WHEN i = n THEN a WHEN i = 1 THEN -a WHEN i = n - 1 THEN b WHEN i = 2 THEN -b
+        ELSE m / sqrt((mm - 2 * outermost * outermost - 2 * nextmost * nextmost) / (1 - 2 * a * a - 2 * b * b)) END), 2) / sum(d * d) AS w
+        FROM (SELECT *, outermost / sqrt(mm) + {last} AS a, nextmost / sqrt(mm) + {before} AS b
+        FROM (SELECT *, 1 / sqrt(n) AS u, sum(m * m) OVER () AS mm, max(m) OVER () AS outermost, max(CASE WHEN i = n - 1 THEN m END) OVER () AS nextmost
+        FROM (SELECT i, n, x - mean AS d, {normal_quantile("((i - 0.375) / (n + 0.25))")} AS m
+        FROM (SELECT {column}::DOUBLE AS x, row_number() OVER (ORDER BY {column})::DOUBLE AS i, count(*) OVER ()::DOUBLE AS n,
+        avg({column}::DOUBLE) OVER () AS mean FROM {src} WHERE {column} IS NOT NULL)))) GROUP BY n)"""
+
+
 def shapes(src: str, columns, whole=(), digits: int = 6) -> str:
     """Shape labels of columns with at least eight values."""
     moments = union(

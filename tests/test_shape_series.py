@@ -1,10 +1,12 @@
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.functions.normal import normal_quantile
 from tabsight.operators import charts, features, problem, series, shape, univariate
 
 
@@ -54,6 +56,46 @@ def test_all_values_count_on_any_partitioning(spark):
     assert len(got) == 1 and got.pop()[1] == 40_000
 
 
+PUBLISHED = [
+    ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.7888, 0.006704),
+    ([0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75, 0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66], 0.90047, 0.04209),
+    ([1.36, 1.14, 2.92, 2.55, 1.46, 1.06, 5.27, -1.11, 3.48, 1.10, 0.88, -0.51, 1.46, 0.52, 6.20, 1.69, 0.08, 3.67, 2.81, 3.49], 0.95903, 0.52460),
+]
+
+
+@pytest.mark.parametrize("values, w, p", PUBLISHED)
+def test_shapiro_wilk_of_published_values(spark, values, w, p):
+    row = shape.shapiro_wilk(frame(spark, values)).first()
+    assert row["w"] == pytest.approx(w, abs=1e-4) and row["p_value"] == pytest.approx(p, abs=5e-5)
+    assert (row["n"], row["is_normal"], row["fitted"]) == (len(values), p > 0.05, True)
+
+
+def test_shapiro_wilk_on_any_partitioning(spark):
+    """Half of a column is one value; gaps, infinities and a large mean change nothing."""
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.sin("id")).alias("hot"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") == 1, float("inf")).otherwise(F.cos("id") + 1e6).alias("far"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") == 1, float("inf")).otherwise(F.cos("id")).alias("near"),
+    )
+    got = {tuple(tuple(r) for r in shape.shapiro_wilk(df.repartition(k), ndigits=5).collect()) for k in (1, 4, 7)}
+    hot, far, near = got.pop()
+    assert not got and hot[1] == 9000 and not hot[-1]
+    assert far[2:4] == pytest.approx(near[2:4], abs=1e-4) and far[1] == near[1] == 7199
+
+
+def test_shapiro_wilk_without_an_answer(spark):
+    df = spark.range(20).select(F.lit(3.0).alias("same"), F.when(F.col("id") < 7, F.col("id") * 1.0).alias("few"), F.lit(None).cast("double").alias("gone"))
+    assert [(r["n"], r["w"], r["p_value"]) for r in shape.shapiro_wilk(df).collect()] == [(20, None, None), (7, None, None), (0, None, None)]
+    assert [r["n"] for r in shape.shapiro_wilk(df.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_normal_quantiles_equal_the_standard_library(spark):
+    shares = [1e-15, 1e-12, 1e-7, 0.001, 0.07, 0.0751, 0.3, 0.5, 0.9, 0.99999, 1 - 1e-9]
+    df = spark.createDataFrame([(p,) for p in shares], "p double").select(normal_quantile(F.col("p")).alias("z"))
+    want = [statistics.NormalDist().inv_cdf(p) for p in shares]
+    assert [r["z"] for r in df.collect()] == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
 def test_infinities_are_counted_apart(spark):
     df = frame(spark, [1.0, 2.0, 3.0, 4.0, 2.5, 3.5, 2.2, 3.1, float("inf"), float("-inf"), float("nan")])
     rows = shape.auto_histogram(df).collect()
