@@ -512,6 +512,16 @@ def normality_test(spark, d):
     return shape.normality_test(data.lineitem_gaps(spark, d), LINE_NUMBERS)
 
 
+@query(
+    "shapiro_wilk",
+    oracle.union([*(oracle.shapiro_wilk(L, c) for c in LINE_NUMBERS), oracle.shapiro_wilk("customer", "c_acctbal")]),
+)
+def shapiro_wilk(spark, d):
+    tables = [(data.lineitem_gaps(spark, d), LINE_NUMBERS), (data.table(spark, d, "customer"), ["c_acctbal"])]
+    found = reduce(DataFrame.unionByName, [shape.shapiro_wilk(t, names, ndigits=None) for t, names in tables])
+    return found.select("column", "n", F.round("w", 5).alias("w"), F.round("z", 3).alias("z"), "fitted")
+
+
 # --- segments ---------------------------------------------------------------------------
 
 _SPLIT_NUMBERS = ["l_quantity", "list_price", "flagged_price"]
@@ -1212,7 +1222,7 @@ def kmeans_sweep(spark, d):
     found = train.kmeans_sweep(e.withColumnRenamed("vec_id", "pos"), names)
     means = found.assigned.groupBy("cluster").agg(*[F.avg(n).alias(n) for n in names])
     offs = [F.abs(F.col(n) - F.element_at(F.col("given"), i + 1)) for i, n in enumerate(names)]
-    given = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(found.model.clusterCenters())], "cluster int, given array<double>")
+    given = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(found.model.centres)], "cluster int, given array<double>")
     # A row per cluster.
     checked = means.join(given, "cluster").agg(F.max(F.greatest(*offs)).alias("off"), F.count("*").alias("n")).first()
     centred = checked["n"] == found.best_k and checked["off"] < 0.05

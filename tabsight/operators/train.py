@@ -6,22 +6,20 @@ import logging
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, union_all
+from ..functions.lloyd import Fit, Rows, assign, fit_all
 from ..functions.order import dense_position
 from ..functions.quantiles import ranked_values
 from ..session import materialise
@@ -38,8 +36,6 @@ BOOSTING = dict(maxIter=150, maxDepth=5, stepSize=0.1)
 LOGISTIC_ITERATIONS = 500
 MAX_K = 8
 KMEANS_STARTS = 10
-# Independent fits submitted together; the cluster shares its cores among them.
-FITS_AT_ONCE = 4
 
 
 # --- splits -----------------------------------------------------------------------------
@@ -266,7 +262,7 @@ def fit_candidates(
 class Clustered:
     scores: DataFrame
     best_k: int
-    model: object
+    model: Fit
     assigned: DataFrame
     centres: DataFrame
 
@@ -279,47 +275,45 @@ def kmeans_sweep(
     seed: int = SEED,
     max_iter: int = 300,
 ) -> Clustered:
-    """K-means for k = 2..8, best of several starts each, scored by silhouette."""
+    """K-means for k = 2..8, best of several starts each, scored by silhouette.
+
+    All models move in the same scans of the saved table, so the sweep takes about as many
+    passes as its slowest model has rounds. Rows with a missing or infinite value are an error.
+    """
     spark = df.sparkSession
     n = df.limit(max_k + 1).count()
+    ks = list(range(2, min(max_k + 1, n)))
+    if not ks:
+        raise ValueError("too few rows to cluster")
     safe = [f"f{i}" for i in range(len(features))]
     numbers = df.select(
         *[col(c) for c in ("pos",) if c in df.columns],
         *[col(f).cast("double").alias(s) for f, s in zip(features, safe)],
+        F.monotonically_increasing_id().alias("_row"),
     )
-    vectors = VectorAssembler(inputCols=safe, outputCol="features").transform(numbers).persist()
+    saved = materialise(numbers, "clustered")
+    fitted = fit_all(Rows(saved, safe, "_row"), ks, starts, seed, max_iter)
+    least = {k: min((fitted[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
+    placed = materialise(assign(saved, safe, {f"_k{k}": m.centres for k, m in least.items()}), "assigned")
     results, best = [], None
-    def fit(task):
-        k, start = task
-        return KMeans(
-            k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster"
-        ).fit(vectors)
-
-    try:
-        vectors.count()  # cached once, before several fits ask for it at the same time
-        tasks = [(k, s) for k in range(2, min(max_k + 1, n)) for s in range(starts)]
-        with ThreadPool(FITS_AT_ONCE) as pool:
-            fitted = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(fit), tasks)))
-        for k in range(2, min(max_k + 1, n)):
-            model = min((fitted[k, s] for s in range(starts)), key=lambda m: m.summary.trainingCost)
-            score = silhouette(model.transform(vectors), safe, "cluster", ndigits=None).first()["silhouette"]
-            if score is None:
-                continue
-            results.append((k, f"KMeans (k={k})", float(score), float(model.summary.trainingCost)))
-            if best is None or score > best[0]:
-                best = (score, k, model)
-    finally:
-        vectors.unpersist()
+    for k, model in least.items():
+        score = silhouette(placed, safe, f"_k{k}", ndigits=None).first()["silhouette"]
+        if score is None:
+            continue
+        results.append((k, f"KMeans (k={k})", float(score), model.cost))
+        if best is None or score > best[0]:
+            best = (score, k, model)
     if best is None:
         raise ValueError("too few rows to cluster")
     scores = spark.createDataFrame(results, "k int, model string, silhouette double, cost double")
     centres = spark.createDataFrame(
-        [tuple(float(v) for v in c) for c in best[2].clusterCenters()],
-        ", ".join(f"`{f}` double" for f in features),
+        [tuple(float(v) for v in c) for c in best[2].centres], ", ".join(f"`{f}` double" for f in features)
+    )
+    assigned = placed.select(
+        *[col(c) for c in ("pos",) if c in df.columns],
+        *[F.col(s).alias(f) for f, s in zip(features, safe)],
+        F.col(f"_k{best[1]}").alias("cluster"),
     )
-    assigned = best[2].transform(vectors).drop("features")
-    for f, s in zip(features, safe):
-        assigned = assigned.withColumnRenamed(s, f)
     return Clustered(
         scores.withColumn("silhouette", F.round("silhouette", 4)), best[1], best[2], assigned, centres
     )

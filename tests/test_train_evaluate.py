@@ -2,8 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tabsight.functions import lloyd
 from tabsight.operators import evaluate, train
 
 
@@ -162,6 +165,50 @@ def test_kmeans_sweep(spark):
     assert evaluate.cluster_spread(found.centres, ["a", "b"]).count() == 2
 
 
+def plain_lloyd(x, centres):
+    for rounds in range(1, 301):
+        near = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if ((moved - centres) ** 2).sum(axis=1).max() <= lloyd.TOLERANCE**2:
+            break
+        centres = moved
+    return moved, ((x[:, None] - moved) ** 2).sum(axis=2).min(axis=1).sum(), rounds
+
+
+def test_joint_rounds_equal_single_fits(spark):
+    """Every model ends where it ends alone, and all of them share the slowest one's passes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 3)) + rng.integers(0, 4, (2000, 1)) * 4 + [1e5, 0, -50]
+    saved = spark.createDataFrame([(*map(float, v), i) for i, v in enumerate(x)], "a double, b double, c double, n bigint").repartition(5)
+    rows = lloyd.Rows(saved, ["a", "b", "c"], "n")
+    first = [x[rng.choice(2000, k, replace=False)] for k in (2, 3, 4, 5, 8)]
+    fits = lloyd.lloyd(rows, [f - rows.shift for f in first], 300)
+    alone = [plain_lloyd(x, f) for f in first]
+    for fit, (centres, cost, rounds) in zip(fits, alone):
+        assert fit.centres == pytest.approx(centres, abs=1e-3) and fit.cost == pytest.approx(cost, rel=1e-6)
+        assert abs(fit.rounds - rounds) <= 1
+    assert rows.passes == max(f.rounds for f in fits) + 1
+
+
+def test_joint_fits_cost_no_more_than_single_ones(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(150, 4)) + 6 * rng.normal(size=4) for _ in range(6)])
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double, d double")
+    costs = {r["k"]: r["cost"] for r in train.kmeans_sweep(df, list("abcd"), max_k=6, starts=4).scores.collect()}
+    vectors = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(df)
+    for k in (3, 6):
+        assert costs[k] <= min(KMeans(k=k, seed=s).fit(vectors).summary.trainingCost for s in range(4)) * 1.001
+
+
+def test_kmeans_of_equal_and_missing_rows(spark):
+    with pytest.raises(ValueError):
+        train.kmeans_sweep(spark.createDataFrame([(1.0,)] * 20, "a double"), ["a"], max_k=3, starts=2)
+    with pytest.raises(ValueError):
+        train.kmeans_sweep(spark.createDataFrame([(1.0,), (None,), (3.0,), (4.0,)], "a double"), ["a"], max_k=3, starts=2)
+    with pytest.raises(ValueError):
+        train.kmeans_sweep(spark.createDataFrame([], "a double"), ["a"])
+
+
 def test_best_and_drivers(spark):
     scores = spark.createDataFrame([("x", 1, 0.5), ("y", 0, 0.5), ("z", 2, 0.1)], "model string, candidate int, r2 double")
     assert evaluate.best_model(scores, "r2").first()["model"] == "y"
