@@ -158,14 +158,14 @@ def json_lines_detected(spark, d):
 
 @query("json_document_wrapped", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def json_document_wrapped(spark, d):
-    """One document a file, over several lines, that wraps its records."""
+    """One document a file, over several lines, that wraps its records: a hundred each, however
+    many suppliers there are."""
     s = data.table(spark, d, "supplier")
     record = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
-    rows = s.select((F.col("s_suppkey") % 8).alias("file"), record.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",\n").alias("r"))
+    rows = s.select(F.expr("s_suppkey div 100").alias("file"), record.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",\n").alias("r"))
     document = rows.select("file", F.concat(F.lit('{"status": "ok",\n"results": [\n'), "r", F.lit("\n]}")).alias("value"))
     path = scratch_path(spark, "documents")
-    # A file for each document: one row a partition.
-    document.repartition(8, "file").sortWithinPartitions("file").write.partitionBy("file").text(path)
+    document.repartition("file").sortWithinPartitions("file").write.partitionBy("file").text(path)
     return load_json(spark, f"{path}/*")
 
 
@@ -1203,6 +1203,33 @@ query("random_forest_classifier", _facts_sql("Random Forest", "orders"))(_classi
 query("boosted_classifier", _facts_sql("Gradient Boosting", "orders"))(_classifier("Gradient Boosting", (150, 5)))
 
 
+@query(
+    "multinomial_boosting",
+    """SELECT 3 AS classes, 10 AS rounds, true AS falls, ceil(0.2::DOUBLE * count(*))::BIGINT AS test_rows, true AS whole, true AS better FROM orders""",
+)
+def multinomial_boosting(spark, d):
+    """Orders in three classes: the deviance of the training rows falls every round, the
+    probabilities of a test row add up to one, and the log-loss of the test rows is below that of the
+    class shares of the training rows."""
+    o = data.table(spark, d, "orders")
+    lifted = F.col("o_totalprice") + 40 * F.col("o_custkey") % 90000
+    three = F.when(lifted > 270000, 2.0).when(lifted > 150000, 1.0).otherwise(0.0)
+    features = _class_rows(spark, d).drop("y").join(o.select(F.col("o_orderkey").alias("pos"), three.alias("y")), "pos")
+    split = materialise(train.stratified_split(features, "y", ["pos"]), "split")
+    rows = train.assemble(split, _CLASS_FEATURES, "y")
+    fitted = train.boosted_classifier(rows.where("split = 'train'"), maxIter=10, maxDepth=3)
+    shares = {r["y"]: r["n"] for r in split.where("split = 'train'").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    flat = F.element_at(F.create_map(*[F.lit(v) for y, n in shares.items() for v in (y, n / sum(shares.values()))]), F.col("label"))
+    mine = F.col("probability")[F.col("label").cast("int")]
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    found = fitted.transform(rows.where("split = 'test'")).agg(
+        F.count("*").alias("test_rows"), F.sum(F.log(flat) - F.log(mine)).alias("gap"), F.bool_and(F.abs(total - 1) < 1e-9).alias("whole")
+    )
+    falls = all(b < a for a, b in zip(fitted.deviance, fitted.deviance[1:]))
+    facts = [F.lit(fitted.numClasses).alias("classes"), F.lit(len(fitted.rounds)).alias("rounds"), F.lit(falls).alias("falls")]
+    return found.select(*facts, "test_rows", "whole", (F.col("gap") < 0).alias("better"))
+
+
 def _embedding_columns(spark, d, dims: int | None = None) -> tuple[DataFrame, list[str]]:
     e = data.table(spark, d, "embeddings")
     width = e.select(F.size("embedding").alias("n")).first()["n"] if dims is None else dims

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boosting
 from ..functions.columns import col, union_all
 from ..functions.lloyd import Fit, Rows, assign, fit_all
 from ..functions.order import dense_position
@@ -178,10 +178,13 @@ def random_forest_classifier(train: DataFrame, **settings):
 
 
 def boosted_classifier(train: DataFrame, **settings):
-    """Boosted trees; one against the rest for more than two classes."""
-    one = GBTClassifier(**(dict(BOOSTING, seed=SEED) | settings))
+    """Boosted trees; with more than two classes a tree for each class a round, on the
+    multinomial log-loss (settings ``maxIter``, ``maxDepth``, ``stepSize``)."""
     top = train.agg(F.max("label")).first()[0]
-    return one.fit(train) if top is None or top <= 1 else OneVsRest(classifier=one).fit(train)
+    if top is None or top <= 1:
+        return GBTClassifier(**(dict(BOOSTING, seed=SEED) | settings)).fit(train)
+    chosen = BOOSTING | settings
+    return boosting.fit(train, chosen["maxIter"], chosen["maxDepth"], chosen["stepSize"])
 
 
 REGRESSION: dict[str, Callable] = {
@@ -201,9 +204,6 @@ def importances(model) -> list[float]:
     """Tree importances or absolute coefficients (first class of a multiclass model)."""
     if hasattr(model, "featureImportances"):
         return list(model.featureImportances.toArray())
-    if hasattr(model, "models"):
-        parts = [m.featureImportances.toArray() for m in model.models]
-        return list(sum(parts) / len(parts))
     if getattr(model, "numClasses", 2) > 2:
         return list(abs(model.coefficientMatrix.toArray()[0]))
     return list(abs(model.coefficients.toArray()))

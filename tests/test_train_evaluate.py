@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tabsight.functions import lloyd
+from tabsight.functions import boosting, lloyd
 from tabsight.operators import evaluate, train
 
 
@@ -91,12 +91,91 @@ def test_candidates_failures_and_importances(spark):
     assert table[0]["importance"] == 1.0 and all(0 <= r["importance"] <= 1 for r in table)
 
 
-def test_three_class_boosting(spark):
-    rng = np.random.default_rng(23)
-    rows = [(float(rng.normal(k * 4)), float(k)) for k in range(3) for _ in range(40)]
-    df = spark.createDataFrame(rows, "a double, y double")
-    fitted = train.boosted_classifier(train.assemble(df, ["a"], "y"), maxIter=2)
-    assert len(train.importances(fitted)) == 1
+def three_classes(seed, rows):
+    """Classes by which of three noisy sums of two numbers is the largest; the third number is noise."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(rows, 3))
+    scores = np.column_stack([x[:, 0], x[:, 1], -x[:, 0] - x[:, 1]]) + rng.normal(scale=0.3, size=(rows, 3))
+    return [(*map(float, v), float(k)) for v, k in zip(x, scores.argmax(axis=1))]
+
+
+def log_loss(rows):
+    return -sum(math.log(max(r["probability"][int(r["label"])], 1e-12)) for r in rows) / len(rows)
+
+
+def test_multinomial_boosting_beats_one_against_the_rest(spark):
+    df = spark.createDataFrame(three_classes(5, 900), "a double, b double, c double, y double").repartition(3)
+    held = spark.createDataFrame(three_classes(6, 600), "a double, b double, c double, y double")
+    rows, test = (train.assemble(t, ["a", "b", "c"], "y") for t in (df, held))
+    # Ten steps of 0.1 would leave every model near its start, from which the binary one sets off with a whole step.
+    settings = dict(maxIter=10, maxDepth=3, stepSize=0.4)
+    fitted = train.boosted_classifier(rows, **settings)
+    assert fitted.numClasses == 3 and len(fitted.rounds) == 10
+    assert all(b < a for a, b in zip(fitted.deviance, fitted.deviance[1:]))
+    got = fitted.transform(test).select("label", "prediction", "probability").collect()
+    assert all(abs(sum(r["probability"]) - 1) < 1e-9 and r["prediction"] == np.argmax(r["probability"]) for r in got)
+    assert sum(r["prediction"] == r["label"] for r in got) / len(got) > 0.75
+    shares = train.importances(fitted)
+    assert abs(sum(shares) - 1) < 1e-9 and shares[2] == min(shares)
+    # The same depth and rounds, a model for each class, its probabilities scaled to one.
+    alone = []
+    for k in range(3):
+        own = rows.withColumn("label", (F.col("label") == k).cast("double"))
+        one = train.boosted_classifier(own, **settings)
+        alone.append([r["probability"][1] for r in one.transform(test).select("probability").collect()])
+    parts = np.array(alone).T
+    parts /= parts.sum(axis=1, keepdims=True)
+    against = [dict(label=r["label"], probability=p) for r, p in zip(got, parts)]
+    assert log_loss(got) < log_loss(against)
+
+
+@pytest.mark.parametrize("cells,save", [(1 << 22, 8), (1, 1)])
+def test_multinomial_boosting_against_numpy(spark, monkeypatch, cells, save):
+    """Trees, scores and deviance against a plain greedy search over all rows, with ties, a class
+    that no row has, a constant column, and histograms or scores in several scans."""
+    monkeypatch.setattr(boosting, "CELLS", cells)
+    monkeypatch.setattr(boosting, "SAVE_ROUNDS", save)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 6, 120), rng.integers(0, 4, 120), np.ones(120)]).astype(float)
+    y = np.where(x[:, 0] > 3, 3, np.where(x[:, 1] > rng.uniform(0, 3, 120), 1, 0))
+    df = spark.createDataFrame([(*map(float, r), float(k)) for r, k in zip(x, y)], "a double, b double, c double, y double").repartition(4)
+    fitted = boosting.fit(train.assemble(df, ["a", "b", "c"], "y"), 3, 2, 0.5)
+
+    shares = np.array([max(np.mean(y == k), 1e-12) for k in range(4)])
+    scores, losses = np.tile(np.log(shares), (120, 1)), []
+
+    def grow(at, g, h, depth):
+        best = (1e-9, None)
+        for f in range(3):
+            for cut in np.unique(x[at, f])[:-1]:
+                left, right = at[x[at, f] <= cut], at[x[at, f] > cut]
+                gain = len(left) * len(right) / len(at) * (g[left].mean() - g[right].mean()) ** 2
+                if gain > best[0] * (1 + 1e-9):
+                    best = (gain, (left, right))
+        if not depth or best[1] is None:
+            step[at] = 0.5 * 0.75 * g[at].sum() / h[at].sum() if h[at].sum() > 1e-150 else 0.0
+            return
+        for side in best[1]:
+            grow(side, g, h, depth - 1)
+
+    for _ in range(3):
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        losses.append(-np.log(p[np.arange(120), y]).mean())
+        for k in range(4):
+            step = np.zeros(120)
+            grow(np.arange(120), (y == k) - p[:, k], p[:, k] * (1 - p[:, k]), 2)
+            scores[:, k] += step
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    losses.append(-np.log(p[np.arange(120), y]).mean())
+    assert np.allclose(fitted.deviance, losses, rtol=1e-9)
+    got = {tuple(r["features"]): r["probability"] for r in fitted.transform(train.assemble(df, ["a", "b", "c"], "y")).collect()}
+    assert all(np.allclose(got[tuple(r)], q, atol=1e-9) for r, q in zip(x, p))
+
+
+def test_multinomial_boosting_without_rows(spark):
+    none = train.assemble(spark.createDataFrame([], "a double, y double"), ["a"], "y")
+    with pytest.raises(ValueError, match="no training rows"):
+        boosting.fit(none, 2, 2, 0.1)
 
 
 def test_regression_metrics_edges(spark):
