@@ -19,7 +19,7 @@ from ..functions.columns import (
 )
 from ..functions.comoments import correlation, pair_moments
 from ..functions.contingency import pair_counts
-from ..functions.counts import small_domains, text
+from ..functions.counts import gate, text
 from ..functions.order import dense_position
 from ..functions.quantiles import exact_quantiles
 from .univariate import numeric_frame
@@ -196,16 +196,18 @@ def grouped_statistics(
     max_distinct: int = GROUPED_MAX_DISTINCT,
     ndigits: int | None = 4,
     groups: DataFrame | None = None,
+    domains: dict[str, dict[str, int]] | None = None,
 ) -> DataFrame:
     """Mean, median, std and count per group for the pairs whose group means vary most.
 
     Groups with a missing statistic (single values) are left out; a pair left with one
-    group has no variance and sorts last. ``groups`` may pass a ready ``group_table``.
+    group has no variance and sorts last. ``groups`` and ``domains`` may pass a ready
+    ``group_table`` and a ``small_domains`` of a gate at least as wide.
     """
     classes = classify_columns(df)
     categories = list(classes.categorical if categories is None else categories)
     numbers = list(classes.numeric if numbers is None else numbers)
-    gated = list(small_domains(df, categories, max_distinct))
+    gated = list(gate(df, categories, max_distinct, domains))
     schema = (
         "pair_rank int, categorical string, numeric string, mean_variance double, "
         "group string, mean double, median double, std double, count bigint"
@@ -340,11 +342,12 @@ def categorical_associations(
     max_pairs: int = ASSOCIATION_MAX_PAIRS,
     max_distinct: int = ASSOCIATION_MAX_DISTINCT,
     ndigits: int | None = 4,
+    domains: dict[str, dict[str, int]] | None = None,
 ) -> DataFrame:
     """Cramér's V of every pair of low-cardinality columns, strongest pairs first. One scan
     counts the cells of all pairs."""
     columns = list(classify_columns(df).categorical if columns is None else columns)
-    eligible = list(small_domains(df, columns, max_distinct))
+    eligible = list(gate(df, columns, max_distinct, domains))
     pairs = list(combinations(eligible, 2))
     spark = df.sparkSession
     if not pairs:

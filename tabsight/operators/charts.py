@@ -41,11 +41,11 @@ def histogram(
 
 
 def box_plot(
-    df: DataFrame, columns: Sequence[str] | None = None, ndigits: int | None = 4
+    df: DataFrame, columns: Sequence[str] | None = None, ndigits: int | None = 4, known_quartiles=None
 ) -> DataFrame:
     """Quartiles, whisker ends (extremes inside the IQR bounds) and outliers per column."""
     columns = list(classify_columns(df).numeric if columns is None else columns)
-    q = quartiles(df, columns)
+    q = known_quartiles or quartiles(df, columns)
 
     def stats(c: str) -> dict[str, Column]:
         low, high = whiskers(q[c][1])
@@ -66,10 +66,10 @@ def box_plot(
     )
 
 
-def box_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def box_outliers(df: DataFrame, columns: Sequence[str] | None = None, known_quartiles=None) -> DataFrame:
     """Outlier points of the box plots, equal values combined: ``(column, value, count)``."""
     columns = list(classify_columns(df).numeric if columns is None else columns)
-    q = quartiles(df, columns)
+    q = known_quartiles or quartiles(df, columns)
     shown = []
     for c in columns:
         low, high = whiskers(q[c][1])
@@ -84,10 +84,13 @@ def box_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def heatmap(df: DataFrame, columns: Sequence[str] | None = None, ndigits: int = 3) -> DataFrame:
-    """Full symmetric correlation matrix as ``(x, y, r)``."""
+def heatmap(
+    df: DataFrame, columns: Sequence[str] | None = None, ndigits: int = 3, correlations: DataFrame | None = None
+) -> DataFrame:
+    """Full symmetric correlation matrix as ``(x, y, r)``; ``correlations`` may pass a saved
+    ``correlation_matrix`` of the columns."""
     columns = list(classify_columns(df).numeric if columns is None else columns)
-    upper = correlation_matrix(df, columns).select("a", "b", F.round("r", ndigits).alias("r"))
+    upper = (correlation_matrix(df, columns) if correlations is None else correlations).select("a", "b", F.round("r", ndigits).alias("r"))
     varies = per_column(
         numeric_frame(df, columns), columns, lambda c: {"lo": F.min(col(c)), "hi": F.max(col(c))}
     )
@@ -105,9 +108,11 @@ def heatmap(df: DataFrame, columns: Sequence[str] | None = None, ndigits: int =
     )
 
 
-def bar(df: DataFrame, columns: Sequence[str] | None = None, n: int = BAR_VALUES) -> DataFrame:
+def bar(
+    df: DataFrame, columns: Sequence[str] | None = None, n: int = BAR_VALUES, counts: DataFrame | None = None
+) -> DataFrame:
     """Most frequent values of each categorical column."""
-    return top_values(df, columns, n)
+    return top_values(df, columns, n, counts)
 
 
 def scatter(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFrame:
@@ -168,11 +173,19 @@ def grouped_box(
     )
 
 
-def pie(df: DataFrame, columns: Sequence[str] | None = None, max_slices: int = PIE_MAX) -> DataFrame:
-    """Shares of each value for columns with 2 to 8 distinct values."""
+def pie(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    max_slices: int = PIE_MAX,
+    counts: DataFrame | None = None,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Shares of each value for columns with 2 to 8 distinct values. ``counts`` and ``sizes`` may
+    pass saved ``value_counts`` and their ``categorical_univariate``."""
     columns = list(classify_columns(df).categorical if columns is None else columns)
-    sizes = categorical_univariate(df, columns).where(F.col("cardinality").between(2, max_slices))
-    values = top_values(df, columns, max_slices)
+    sizes = categorical_univariate(df, columns, counts) if sizes is None else sizes
+    sizes = sizes.where(F.col("cardinality").between(2, max_slices))
+    values = top_values(df, columns, max_slices, counts)
     return values.join(F.broadcast(sizes.select("column", F.col("count").alias("_n"))), "column").select(
         "column", "value", "count", F.round(F.col("count") / F.col("_n") * 100, 2).alias("share_pct")
     )

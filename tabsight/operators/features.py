@@ -306,6 +306,9 @@ def engineer_features(
     if target and problem.problem_type == "classification" and target in classes.categorical:
         work, mapping = encode_target(work, target)
         _note(log, "encode_target", target, "")
+    if any(c in names for c in categorical) or mapping is not None:
+        # Scaling reads all values before the matrix does: the joins with the codes run once.
+        work = materialise(work, "coded")
     if scale:
         work = standard_scale(work, names, log=log)
     matrix = materialise(model_matrix(work, names, target, ROW), "matrix")

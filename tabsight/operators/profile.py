@@ -40,7 +40,8 @@ def _row_key(df: DataFrame) -> Column:
         c = col(f.name)
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             long = F.octet_length(c) > LONG_TEXT_BYTES
-            shown = F.when(long, F.concat(F.lit("#"), F.sha2(c.cast("binary"), 256))).otherwise(F.concat(F.lit("="), F.hex(c.cast("binary"))))
+            raw = c if isinstance(f.dataType, T.StringType) else F.hex(c)
+            shown = F.when(long, F.concat(F.lit("#"), F.sha2(c.cast("binary"), 256))).otherwise(F.concat(F.lit("="), raw))
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             shown = (c + F.lit(0.0)).cast("string")  # both zeros are one value
         elif isinstance(f.dataType, T.TimestampType):
@@ -49,7 +50,7 @@ def _row_key(df: DataFrame) -> Column:
             shown = F.to_json(c)
         else:
             shown = c.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("n")))
+        parts.append(F.coalesce(F.concat(F.octet_length(shown).cast("string"), F.lit(":"), shown), F.lit("n")))
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import classify_columns, col, per_column, rounded, sample_skewness, union_all
-from ..functions.counts import small_domains
+from ..functions.counts import gate
+from ..session import materialise
 from .bivariate import group_table
 from .univariate import numeric_frame, quartiles, whiskers
 
@@ -33,15 +34,17 @@ def categorical_segments(
     min_effect: float = MIN_EFFECT,
     ndigits: int | None = 4,
     groups: DataFrame | None = None,
+    domains: dict[str, dict[str, int]] | None = None,
 ) -> DataFrame:
     """Splits whose group means spread over at least ``min_effect`` overall deviations.
 
-    One row per split and group, strongest split first; ``effect_size`` repeats.
+    One row per split and group, strongest split first; ``effect_size`` repeats. ``groups``
+    and ``domains`` may pass a ready ``group_table`` and a ``small_domains`` of a wider gate.
     """
     classes = classify_columns(df)
     categories = list(classes.categorical if categories is None else categories)
     numbers = list(classes.numeric if numbers is None else numbers)
-    gated = [c for c, v in small_domains(df, categories, max_distinct).items() if len(v) >= 2]
+    gated = [c for c, v in gate(df, categories, max_distinct, domains).items() if len(v) >= 2]
     schema = (
         "split_column string, target_column string, effect_size double, "
         "group string, group_mean double, group_count bigint"
@@ -109,18 +112,9 @@ def _numeric_segments(df: DataFrame, numbers: Sequence[str], known_quartiles=Non
     )
 
 
-def skew_split(
-    df: DataFrame,
-    numbers: Sequence[str] | None = None,
-    min_skew: float = MIN_SKEW,
-    ndigits: int | None = 4,
-    known_quartiles=None,
-) -> DataFrame:
-    """Strongly skewed columns split at their median."""
-    numbers = list(classify_columns(df).numeric if numbers is None else numbers)
+def _skewed(stats: DataFrame, min_skew: float, ndigits: int | None) -> DataFrame:
     return (
-        _numeric_segments(df, numbers, known_quartiles)
-        .where(F.abs("skew") >= min_skew)
+        stats.where(F.abs("skew") >= min_skew)
         .select(
             "column",
             F.col("median").alias("threshold"),
@@ -131,17 +125,9 @@ def skew_split(
     )
 
 
-def outlier_segments(
-    df: DataFrame,
-    numbers: Sequence[str] | None = None,
-    ndigits: int | None = 4,
-    known_quartiles=None,
-) -> DataFrame:
-    """Columns with values outside the IQR bounds, with their count and share."""
-    numbers = list(classify_columns(df).numeric if numbers is None else numbers)
+def _outlying(stats: DataFrame, ndigits: int | None) -> DataFrame:
     return (
-        _numeric_segments(df, numbers, known_quartiles)
-        .where("outliers > 0")
+        stats.where("outliers > 0")
         .select(
             "column",
             F.col("outliers").alias("outlier_count"),
@@ -152,6 +138,29 @@ def outlier_segments(
     )
 
 
+def skew_split(
+    df: DataFrame,
+    numbers: Sequence[str] | None = None,
+    min_skew: float = MIN_SKEW,
+    ndigits: int | None = 4,
+    known_quartiles=None,
+) -> DataFrame:
+    """Strongly skewed columns split at their median."""
+    numbers = list(classify_columns(df).numeric if numbers is None else numbers)
+    return _skewed(_numeric_segments(df, numbers, known_quartiles), min_skew, ndigits)
+
+
+def outlier_segments(
+    df: DataFrame,
+    numbers: Sequence[str] | None = None,
+    ndigits: int | None = 4,
+    known_quartiles=None,
+) -> DataFrame:
+    """Columns with values outside the IQR bounds, with their count and share."""
+    numbers = list(classify_columns(df).numeric if numbers is None else numbers)
+    return _outlying(_numeric_segments(df, numbers, known_quartiles), ndigits)
+
+
 def detect_segments(
     df: DataFrame,
     categories: Sequence[str] | None = None,
@@ -159,13 +168,12 @@ def detect_segments(
     ndigits: int | None = 4,
     groups: DataFrame | None = None,
     known_quartiles=None,
+    domains: dict[str, dict[str, int]] | None = None,
 ) -> DataFrame:
-    """All segment kinds in one table, one row per segment."""
+    """All segment kinds in one table, one row per segment; one scan serves both numeric kinds."""
     numbers = list(classify_columns(df).numeric if numbers is None else numbers)
-    if known_quartiles is None and numbers:
-        known_quartiles = quartiles(df, numbers)
     splits = (
-        categorical_segments(df, categories, numbers, ndigits=ndigits, groups=groups)
+        categorical_segments(df, categories, numbers, ndigits=ndigits, groups=groups, domains=domains)
         .groupBy("split_column", "target_column", "effect_size")
         .agg(F.count("*").alias("groups"))
         .select(
@@ -178,8 +186,9 @@ def detect_segments(
     )
     if not numbers:
         return df.sparkSession.createDataFrame([], SEGMENT_SCHEMA)
-    skew = skew_split(df, numbers, ndigits=ndigits, known_quartiles=known_quartiles)
-    outliers = outlier_segments(df, numbers, ndigits=ndigits, known_quartiles=known_quartiles)
+    # A row a column.
+    stats = materialise(_numeric_segments(df, numbers, known_quartiles).repartition(1), "numeric_segments")
+    skew, outliers = _skewed(stats, MIN_SKEW, ndigits), _outlying(stats, ndigits)
     return union_all(
         [
             splits,

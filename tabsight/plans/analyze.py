@@ -36,17 +36,18 @@ class Analysis:
 
 
 def chart_tables(df: DataFrame, explored: Exploration, modeled: Modeling) -> dict[str, DataFrame]:
+    """Chart data; quartiles, correlations and value counts are those of the exploration."""
     classes = classify_columns(df)
-    out = {}
+    out, counts = {}, explored.counts
     if classes.numeric:
         out["histogram"] = charts.histogram(df, classes.numeric)
-        out["box_plot"] = charts.box_plot(df, classes.numeric)
-        out["box_outliers"] = charts.box_outliers(df, classes.numeric)
+        out["box_plot"] = charts.box_plot(df, classes.numeric, known_quartiles=explored.quartiles)
+        out["box_outliers"] = charts.box_outliers(df, classes.numeric, explored.quartiles)
     if len(classes.numeric) > 1:
-        out["heatmap"] = charts.heatmap(df, classes.numeric)
+        out["heatmap"] = charts.heatmap(df, classes.numeric, correlations=explored.correlations)
     if classes.categorical:
-        out["bar"] = charts.bar(df, classes.categorical)
-        out["pie"] = charts.pie(df, classes.categorical)
+        out["bar"] = charts.bar(df, classes.categorical, counts=counts)
+        out["pie"] = charts.pie(df, classes.categorical, counts=counts, sizes=explored.categorical)
     for r in explored.strong_correlations.collect():
         out[f"scatter_{r['a']}_{r['b']}"] = charts.scatter(df, r["a"], r["b"])
     splits = [

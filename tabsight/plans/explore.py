@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -29,9 +29,12 @@ class Exploration:
     insights: DataFrame
     recommendations: DataFrame
     findings: DataFrame
+    # What later steps need again: quartiles by number, saved value counts.
+    quartiles: dict = field(default_factory=dict)
+    counts: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in vars(self).items() if v is not None}
+        return {k: v for k, v in vars(self).items() if v is not None and k not in ("quartiles", "counts")}
 
 
 _EMPTY = {
@@ -50,7 +53,7 @@ def explore(
 ) -> Exploration:
     """Univariate, bivariate, shape, segment and time-series results plus rule tables.
 
-    Quartiles, value counts and group statistics are made once and passed to every step
+    Quartiles, value counts, cardinality gates and group statistics are made once and passed to every step
     that needs them; the small result tables are saved before rules combine them.
     ``order_by`` (time column first, unique column last) sets the row order; without it rows
     go by the first datetime column and those of equal times by their numbers.
@@ -80,10 +83,12 @@ def explore(
         when = univariate.datetime_univariate(df, dates)
     correlations = saved(bivariate.correlation_matrix(df, numbers), "correlations")
     strong = bivariate.strong_correlations(correlations, ndigits=ndigits)
-    gated = list(small_domains(df, categories, bivariate.GROUPED_MAX_DISTINCT)) if numbers else []
+    # The widest gate; the narrower ones of associations and segments follow from it.
+    domains = small_domains(df, categories, bivariate.GROUPED_MAX_DISTINCT)
+    gated = list(domains) if numbers else []
     groups = saved(bivariate.group_table(df, gated, numbers), "groups") if gated else None
     found = saved(
-        segments.detect_segments(df, categories, numbers, ndigits, groups, quartiles or None), "segments"
+        segments.detect_segments(df, categories, numbers, ndigits, groups, quartiles or None, domains), "segments"
     )
     if dates and numbers:
         along = saved(
@@ -101,9 +106,9 @@ def explore(
         correlations=correlations,
         strong_correlations=strong,
         grouped_statistics=bivariate.grouped_statistics(
-            df, categories, numbers, ndigits=ndigits, groups=groups
+            df, categories, numbers, ndigits=ndigits, groups=groups, domains=domains
         ),
-        associations=bivariate.categorical_associations(df, categories, ndigits=ndigits),
+        associations=bivariate.categorical_associations(df, categories, ndigits=ndigits, domains=domains),
         distributions=shapes,
         segments=found,
         time_series=along,
@@ -112,4 +117,6 @@ def explore(
             spark, numbers, categories, strong, found, along, dates[0] if dates else None
         ),
         findings=rules.findings(metadata, s, strong, found, along),
+        quartiles=quartiles,
+        counts=counts,
     )

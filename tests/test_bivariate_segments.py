@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.functions import contingency
+from tabsight.functions import contingency, counts
 from tabsight.operators import bivariate, charts, segments
 
 
@@ -161,3 +161,11 @@ def test_grouped_box_and_pie(spark):
     rows = {r["group"]: r for r in charts.grouped_box(df, [("g", "v")]).collect()}
     assert rows["a"]["median"] == 1.5 and rows["b"]["count"] == 1
     assert {r["value"]: r["share_pct"] for r in charts.pie(df).collect()} == {"a": 50.0, "b": 50.0}
+
+
+def test_narrower_gates_follow_from_a_wider_one(spark):
+    df = spark.createDataFrame([(f"a{i % 7}", f"b{i % 40}", f"c{i}", None) for i in range(400)], "a string, b string, c string, d string")
+    names = ["a", "b", "c", "d"]
+    wide = counts.small_domains(df, names, 50)
+    for most in (50, 30, 6):
+        assert counts.gate(df, names, most, wide) == counts.small_domains(df, names, most) == counts.gate(df, names, most)
