@@ -69,7 +69,8 @@ def op3(spark, d):
 @query("op5_suffix_dedup")
 def op5(spark, d):
     got = suffix.remove_repeats(table(spark, d, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = [F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return got.select("doc_id", "n_bytes", "n_removed", *digests, (F.col("n_removed") > 0).alias("has_repeat"))
 
 
 @query("op6_personal_data")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tabsight.llm import suffix
+from tabsight.llm import queries, suffix
 
 from .edge import ROWS, documents, prose
 
@@ -64,6 +64,30 @@ def test_at_the_contract_length(spark):
     assert got == {i: x for (i, _), x in zip(rows, plain([t for _, t in rows], 400))}
 
 
+def test_passages_of_over_fifty_words_mark_their_documents(spark, tmp_path):
+    """Documents that share 400 bytes or more are marked and lose them; those that share 399, or
+    nothing, are left alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 12)))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    rows, marked = [], set()
+    for n in (75, 120, 200, 400):
+        passage = fresh(n)
+        assert len(passage) >= 400
+        for _ in range(3):
+            marked.add(len(rows))
+            rows.append((len(rows), f"{fresh(rng.randrange(1, 90))}\n{passage}\n{fresh(rng.randrange(1, 90))}"))
+    short = fresh(90)[:397]
+    # A line break on both sides makes 399 bytes in common.
+    rows += [(len(rows) + i, f"{fresh(40)}{i}\n{short}\n{i}{fresh(40)}") for i in range(3)]
+    rows += [(len(rows) + i, fresh(rng.randrange(1, 300))) for i in range(20)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.has_repeat} == marked
+    want = {i: gone for (i, _), (_, gone, _, _) in zip(rows, plain([t for _, t in rows], 400))}
+    assert {r.doc_id: r.n_removed for r in got} == want
+
+
 def test_an_empty_table(spark):
     assert suffix.remove_repeats(documents(spark, ROWS).limit(0)).collect() == []
 
