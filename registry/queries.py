@@ -1393,9 +1393,9 @@ def explore_events(spark, d):
     (SELECT count(*) FROM customer) AS assigned FROM (SELECT unnest(range(2, 9)) AS k)""",
 )
 def model_customers(spark, d):
-    """The facts of a whole modelling run on all columns: balances are nearly unique, so
-    customers are clustered."""
-    done = model(data.table(spark, d, "customer"), target="c_acctbal", order_by=["c_custkey"])
+    """The facts of a whole modelling run that clusters customers on all columns, the balance
+    last, also where balances repeat and would make a regression."""
+    done = model(data.table(spark, d, "customer"), target="c_acctbal", order_by=["c_custkey"], cluster=True)
     said = {"problem_type": done.problem.problem_type, "method": done.split_info["method"], "assigned": done.clusters.count()}
     return done.scores.select("k", "model", *[F.lit(v).alias(c) for c, v in said.items()]).withColumn("assigned", F.col("assigned").cast("bigint"))
 

@@ -16,8 +16,8 @@ from .columns import col
 
 ship_functions_of(__name__)
 
-# Rows whose distances to all centres are held at once.
-BLOCK_ROWS = 4096
+# Rows whose distances to all centres are held at once; few enough for the caches.
+BLOCK_ROWS = 1024
 # Fixed values of the row hash (splitmix64).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 # Rounds in which rows far from the centres chosen so far become candidates.
@@ -88,19 +88,25 @@ class Rows:
         shift, all_centres = self.shift, np.concatenate(groups)
         ends = np.cumsum([len(g) for g in groups])
         starts, width = ends - [len(g) for g in groups], len(shift) + 2
+        same_size: list[tuple[int, int, int]] = []
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            k = hi - lo
+            if same_size and same_size[-1][2] == k:
+                lo = same_size.pop()[0]
+            same_size.append((lo, hi, k))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Sums, then the count, then the cost of each centre.
             held = np.zeros((len(all_centres), width))
             for _, x in _blocks(batches, shift):
-                d, at = _distances(x, all_centres), np.arange(len(x))
-                for lo, hi in zip(starts, ends):
-                    near = d[:, lo:hi].argmin(axis=1)
-                    mine = np.zeros((len(x), hi - lo))
-                    mine[at, near] = 1.0
-                    held[lo:hi, :-2] += mine.T @ x
-                    held[lo:hi, -2] += mine.sum(axis=0)
-                    held[lo:hi, -1] += mine.T @ d[at, lo + near]
+                d, mine = _distances(x, all_centres), np.zeros((len(x), len(all_centres)))
+                for lo, hi, k in same_size:
+                    # Groups of one size lie side by side: the nearest centres of all at once.
+                    shape = (len(x), (hi - lo) // k, k)
+                    np.put_along_axis(mine[:, lo:hi].reshape(shape), d[:, lo:hi].reshape(shape).argmin(axis=2)[:, :, None], 1.0, axis=2)
+                held[:, :-2] += mine.T @ x
+                held[:, -2] += mine.sum(axis=0)
+                held[:, -1] += np.einsum("ij,ij->j", mine, d)
             cell = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(held.ravel()[cell])], ["cell", "value"])
 

@@ -195,6 +195,14 @@ def classify_target(df: DataFrame, target: str, order_by: Sequence[str] | None =
     )
 
 
+def clustering(df: DataFrame, target: str | None = None) -> Problem:
+    """The clustering of all columns; a target comes last among the features."""
+    classes = classify_columns(df)
+    columns = [*classes.numeric, *classes.categorical]
+    last = [target] if target in columns else []
+    return Problem("clustering", None, [c for c in columns if c not in last] + last, next(iter(classes.datetime), None))
+
+
 def detect_problem(
     df: DataFrame,
     target_hint: str | None = None,

@@ -22,7 +22,7 @@ from ..functions.columns import col, union_all
 from ..functions.lloyd import Fit, Rows, assign, fit_all
 from ..functions.order import dense_position
 from ..functions.quantiles import ranked_values
-from ..session import materialise
+from ..session import materialise, spread
 from .evaluate import silhouette
 
 log = logging.getLogger(__name__)
@@ -291,7 +291,8 @@ def kmeans_sweep(
         *[col(f).cast("double").alias(s) for f, s in zip(features, safe)],
         F.monotonically_increasing_id().alias("_row"),
     )
-    saved = materialise(numbers, "clustered")
+    # Numbered before the rows are dealt out: a number names the row, whichever task reads it.
+    saved = materialise(spread(numbers, "_row", df.count()), "clustered")
     fitted = fit_all(Rows(saved, safe, "_row"), ks, starts, seed, max_iter)
     least = {k: min((fitted[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
     placed = materialise(assign(saved, safe, {f"_k{k}": m.centres for k, m in least.items()}), "assigned")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import missing_as_null
 from ..operators import evaluate, train
 from ..operators.features import Features, engineer_features
-from ..operators.problem import Problem, detect_problem
+from ..operators.problem import Problem, clustering, detect_problem
 from ..session import materialise
 
 MIN_ROWS = 10
@@ -51,14 +51,16 @@ def model(
     target: str | None = None,
     order_by: Sequence[str] | None = None,
     settings: dict[str, dict] | None = None,
+    cluster: bool = False,
     **feature_options,
 ) -> Modeling:
     """Detect the problem, prepare features, fit the candidates, compare and explain.
 
     ``settings`` overrides options per candidate, e.g. fewer trees for a trial run.
+    ``cluster`` asks for clusters whatever the values of the target, which joins the features.
     """
     df = missing_as_null(df)
-    problem = detect_problem(df, target, order_by)
+    problem = clustering(df, target) if cluster else detect_problem(df, target, order_by)
     prepared = engineer_features(df, problem, order_by, **feature_options)
     matrix, names = prepared.matrix, prepared.names
     out = Modeling(problem, problem.table(df), prepared, {})

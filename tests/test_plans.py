@@ -50,3 +50,11 @@ def test_classification_and_clustering(spark):
 def test_too_few_rows(spark):
     done = model(spark.range(5).select((F.col("id") * 1.5).alias("a")))
     assert done.scores is None
+
+
+def test_clusters_on_request_where_the_target_repeats(spark):
+    df = spark.range(900).select(F.col("id").alias("key"), (F.col("id") % 15 * 1.5).alias("balance"))
+    assert model(df.limit(60), target="balance", settings=FAST).problem.problem_type == "regression"
+    done = model(df, target="balance", cluster=True)
+    assert done.problem.problem_type == "clustering" and done.problem.features == ["key", "balance"]
+    assert done.clusters.count() == 900 and [r["k"] for r in done.scores.orderBy("k").collect()] == list(range(2, 9))
