@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boosting
+from ..functions.cells import OnBins, cells, cut_points
 from ..functions.columns import col, union_all
 from ..functions.lloyd import Fit, Rows, assign, fit_all
 from ..functions.order import dense_position
@@ -34,6 +35,8 @@ RIDGE_ALPHA = 1.0
 FOREST = dict(numTrees=100, maxDepth=10)
 BOOSTING = dict(maxIter=150, maxDepth=5, stepSize=0.1)
 LOGISTIC_ITERATIONS = 500
+# Cells of a task: a tree of a round is little work, so few cells are not worth many tasks.
+CELLS_LEAST = 65_536
 MAX_K = 8
 KMEANS_STARTS = 10
 
@@ -155,13 +158,30 @@ def ridge_regression(train: DataFrame, alpha: float = RIDGE_ALPHA):
     ).fit(train)
 
 
+def _dealt(train: DataFrame) -> DataFrame:
+    """Training rows over all cores; cached ones are taken to lie so."""
+    return train if train.is_cached else spread(train, train.count(), "pos" if "pos" in train.columns else None)
+
+
 def random_forest_regressor(train: DataFrame, **settings):
     options = dict(FOREST, featureSubsetStrategy="all", seed=SEED) | settings
-    return RandomForestRegressor(**options).fit(train)
+    return RandomForestRegressor(**options).fit(_dealt(train))
+
+
+def _boosted(trees, train: DataFrame, by_label: bool) -> OnBins:
+    """Spark's boosting of ``train``, on the cells of its bins."""
+    cuts = cut_points(train)
+    found = materialise(cells(train, cuts, by_label), "cells")
+    rows = spread(found, found.count(), least=CELLS_LEAST).persist()
+    try:
+        return OnBins(trees.fit(rows), cuts)
+    finally:
+        rows.unpersist()
 
 
 def boosted_regressor(train: DataFrame, **settings):
-    return GBTRegressor(**(dict(BOOSTING, seed=SEED) | settings)).fit(train)
+    """Boosted trees by squared error, fitted on weighted cells (see ``functions.cells``)."""
+    return _boosted(GBTRegressor(**(dict(BOOSTING, seed=SEED, weightCol="weight") | settings)), train, False)
 
 
 def logistic_regression(train: DataFrame):
@@ -174,7 +194,7 @@ def logistic_regression(train: DataFrame):
 
 def random_forest_classifier(train: DataFrame, **settings):
     options = dict(FOREST, featureSubsetStrategy="sqrt", seed=SEED) | settings
-    return RandomForestClassifier(**options).fit(train)
+    return RandomForestClassifier(**options).fit(_dealt(train))
 
 
 def boosted_classifier(train: DataFrame, **settings):
@@ -182,7 +202,7 @@ def boosted_classifier(train: DataFrame, **settings):
     multinomial log-loss (settings ``maxIter``, ``maxDepth``, ``stepSize``)."""
     top = train.agg(F.max("label")).first()[0]
     if top is None or top <= 1:
-        return GBTClassifier(**(dict(BOOSTING, seed=SEED) | settings)).fit(train)
+        return _boosted(GBTClassifier(**(dict(BOOSTING, seed=SEED, weightCol="weight") | settings)), train, True)
     chosen = BOOSTING | settings
     return boosting.fit(train, chosen["maxIter"], chosen["maxDepth"], chosen["stepSize"])
 
@@ -230,7 +250,8 @@ def fit_candidates(
     model and test row: ``(model, candidate, pos, actual, predicted)``.
     """
     rows = assemble(split, features, target)
-    train = rows.where("split = 'train'").persist()
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    train = spread(rows.where("split = 'train'"), sizes.get("train", 0), "pos").persist()
     test = rows.where("split = 'test'")
     models, frames, failed = {}, [], {}
     try:
@@ -252,7 +273,6 @@ def fit_candidates(
                     F.col("prediction").alias("predicted"),
                 )
             )
-        sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     finally:
         train.unpersist()
     return Trained(models, union_all(frames) if frames else None, sizes, failed)
@@ -292,7 +312,7 @@ def kmeans_sweep(
         F.monotonically_increasing_id().alias("_row"),
     )
     # Numbered before the rows are dealt out: a number names the row, whichever task reads it.
-    saved = materialise(spread(numbers, "_row", df.count()), "clustered")
+    saved = materialise(spread(numbers, df.count(), "_row"), "clustered")
     fitted = fit_all(Rows(saved, safe, "_row"), ks, starts, seed, max_iter)
     least = {k: min((fitted[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
     placed = materialise(assign(saved, safe, {f"_k{k}": m.centres for k, m in least.items()}), "assigned")
