@@ -4,7 +4,7 @@ import re
 import zlib
 
 import corpus_pipeline
-from tabsight.llm import tokens
+from tabsight.llm import simhash, stages, tokens
 
 from .test_alike import plain, similarity
 from .test_latent import language
@@ -94,3 +94,26 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns[-2:] == ["sequence_id", "offset"] and got.count() > 0
+
+
+def test_near_duplicates_by_fingerprint_or_by_shingles(spark):
+    """A link of 3 bits that the shingles do not show, and one that only they show, by steps."""
+    rng, text = language(5)
+    common = [text(1) for _ in range(12)]
+    found = None
+    # A long repetitive text hardly moves its fingerprint when rare words come in.
+    for _ in range(40):
+        base = " ".join(common) + " "
+        one = base * 40 + " ".join(text(1) for _ in range(60))
+        other = base * 40 + " ".join(text(1) for _ in range(60))
+        bits = bin(simhash.fingerprint(one) ^ simhash.fingerprint(other)).count("1")
+        if bits <= 3 and similarity(plain(one), plain(other)) < 0.8:
+            found = (one, other)
+            break
+    assert found
+    words = text(200).split()
+    near = words.copy()
+    near[100] = "changed"
+    rows = [(1, found[0]), (2, found[1]), (3, " ".join(words)), (4, " ".join(near)), (5, text(120))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in stages.drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 5]
