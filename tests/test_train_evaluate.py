@@ -294,3 +294,13 @@ def test_best_and_drivers(spark):
     assert [r["rank"] for r in evaluate.model_comparison(scores, "r2").collect()] == [1, 2, 3]
     table = evaluate.feature_importance(spark, ["a", "b"], [0.0, 0.0])
     assert evaluate.top_drivers(table).count() == 2
+
+
+def test_forests_do_not_hang_on_how_rows_are_stored(spark):
+    rng = np.random.default_rng(31)
+    rows = [(i, *map(float, v), float(v[0] + v[1] ** 2)) for i, v in enumerate(rng.normal(size=(400, 2)))]
+    grown = []
+    for seed in (1, 2):
+        df = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(400)], "pos long, a double, b double, y double")
+        grown.append(train.random_forest_regressor(train.assemble(df, ["a", "b"], "y"), numTrees=5, maxDepth=4).toDebugString.split("\n", 1)[1])
+    assert grown[0] == grown[1]
