@@ -1,13 +1,18 @@
-"""The normal distribution as column expressions."""
+"""The normal distribution as column expressions and over arrays."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship_functions_of
+
+ship_functions_of(__name__)
+
 # Wichura's AS241 (1988), numerators and denominators from the highest power down,
 # for the middle, the tails, and the far tails.
 MIDDLE = (
@@ -45,3 +50,17 @@ def normal_quantile(p: Column) -> Column:
     r = F.sqrt(-F.log(F.least(p, 1 - p)))
     outer = F.when(r <= 5, _ratio(r - 1.6, TAIL)).otherwise(_ratio(r - 5, FAR))
     return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, MIDDLE)).otherwise(F.signum(q) * outer)
+
+
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """``normal_quantile`` of many values."""
+    q = p - 0.5
+    out, mid = np.empty(len(p)), np.abs(q) <= 0.425
+    out[mid] = q[mid] * _ratios(0.180625 - q[mid] ** 2, MIDDLE)
+    r = np.sqrt(-np.log(np.minimum(p[~mid], 1 - p[~mid])))
+    out[~mid] = np.sign(q[~mid]) * np.where(r <= 5, _ratios(r - 1.6, TAIL), _ratios(r - 5, FAR))
+    return out
+
+
+def _ratios(x: np.ndarray, parts: tuple[Sequence[float], Sequence[float]]) -> np.ndarray:
+    return np.polyval(parts[0], x) / np.polyval(parts[1], x)

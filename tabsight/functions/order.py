@@ -98,6 +98,36 @@ def counts_before(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return plain.mapInArrow(count, schema)
 
 
+def totals_before(df: DataFrame, order_by: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Add the total of the whole-number column ``weight`` over all rows before a row in the given order.
+
+    One range-partitioned sort, saved with the totals inside each task; a row a task gives what earlier
+    tasks hold, so nothing is sorted or shuffled again.
+    """
+    ordered = df.orderBy(*ascending(order_by))
+    at = df.columns.index(weight)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, held = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            each = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            until = held + np.cumsum(each)
+            made = [pa.array(np.full(batch.num_rows, task), pa.int64()), pa.array(until - each)]
+            held = int(until[-1]) if len(until) else held
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    names = [*df.columns, "_task", name]
+    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.LongType()), T.StructField(name, T.LongType())])
+    saved = materialise(ordered.mapInArrow(add, schema), "sorted")
+    # One row a sort task.
+    tasks = saved.groupBy("_task").agg(F.sum(col(weight)).alias("_w"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.select("_task", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_offset"))
+    return saved.join(F.broadcast(offsets), "_task").select(*[col(c) for c in df.columns], (col(name) + F.col("_offset")).alias(name))
+
+
 def steps_taken(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> dict[str, tuple[bool, bool]]:
     """For each column whether its values ever fall, and ever rise, in the given row order;
     nulls are passed over.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import statistics
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,13 @@ from ..functions.columns import (
     sample_kurtosis,
     sample_skewness,
 )
-from ..functions.normal import normal_quantile
-from ..functions.order import dense_position
+from ..functions.normal import normal_quantiles
+from ..functions.order import totals_before
+from ..session import materialise, ship_functions_of, spread
 from .univariate import numeric_frame, quartiles
 
+ship_functions_of(__name__)
+
 NORMAL_P = 0.05
 MIN_VALUES = 8
 # Royston's AS R94 (1995), the highest power first: corrections of the last weight and of the
@@ -34,6 +39,8 @@ ROYSTON_FEW_SPREAD = [-0.0020322, 0.062767, -0.77857, 1.3822]
 ROYSTON_MEAN = [0.0038915, -0.083751, -0.31082, -1.5861]
 ROYSTON_SPREAD = [0.0030302, -0.082676, -0.4803]
 ROYSTON_LARGEST = 5000
+# Places of one value that are scored from one row, at most, and about the places scored at once.
+RUN_RANKS, BLOCK_RANKS = 4096, 1 << 18
 # Stands for the bin of infinite values while they are counted.
 ENDLESS = -1
 
@@ -188,9 +195,10 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None, ndigits: i
     """``(column, n, w, z, p_value, is_normal, fitted)``: the Shapiro-Wilk test over all finite values
     of each column, with Royston's (1995) weights and distribution of W.
 
-    One sort of (column, value) gives every value its place among its column's; its expected normal
-    score is an expression of place and size, so W follows from a few sums by column. A value that fills a third of
-    a column is spread over sort tasks by its row, which changes no sum. W is right for any
+    Equal values are counted first and each different one is sorted once: the rows before it are
+    the first of its places. Every place's expected normal score is an expression of place and size,
+    so W follows from a few sums by column; the places of a value are
+    dealt over all cores in runs. W is right for any
     size; Royston fitted its distribution to 5,000 values, so above that ``fitted`` is false and
     z and p go by his curve drawn on. Null for fewer than eight values or without variance.
     """
@@ -200,22 +208,34 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None, ndigits: i
     if not columns:
         return spark.createDataFrame([], schema)
     names = [f"v{i}" for i in range(len(columns))]
-    wide = finite_frame(df, columns).toDF(*names).withColumn("_row", F.monotonically_increasing_id())
-    long = wide.unpivot(["_row"], names, "_column", "_x").where("_x IS NOT NULL")
-    placed = dense_position(long, ["_x", "_row"], within=["_column"])
+    long = finite_frame(df, columns).toDF(*names).unpivot([], names, "_column", "_x").where("_x IS NOT NULL")
+    # Saved, as the sort reads its rows twice.
+    counted = materialise(long.groupBy("_column", "_x").agg(F.count("*").alias("_c")), "counted")
+    placed = totals_before(counted, ["_column", "_x"], "_c", "_at")
     sizes = placed.groupBy("_column").agg(
-        F.count("*").alias("n"), F.avg("_x").alias("_mean"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    )
-    score = normal_quantile((F.col("pos") + 0.625) / (F.col("n") + 0.25))
-    x = F.col("_x") - F.col("_mean")
+        F.sum("_c").alias("n"), (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mean"),
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.min("_at").alias("_start"),
+    )
     # One row a column.
-    ranked = placed.join(F.broadcast(sizes), "_column").withColumns({"_m": score, "_d": x})
-    sums = ranked.groupBy("_column", "n", "_lo", "_hi").agg(
-        F.sum(F.col("_m") * F.col("_m")).alias("mm"),
+    ranked = placed.join(F.broadcast(sizes), "_column").withColumn("_at", F.col("_at") - F.col("_start"))
+    run = F.lit(RUN_RANKS).cast("bigint")
+    cut = ranked.withColumn("_end", F.col("_at") + F.col("_c")).withColumn("_first", F.explode(F.sequence("_at", F.col("_end") - 1, run)))
+    runs = cut.select(
+        "_column", "n", "_lo", "_hi", (F.col("_x") - F.col("_mean")).alias("_d"), "_x", "_first", F.least(run, F.col("_end") - F.col("_first")).alias("_c")
+    )
+    total = counted.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    dealt = spread(runs, total)
+    scored = dealt.mapInArrow(_with_scores, T.StructType([*dealt.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("_m", "_mm")]]))
+
+    def at(place):
+        return F.max(F.when((F.col("_first") <= place) & (place < F.col("_first") + F.col("_c")), F.col("_x")))
+
+    sums = scored.groupBy("_column", "n", "_lo", "_hi").agg(
+        F.sum("_mm").alias("mm"),
         F.sum(F.col("_m") * F.col("_d")).alias("mx"),
-        F.sum(F.col("_d") * F.col("_d")).alias("ss"),
-        F.max(F.when(F.col("pos") == 1, F.col("_x"))).alias("second"),
-        F.max(F.when(F.col("pos") == F.col("n") - 2, F.col("_x"))).alias("last_but_one"),
+        F.sum(F.col("_d") * F.col("_d") * F.col("_c")).alias("ss"),
+        at(F.lit(1)).alias("second"),
+        at(F.col("n") - 2).alias("last_but_one"),
     )
     # One row a column.
     found = {r["_column"]: r for r in sums.collect()}
@@ -232,6 +252,23 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None, ndigits: i
     return spark.createDataFrame(rows, schema)
 
 
+def _with_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of places with the sum of their expected normal scores and of the squares of these."""
+    for batch in batches:
+        n, first, each = (batch.column(c).to_numpy() for c in ("n", "_first", "_c"))
+        until = np.cumsum(each)
+        held = [0, *(np.flatnonzero(np.diff(until // BLOCK_RANKS)) + 1).tolist(), len(each)]
+        sums = np.zeros((2, len(each)))
+        for lo, hi in zip(held, held[1:]):
+            if lo == hi:
+                continue
+            starts = until[lo:hi] - each[lo:hi] - (until[lo] - each[lo])
+            place = np.arange(until[hi - 1] - until[lo] + each[lo]) + np.repeat(first[lo:hi] - starts, each[lo:hi])
+            m = normal_quantiles((place + 0.625) / (np.repeat(n[lo:hi], each[lo:hi]) + 0.25))
+            sums[0, lo:hi], sums[1, lo:hi] = np.add.reduceat(m, starts), np.add.reduceat(m * m, starts)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums)], [*batch.schema.names, "_m", "_mm"])
+
+
 def _royston(sums: Row) -> tuple[float, float]:
     """W and its normal score from the sums of one column."""
     n, mm = sums["n"], sums["mm"]

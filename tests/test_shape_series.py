@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.functions.normal import normal_quantile
+from tabsight.functions import order
+from tabsight.functions.normal import normal_quantile, normal_quantiles
 from tabsight.operators import charts, features, problem, series, shape, univariate
+from tabsight.session import materialise
 
 
 def frame(spark, values):
@@ -83,6 +85,31 @@ def test_shapiro_wilk_on_any_partitioning(spark):
     assert far[2:4] == pytest.approx(near[2:4], abs=1e-4) and far[1] == near[1] == 7199
 
 
+def test_shapiro_wilk_sorts_different_values_once(spark, monkeypatch):
+    """Equal values are one sorted row, whose places are scored in runs of any length."""
+    saved = []
+
+    def spy(df, label):
+        out = materialise(df, label)
+        saved.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(order, "materialise", spy)
+    df = spark.range(9000).select((F.col("id") % 10).cast("double").alias("few"), F.floor(F.col("id") / 7).cast("double").alias("many"))
+    whole = shape.shapiro_wilk(df, ndigits=7).collect()
+    assert saved == [("sorted", 10 + 1286)]
+    monkeypatch.setattr(shape, "RUN_RANKS", 8)
+    assert shape.shapiro_wilk(df, ndigits=7).collect() == whole
+    n, x = 9000, np.sort(np.arange(9000) % 10).astype(float)
+    m = np.array([statistics.NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(n)])
+    assert whole[0]["w"] == pytest.approx((m @ (x - x.mean())) ** 2 / (m @ m) / ((x - x.mean()) ** 2).sum(), abs=2e-3)
+
+
+def test_normal_quantiles_equal_the_library():
+    p = np.array([1e-300, 1e-12, 1e-5, 0.07, 0.0750001, 0.3, 0.5, 0.9, 0.93, 1 - 1e-9])
+    assert normal_quantiles(p) == pytest.approx([statistics.NormalDist().inv_cdf(v) for v in p], rel=1e-12)
+
+
 def test_shapiro_wilk_without_an_answer(spark):
     df = spark.range(20).select(F.lit(3.0).alias("same"), F.when(F.col("id") < 7, F.col("id") * 1.0).alias("few"), F.lit(None).cast("double").alias("gone"))
     assert [(r["n"], r["w"], r["p_value"]) for r in shape.shapiro_wilk(df).collect()] == [(20, None, None), (7, None, None), (0, None, None)]
