@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import classify_columns, col, missing_as_null, rounded
-from ..functions.order import ascending, counts_before, neighbours, with_halo
-from ..session import materialise
+from ..functions.order import ascending, counts_before, with_halo
+from ..session import materialise, ship_functions_of
+
+ship_functions_of(__name__)
 
 MAX_LAG = 60
 PEAK = 0.2
@@ -104,24 +107,29 @@ def autocorrelation(
     centred = series.join(F.broadcast(stats), "column").select(
         "column", "pos", "n", (F.col("value") - F.col("mean")).alias("c")
     )
-    lags = range(1, max_lag + 1)
-    order = neighbours(["column"])
-    earlier = with_halo(centred, max_lag, block_rows=block_rows).select(
-        "column", "c", "_halo", *[F.lag("c", k).over(order).alias(f"e{k}") for k in lags]
-    )
+    blocks = with_halo(centred, max_lag, block_rows=block_rows).select("column", "_block", "pos", "c", "_halo")
+    names = ["column", "s", "ss", *[f"p{k}" for k in range(1, max_lag + 1)]]
+
+    def products(block: pa.Table) -> pa.Table:
+        """The sums of a block's own values, their squares and their products with those of each lag before."""
+        block = block.sort_by("pos")
+        c, own = block["c"].to_numpy(), int(block["_halo"].to_numpy().sum())
+        pairs = ((c[max(own, k) :], c[max(own, k) - k : len(c) - k]) for k in range(1, max_lag + 1))
+        sums = [c[own:].sum(), c[own:] @ c[own:], *[float(x @ y) if len(x) else 0.0 for x, y in pairs]]
+        return pa.table([[block["column"][0].as_py()], *[[v] for v in sums]], names)
+
+    kinds = "column string, " + ", ".join(f"{n} double" for n in names[1:])
+    # One row a block.
     sums = (
-        earlier.where(~F.col("_halo"))
+        blocks.groupBy("column", "_block")
+        .applyInArrow(products, kinds)
         .groupBy("column")
-        .agg(
-            F.sum("c").alias("s"),
-            F.sum(F.col("c") * F.col("c")).alias("ss"),
-            *[F.sum(F.col("c") * F.col(f"e{k}")).alias(f"p{k}") for k in lags],
-        )
+        .agg(*[F.sum(n).alias(n) for n in names[1:]])
         .select(
             "column",
             "s",
             "ss",
-            F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p{k}").alias("sxy")) for k in lags])),
+            F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p{k}").alias("sxy")) for k in range(1, max_lag + 1)])),
         )
     )
     edges = centred.where((F.col("pos") < max_lag) | (F.col("pos") >= F.col("n") - max_lag)).select(

@@ -246,3 +246,13 @@ def test_positions_count_values_only(spark):
         want = pdf[name].dropna().tolist()
         assert [r["value"] for r in sorted((r for r in placed if r["column"] == name), key=lambda r: r["pos"])] == want
         assert sorted(r["pos"] for r in placed if r["column"] == name) == list(range(len(want)))
+
+
+def test_autocorrelation_sends_a_row_a_block(spark):
+    """No window with a function a lag: a block gives its products in one row, also one that only borrows."""
+    placed = series.positioned_series(timed(spark, [math.sin(i / 3) for i in range(400)]), ["t", "id"], ["v"])
+    found = series.autocorrelation(placed, 20, block_rows=100)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    s = pd.Series([math.sin(i / 3) for i in range(400)])
+    for r in found.collect():
+        assert r["r"] == pytest.approx(s.autocorr(r["lag"]), abs=1e-9)
