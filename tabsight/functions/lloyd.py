@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,10 @@ from .columns import col
 
 ship_functions_of(__name__)
 
-# Rows whose distances to all centres are held at once; few enough for the caches.
-BLOCK_ROWS = 1024
+# Rows whose distances to all centres are held at once; few enough for the caches, and less of wide rows.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 18
+# Tasks whose sums the driver adds up itself; those of more are added up by tasks first.
+SENT_AT_ONCE = 64
 # Fixed values of the row hash (splitmix64).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 # Rounds in which rows far from the centres chosen so far become candidates.
@@ -35,12 +38,11 @@ class Fit:
     rounds: int
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(at, BLOCK_ROWS)
-            columns = [c.to_numpy(zero_copy_only=False) for c in part.columns[: len(shift)]]
-            yield part, np.column_stack(columns).astype(float) - shift
+def _blocks(batch: pa.RecordBatch, shift: np.ndarray, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        columns = [c.to_numpy(zero_copy_only=False) for c in part.columns[: len(shift)]]
+        yield part, np.column_stack(columns).astype(float) - shift
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -60,7 +62,9 @@ def _draws(rows: np.ndarray, salt: int) -> np.ndarray:
 class Rows:
     """A saved table of double columns ``features`` and a row number ``row``, read by every pass.
 
-    Values are taken less the column's mean, so that distances lose no digits.
+    Values are taken less the column's mean, so that distances lose no digits. The passes read
+    blocks of them (``blocks``: row numbers, and rows x columns), made once from the saved table and
+    kept until ``release``; a lost block is made again. A pass is one short job on these blocks.
     """
 
     def __init__(self, saved: DataFrame, features: Sequence[str], row: str):
@@ -77,17 +81,34 @@ class Rows:
             raise ValueError("k-means needs finite values in every row")
         self.shift = np.array(means)
         self.passes = 0
+        shift, width = self.shift, len(features)
+        size = min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * max(1, width))))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, xs = [], []
+                for part, x in _blocks(batch, shift, size):
+                    rows.append(part.column(width).to_numpy().tobytes())
+                    xs.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(xs, pa.binary())], ["row", "x"])
+
+        packed = self.table.mapInArrow(pack, "row binary, x binary").rdd
+        arrays = packed.map(lambda r: (np.frombuffer(r[0], np.int64), np.frombuffer(r[1]).reshape(-1, width)))
+        self.blocks = arrays.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.blocks.unpersist()
 
     def sums(self, groups: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
         """For each group of centres the rows nearest to each centre, their sums, and the whole cost.
 
-        A task adds its rows up for every group and sends a row for each centre and
-        column, however many rows it reads.
+        A task adds its rows up for every group and sends a row for each centre, however
+        many rows it reads; many tasks add theirs up among each other first.
         """
         self.passes += 1
-        shift, all_centres = self.shift, np.concatenate(groups)
+        all_centres = np.concatenate(groups)
         ends = np.cumsum([len(g) for g in groups])
-        starts, width = ends - [len(g) for g in groups], len(shift) + 2
+        starts, width = ends - [len(g) for g in groups], len(self.shift)
         same_size: list[tuple[int, int, int]] = []
         for lo, hi in zip(starts.tolist(), ends.tolist()):
             k = hi - lo
@@ -95,50 +116,53 @@ class Rows:
                 lo = same_size.pop()[0]
             same_size.append((lo, hi, k))
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # Sums, then the count, then the cost of each centre.
-            held = np.zeros((len(all_centres), width))
-            for _, x in _blocks(batches, shift):
-                d, mine = _distances(x, all_centres), np.zeros((len(x), len(all_centres)))
+        def add(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+            # Sums, then the count of each centre; then the cost of each group.
+            held, costs = np.zeros((len(all_centres), width + 1)), np.zeros(len(ends))
+            twice, own = -2 * all_centres, (all_centres * all_centres).sum(axis=1)[:, None]
+            for _, x in blocks:
+                # Squared distances less the row's own square, centres x rows.
+                d, far = twice @ x.T, (x * x).sum(axis=1)
+                d += own
+                mine, of = np.empty(d.shape), 0
                 for lo, hi, k in same_size:
                     # Groups of one size lie side by side: the nearest centres of all at once.
-                    shape = (len(x), (hi - lo) // k, k)
-                    np.put_along_axis(mine[:, lo:hi].reshape(shape), d[:, lo:hi].reshape(shape).argmin(axis=2)[:, :, None], 1.0, axis=2)
-                held[:, :-2] += mine.T @ x
-                held[:, -2] += mine.sum(axis=0)
-                held[:, -1] += np.einsum("ij,ij->j", mine, d)
-            cell = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(held.ravel()[cell])], ["cell", "value"])
-
-        parts = self.table.mapInArrow(add, "cell bigint, value double").groupBy("cell").agg(F.sum("value"))
-        total = np.zeros(len(all_centres) * width)
-        # Centres x columns.
-        for cell, value in parts.collect():
-            total[cell] = value
-        total = total.reshape(-1, width)
-        return [(total[a:b, -2], total[a:b, :-2], float(total[a:b, -1].sum())) for a, b in zip(starts, ends)]
+                    part = d[lo:hi].reshape(-1, k, len(x))
+                    least = part.min(axis=1)
+                    near = part == least[:, None, :]
+                    if np.count_nonzero(near) > least.size:
+                        # Of equally near centres the first.
+                        near &= np.cumsum(near, axis=1) == 1
+                    mine[lo:hi] = near.reshape(hi - lo, len(x))
+                    costs[of : of + len(least)] += np.maximum(least + far, 0.0).sum(axis=1)
+                    of += len(least)
+                held[:, :-1] += mine @ x
+                held[:, -1] += mine.sum(axis=1)
+            yield np.concatenate([held.ravel(), costs])
+
+        depth = 1 if self.blocks.getNumPartitions() <= SENT_AT_ONCE else 2
+        total = self.blocks.mapPartitions(add).treeReduce(np.add, depth)
+        costs, total = total[-len(ends) :], total[: -len(ends)].reshape(-1, width + 1)
+        return [(total[a:b, -1], total[a:b, :-1], float(c)) for a, b, c in zip(starts, ends, costs)]
 
     def candidates(self, chosen: Sequence[np.ndarray], costs: Sequence[float], wanted: int, salt: int) -> list[np.ndarray]:
         """For each set of centres about ``wanted`` further rows, drawn by their squared distance."""
         self.passes += 1
-        shift, all_centres = self.shift, np.concatenate(chosen)
+        width, all_centres = len(self.shift), np.concatenate(chosen)
         ends = np.cumsum([len(g) for g in chosen])
 
-        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, x in _blocks(batches, shift):
-                rows = part.column(len(shift)).to_numpy()
+        def draw(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, list[float]]]:
+            for rows, x in blocks:
                 d, lo = _distances(x, all_centres), 0
                 for s, hi in enumerate(ends):
                     share = wanted * d[:, lo:hi].min(axis=1) / costs[s] if costs[s] > 0 else np.zeros(len(x))
                     hit = np.flatnonzero(_draws(rows, salt * len(ends) + s) < share)
                     lo = hi
-                    if len(hit):
-                        made = [pa.array(np.full(len(hit), s, np.int32)), pa.array(rows[hit]), pa.array(list(x[hit]), pa.list_(pa.float64()))]
-                        yield pa.RecordBatch.from_arrays(made, ["s", "row", "x"])
+                    yield from zip([s] * len(hit), rows[hit].tolist(), x[hit].tolist())
 
-        found = self.table.mapInArrow(draw, "s int, row bigint, x array<double>").collect()
-        more = [sorted((r["row"], r["x"]) for r in found if r["s"] == s) for s in range(len(chosen))]
-        return [np.concatenate([c, np.array([x for _, x in m]).reshape(-1, len(shift))]) for c, m in zip(chosen, more)]
+        found = self.blocks.mapPartitions(draw).collect()
+        more = [sorted((row, x) for of, row, x in found if of == s) for s in range(len(chosen))]
+        return [np.concatenate([c, np.array([x for _, x in m]).reshape(-1, width)]) for c, m in zip(chosen, more)]
 
     def seeds(self, starts: int, wanted: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each start some candidates and how many rows each stands for."""

@@ -323,7 +323,11 @@ def kmeans_sweep(
     )
     # Numbered before the rows are dealt out: a number names the row, whichever task reads it.
     saved = materialise(spread(numbers, df.count(), "_row"), "clustered")
-    fitted = fit_all(Rows(saved, safe, "_row"), ks, starts, seed, max_iter)
+    rows = Rows(saved, safe, "_row")
+    try:
+        fitted = fit_all(rows, ks, starts, seed, max_iter)
+    finally:
+        rows.release()
     least = {k: min((fitted[k, s] for s in range(starts)), key=lambda m: m.cost) for k in ks}
     placed = materialise(assign(saved, safe, {f"_k{k}": m.centres for k, m in least.items()}), "assigned")
     results, best = [], None
