@@ -19,8 +19,8 @@ ship_functions_of(__name__)
 
 # Rows whose distances to all centres are held at once; few enough for the caches, and less of wide rows.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 18
-# Tasks whose sums the driver adds up itself; those of more are added up by tasks first.
-SENT_AT_ONCE = 64
+# Bytes of sums that the tasks of a pass send to the driver; of more, tasks add them up first.
+SENT_AT_ONCE = 1 << 24
 # Fixed values of the row hash (splitmix64).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 # Rounds in which rows far from the centres chosen so far become candidates.
@@ -103,7 +103,7 @@ class Rows:
         """For each group of centres the rows nearest to each centre, their sums, and the whole cost.
 
         A task adds its rows up for every group and sends a row for each centre, however
-        many rows it reads; many tasks add theirs up among each other first.
+        many rows it reads; if that is much in all, tasks add theirs up among each other first.
         """
         self.passes += 1
         all_centres = np.concatenate(groups)
@@ -140,7 +140,8 @@ class Rows:
                 held[:, -1] += mine.sum(axis=1)
             yield np.concatenate([held.ravel(), costs])
 
-        depth = 1 if self.blocks.getNumPartitions() <= SENT_AT_ONCE else 2
+        sent = 8 * (len(all_centres) * (width + 1) + len(ends)) * self.blocks.getNumPartitions()
+        depth = 1 if sent <= SENT_AT_ONCE else 2
         total = self.blocks.mapPartitions(add).treeReduce(np.add, depth)
         costs, total = total[-len(ends) :], total[: -len(ends)].reshape(-1, width + 1)
         return [(total[a:b, -1], total[a:b, :-1], float(c)) for a, b, c in zip(starts, ends, costs)]
