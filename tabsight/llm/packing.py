@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import texts
-from .tokens import encoded
+from .tokens import SLICE_BYTES, encoded
 
 # Pieces that one task packs among themselves.
 BUCKET_PIECES = 65_536
@@ -72,11 +72,11 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return window, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, slice_bytes: int = SLICE_BYTES, memo_words: int | None = None) -> DataFrame:
     """Each document's ids with the end id, cut into full windows and a rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, begins in encoded(batches, tokenizer):
+        for rows, ids, begins in encoded(batches, tokenizer, slice_bytes, memo_words):
             out: list[tuple] = []
             data = memoryview(np.insert(ids, begins[1:], end_id).astype("<u4").tobytes())
             sizes = np.diff(begins) + 1
@@ -94,7 +94,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     return texts(docs).mapInArrow(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int = 2048,
+    bucket_pieces: int = BUCKET_PIECES,
+    slice_bytes: int = SLICE_BYTES,
+    memo_words: int | None = None,
+) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Documents are encoded and overlong ones cut into full windows and a rest; the
@@ -102,12 +110,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     into buckets of about ``bucket_pieces``; within a bucket pieces go by descending length
     into the open window with the least sufficient room. A sequence id is the bucket in
     the upper 32 bits and the window in the lower. Only windows of the same bucket compete,
-    which costs a few half-empty windows a bucket.
+    which costs a few half-empty windows a bucket. ``slice_bytes`` and ``memo_words`` bound
+    what a worker's encoder holds, not what it returns.
 
     A null or empty text is its end id alone; repeated rows and ids are documents of
     their own; no documents give no rows.
     """
-    pieces = token_pieces(docs, tokenizer, end_id, capacity)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, slice_bytes, memo_words)
     saved = materialise(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     buckets = max(1, -(-saved.count() // bucket_pieces))
 

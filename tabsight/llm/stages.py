@@ -20,6 +20,9 @@ from .components import connected_components
 from .tokens import tokenizer_path
 
 KEY = "tabsight row"
+# Bytes of text encoded at once by the last stage and pieces in each half of its memo: less
+# than op8 takes for itself, as reused workers keep it beside an executor that has run all stages.
+PACK_BYTES, PACK_MEMO = 1 << 20, 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,4 +94,4 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     bound_batches(spark)
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, slice_bytes=PACK_BYTES, memo_words=PACK_MEMO)

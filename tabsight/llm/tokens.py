@@ -80,14 +80,16 @@ class Encoder:
     character, nor from a letter to punctuation, so texts are cut there and each distinct
     piece is encoded by the library once. Where the character before white space is some
     other white space, nothing is cut, as the run could join it. Plain words go straight to the
-    library's model. The pieces that a worker remembers are bounded: when the newer half of
-    its memo is full, it becomes the older one, whose pieces are taken over when they are met.
+    library's model. The pieces that a worker remembers are bounded (by ``memo_words``, else
+    MEMO_WORDS): when the newer half of its memo is full, it becomes the older one, whose
+    pieces are taken over when they are met.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.memo_words = memo_words
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.end = self.plain.token_to_id(END)
@@ -127,7 +129,7 @@ class Encoder:
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return at
-        if self.new.places and len(self.new.places) + len(missing) > MEMO_WORDS:
+        if self.new.places and len(self.new.places) + len(missing) > (self.memo_words or MEMO_WORDS):
             self.old, self.new = self.new, Half()
             return self._places(words)
         lacking = [words[i] for i in missing.tolist()]
@@ -177,17 +179,19 @@ def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file."""
+def encoder(path: str, memo_words: int | None = None) -> Encoder:
+    """The worker's encoder of this file and memo."""
     known = process_cache("encoders")
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    if (path, memo_words) not in known:
+        known[path, memo_words] = Encoder(path, memo_words)
+    return known[path, memo_words]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = SLICE_BYTES, memo_words: int | None = None
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches with a ``text`` column, with ids and where each text's begin."""
-    enc = encoder(path)
+    enc = encoder(path, memo_words)
     for batch in batches:
         for part in slices(batch, "text", slice_bytes):
             yield part, *enc.encode(part.column(part.schema.get_field_index("text")))

@@ -4,6 +4,8 @@ import re
 import zlib
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from tabsight.llm import simhash, stages, tokens
 
 from .test_alike import plain, similarity
@@ -117,3 +119,19 @@ def test_near_duplicates_by_fingerprint_or_by_shingles(spark):
     rows = [(1, found[0]), (2, found[1]), (3, " ".join(words)), (4, " ".join(near)), (5, text(120))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in stages.drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 5]
+
+
+def test_what_the_packing_stage_leaves_in_a_worker_is_small(spark, monkeypatch):
+    # Twelve slices of words that occur once: op8's own memo would hold them all.
+    asked = {}
+    monkeypatch.setattr(stages.packing, "pack_documents", lambda docs, path, **limits: asked.update(limits, path=path))
+    stages.pack(spark, None, "")
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}x{j}" for j in range(25_000)) for k in range(12)]})
+    limits = asked["path"], asked["slice_bytes"], asked["memo_words"]
+    parts = list(tokens.encoded(iter([batch]), *limits))
+    enc = tokens.encoder(asked["path"], asked["memo_words"])
+    assert len(enc.new.places) <= 100_000 and len(enc.old.places) <= 100_000
+    whole = list(tokens.encoded(iter([batch]), asked["path"]))
+    assert len(tokens.encoder(asked["path"]).new.places) >= 300_000
+    assert len(parts) > len(whole)
+    assert np.concatenate([ids for _, ids, _ in parts]).tolist() == np.concatenate([ids for _, ids, _ in whole]).tolist()
