@@ -7,6 +7,8 @@ number by label: fitting on these cells splits and predicts as fitting on all ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,14 +29,30 @@ def cut_points(train: DataFrame, bins: int = MAX_BINS) -> list[np.ndarray]:
     if first is None:
         raise ValueError("no training rows")
     columns = [f"f{i}" for i in range(len(first["x"]))]
-    values = wide.select(*[F.col("x")[i].alias(c) for i, c in enumerate(columns)])
+    few = _few_values(wide, len(columns), bins)
+    many = [c for i, c in enumerate(columns) if i not in few]
+    values = wide.select(*[F.col("x")[i].alias(c) for i, c in enumerate(columns) if i not in few])
     ranks = [i / bins for i in range(1, bins)]
-    cuts = [np.unique(found) for found in values.approxQuantile(columns, ranks, CUT_ERROR)]
-    for i, c in enumerate(columns):
-        few = sorted(r[0] for r in values.select(c).distinct().limit(bins + 1).collect())
-        if len(few) <= bins:
-            cuts[i] = np.array(few[:-1])
-    return cuts
+    found = dict(zip(many, values.approxQuantile(many, ranks, CUT_ERROR))) if many else {}
+    return [few[i][:-1] if i in few else np.unique(found[c]) for i, c in enumerate(columns)]
+
+
+def _few_values(wide: DataFrame, width: int, most: int) -> dict[int, np.ndarray]:
+    """The values, in order, of each number of the arrays ``x`` that has at most so many; from one scan."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0)] * width
+        for batch in batches:
+            x = _matrix(batch.column(0)) if batch.num_rows else np.zeros((0, width))
+            for i in range(width):
+                if len(held[i]) <= most:
+                    held[i] = np.union1d(held[i], x[:, i])[: most + 1]
+        at = np.repeat(np.arange(width, dtype=np.int32), [len(h) for h in held])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(held))], ["at", "value"])
+
+    # A task sends at most one value more of a number than are few.
+    told = wide.mapInArrow(seen, "at int, value double").groupBy("at").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return {r["at"]: np.array(r["values"]) for r in told.where(F.size("values") <= most).collect()}
 
 
 def with_bins(rows: DataFrame, cuts: list[np.ndarray], name: str) -> DataFrame:
@@ -62,6 +80,21 @@ def cells(train: DataFrame, cuts: list[np.ndarray], by_label: bool) -> DataFrame
     return found.select(as_vector("x").alias("features"), "label", "weight")
 
 
+def packed_cells(train: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``(x, label, weight)``: the bins of the rows as bytes, each combination once, with the mean
+    label and the number of rows."""
+
+    @F.arrow_udf("binary")
+    def packed(features: pa.Array) -> pa.Array:
+        if not len(features):
+            return pa.array([], pa.binary())
+        x = _binned(_matrix(features), cuts).astype(np.uint8)
+        return pa.array([row.tobytes() for row in x], pa.binary())
+
+    binned = train.select(packed(vector_to_array("features")).alias("x"), F.col("label").cast("double").alias("label"))
+    return binned.groupBy("x").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+
+
 class OnBins:
     """A tree model of bins that takes the rows as they are; its trees split at bin numbers."""
 

@@ -17,8 +17,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import boosting
-from ..functions.cells import OnBins, cells, cut_points
+from ..functions import boosting, forest
+from ..functions.cells import OnBins, cells, cut_points, packed_cells
 from ..functions.columns import col, union_all
 from ..functions.lloyd import Fit, Rows, assign, fit_all
 from ..functions.order import dense_position
@@ -174,8 +174,11 @@ def _dealt(train: DataFrame) -> DataFrame:
 
 
 def random_forest_regressor(train: DataFrame, **settings):
+    """A forest by squared error on bins (see ``functions.forest``); Spark's own for settings that only it has."""
     options = dict(FOREST, featureSubsetStrategy="all", seed=SEED) | settings
-    return RandomForestRegressor(**options).fit(_dealt(train))
+    if set(settings) - {"numTrees", "maxDepth", "seed"}:
+        return RandomForestRegressor(**options).fit(_dealt(train))
+    return forest.forest(_dealt(train), cut_points(train), options["numTrees"], options["maxDepth"], options["seed"])
 
 
 def _boosted(trees, train: DataFrame, by_label: bool) -> OnBins:
@@ -190,8 +193,14 @@ def _boosted(trees, train: DataFrame, by_label: bool) -> OnBins:
 
 
 def boosted_regressor(train: DataFrame, **settings):
-    """Boosted trees by squared error, fitted on weighted cells (see ``functions.cells``)."""
-    return _boosted(GBTRegressor(**(dict(BOOSTING, seed=SEED, weightCol="weight") | settings)), train, False)
+    """Boosted trees by squared error, fitted on weighted cells (see ``functions.cells``); by Spark's own
+    for settings that only it has."""
+    if set(settings) - {"maxIter", "maxDepth", "stepSize", "seed"}:
+        return _boosted(GBTRegressor(**(dict(BOOSTING, seed=SEED, weightCol="weight") | settings)), train, False)
+    chosen, cuts = BOOSTING | settings, cut_points(train)
+    found = materialise(packed_cells(train, cuts), "cells")
+    rows = spread(found, found.count(), least=CELLS_LEAST)
+    return forest.boosted(forest.packed_bins(rows, len(cuts)), cuts, chosen["maxIter"], chosen["maxDepth"], chosen["stepSize"])
 
 
 def logistic_regression(train: DataFrame):
