@@ -38,7 +38,7 @@ ROUNDING = 1e-12
 # A split as ``_best`` returns it: sums of the left side and of the whole node.
 GAIN, FEATURE, BIN, LEFT_W, LEFT_S, WHOLE_W, WHOLE_S = range(7)
 
-# Labels and weights of a block and its bins (features x rows); boosting adds the predictions so far.
+# Bins of a block (features x rows), its labels and weights; for boosting, labels less the predictions so far.
 Block = tuple[np.ndarray, ...]
 
 
@@ -74,6 +74,10 @@ class Tree:
         self.depth += bool(len(at))
         return grow
 
+    def lighter(self) -> np.ndarray:
+        """The side of the lighter child of each pair of open nodes."""
+        return self.weight[self.open].reshape(-1, 2).argmin(axis=1)
+
     def places(self, x: np.ndarray, rows: np.ndarray, steps: int | None = None) -> np.ndarray:
         """The node after so many steps (all) of these rows of bins (features x rows)."""
         at, bins, column = np.zeros(len(rows), np.intp), x.ravel(), self.feature * x.shape[1]
@@ -180,8 +184,8 @@ class _Sums:
             out.append(code)
         return out
 
-    def add(self, codes: list[np.ndarray], rows: np.ndarray | None, node: np.ndarray, weight: np.ndarray, label: np.ndarray) -> None:
-        """``rows``: of the block, all if not given; ``label`` is weighted."""
+    def add(self, codes: list[np.ndarray], rows: np.ndarray | None, node: np.ndarray, weight: np.ndarray | None, label: np.ndarray) -> None:
+        """``rows``: of the block, all if not given; ``weight``: 1 if not given; ``label`` is weighted."""
         for code, table, shape in zip(codes, self.tables, self.shapes):
             cell = node * int(np.prod(shape))
             cell += code if rows is None else code.take(rows)
@@ -200,6 +204,14 @@ class _Sums:
         return out
 
 
+def _both(parents: np.ndarray, found: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Sums of the children, of those of their parents and of the child on this side of each."""
+    pairs, at = np.empty((2, len(side), 2, found.shape[2])), np.arange(len(side))
+    pairs[:, at, side] = found
+    pairs[:, at, 1 - side] = parents - found
+    return pairs.reshape(2, -1, found.shape[2])
+
+
 def _best(sums: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
     """The split of each node by which squared differences fall most; of equal ones the first feature and bin."""
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -287,9 +299,9 @@ def _bits(rows: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _bagged(trees: list[Tree], level: int, sizes: Sequence[int], seed: int, shift: float) -> Callable:
-    """What a task does for a level: the sums of all trees' open nodes, a tree after the other."""
-    most = min(NODES, max(len(t.open) for t in trees))
+def _bagged(trees: list[Tree], counted: list[np.ndarray], level: int, sizes: Sequence[int], seed: int, shift: float) -> Callable:
+    """What a task does for a level: the sums of all trees' counted nodes, a tree after the other."""
+    most = min(NODES, max(len(c) for c in counted))
 
     def add(task: int, blocks: Iterator[Block]) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
         sums, times, held, row = _Sums(sizes, most), _poisson(), [], task << 40
@@ -299,8 +311,8 @@ def _bagged(trees: list[Tree], level: int, sizes: Sequence[int], seed: int, shif
         for t, tree in enumerate(trees):
             if not t % 4:
                 bits = [_bits(rows, seed * 1_000_003 + t // 4) for _, _, rows, _ in held]
-            for low in range(0, len(tree.open), NODES):
-                some = tree.open[low : low + NODES]
+            for low in range(0, len(counted[t]), NODES):
+                some = counted[t][low : low + NODES]
                 slot = np.full(len(tree.feature), -1, np.intp)
                 slot[some] = np.arange(len(some))
                 for (x, label, _, codes), b in zip(held, bits):
@@ -335,28 +347,51 @@ def forest(train: DataFrame, cuts: list[np.ndarray], trees: int, depth: int, see
     grown = [Tree() for _ in range(trees)]
     parts = max(1, min(trees, 2 * train.sparkSession.sparkContext.defaultParallelism))
 
-    def search(found: Iterator[tuple]) -> Iterator[tuple]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+    def added(found: Iterator[tuple]) -> Iterator[tuple]:
+        held, parents = {}, {}
         for key, (weights, labels) in found:
-            if key in held:
+            if key[1] < 0:
+                parents[key[0]] = np.stack([weights, labels])
+            elif key in held:
                 held[key][0] += weights
                 held[key][1] += labels
             else:
-                held[key] = np.stack([weights, labels])
-        for key, sums in held.items():
+                held[key] = np.stack([weights, labels]).astype(float)
+        for (t, low), sums in held.items():
+            yield (t, low), _both(parents.pop(t), sums, sides[t]) if parents else sums
+
+    def searched(found: Iterator[tuple]) -> Iterator[tuple]:
+        for key, sums in found:
             yield key, _best(sums, sizes)
 
+    whole = None
     try:
         for level in range(depth):
             if not any(len(t.open) for t in grown):
                 break
-            found = blocks.mapPartitionsWithIndex(_bagged(grown, level, sizes, seed, shift))
-            best = dict(found.partitionBy(parts, lambda k: k[0] + k[1] // NODES).mapPartitions(search).collect())
+            counted, sides, split = [t.open for t in grown], {}, whole
+            if split is not None:
+                # The lighter child of each split node is counted, the other is what it leaves of its parent.
+                sides = {t: tree.lighter() for t, tree in enumerate(grown) if len(tree.open)}
+                counted = [tree.open.reshape(-1, 2)[np.arange(len(sides[t])), sides[t]] if t in sides else tree.open for t, tree in enumerate(grown)]
+            found = blocks.mapPartitionsWithIndex(_bagged(grown, counted, level, sizes, seed, shift))
+            if split is not None:
+                kept = {t: grew[t] for t in sides}
+                found = found.union(split.flatMap(lambda r, kept=kept: [((r[0][0], -1), tuple(r[1][:, kept[r[0][0]]]))] if r[0][0] in kept else []))
+            of = found.partitionBy(parts, lambda k: k[0] + max(k[1], 0) // NODES).mapPartitions(added)
+            # Sums of several parts a tree are not kept; nor are the last.
+            whole = of.persist(StorageLevel.MEMORY_AND_DISK) if level + 1 < depth and all(2 * len(t.open) <= NODES for t in grown) else None
+            best = dict((of if whole is None else whole).mapPartitions(searched).collect())
+            if split is not None:
+                split.unpersist()
+            grew = {}
             for t, tree in enumerate(grown):
                 if len(tree.open):
-                    tree.split(np.concatenate([best[t, low] for low in range(0, len(tree.open), NODES)]))
+                    grew[t] = tree.split(np.concatenate([best[t, low] for low in range(0, len(tree.open), NODES)]))
     finally:
         blocks.unpersist()
+        if whole is not None:
+            whole.unpersist()
     for tree in grown:
         tree.value += shift
     return BinnedTrees(Trees(grown, [1.0] * trees, len(sizes), True), cuts)
@@ -366,7 +401,7 @@ def forest(train: DataFrame, cuts: list[np.ndarray], trees: int, depth: int, see
 
 
 class _Here:
-    """Blocks ``(bins, label, weight, prediction)`` in this process."""
+    """Blocks ``(bins, difference, weight)`` in this process; no weight if each is 1."""
 
     def __init__(self, blocks: list[Block]):
         self.blocks = blocks
@@ -405,10 +440,10 @@ class _There:
                 blocks.unpersist()
 
 
-def _raised(prediction: np.ndarray, x: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> np.ndarray:
-    rows, out = np.arange(x.shape[1]), prediction.copy() if len(trees) else prediction
+def _lessened(difference: np.ndarray, x: np.ndarray, trees: Sequence[Tree], weights: Sequence[float]) -> np.ndarray:
+    rows, out = np.arange(x.shape[1]), difference.copy()
     for tree, weight in zip(trees, weights):
-        out += (weight * tree.value).take(tree.places(x, rows))
+        out -= (weight * tree.value).take(tree.places(x, rows))
     return out
 
 
@@ -420,17 +455,19 @@ def _wanted(tree: Tree, counted: np.ndarray, late: list[Tree], weights: list[flo
         sums = _Sums(sizes, len(counted))
         slot = np.full(len(tree.feature), -1, np.intp)
         slot[counted] = np.arange(len(counted))
-        for x, label, weight, prediction in blocks:
+        for x, difference, weight in blocks:
             # Squared errors fall along twice the differences; the first tree is of the labels.
-            wanted = label if first else 2 * (label - _raised(prediction, x, late, weights))
-            rows, codes = np.arange(len(label)), sums.codes(x)
-            if not level:
-                sums.add(codes, None, np.zeros(len(label), np.intp), weight, wanted * weight)
-                continue
-            node = slot.take(tree.places(x, rows, level))
-            rows = np.flatnonzero(node >= 0)
-            some = weight.take(rows)
-            sums.add(codes, rows, node.take(rows), some, wanted.take(rows) * some)
+            wanted = difference if first else 2 * _lessened(difference, x, late, weights)
+            rows, codes = None, sums.codes(x)
+            node = np.zeros(len(wanted), np.intp)
+            if level:
+                node = slot.take(tree.places(x, np.arange(len(wanted)), level))
+                rows = np.flatnonzero(node >= 0)
+                node, wanted = node.take(rows), wanted.take(rows)
+            if weight is not None:
+                weight = (weight if rows is None else weight.take(rows)).astype(float)
+                wanted = wanted * weight
+            sums.add(codes, rows, node, weight, wanted)
         yield sums.taken()
 
     add.sends = 16 * len(counted) * sum(sizes)
@@ -441,20 +478,15 @@ def _boost(rows: _Here | _There, sizes: Sequence[int], rounds: int, depth: int,
     trees, weights, late = [], [], 0
     for m in range(rounds):
         tree, sums = Tree(), None
-        for level in range(depth):
-            if level:
+        for _ in range(depth):
+            counted = tree.open
+            if sums is not None:
                 # The lighter child of each split node is counted, the other is what it leaves of its parent.
-                pairs = tree.weight[tree.open].reshape(-1, 2)
-                light = pairs.argmin(axis=1)
-                counted = tree.open.reshape(-1, 2)[np.arange(len(pairs)), light]
-            else:
-                counted = tree.open
+                side = tree.lighter()
+                counted = tree.open.reshape(-1, 2)[np.arange(len(side)), side]
             found = rows.total(_wanted(tree, counted, trees[late:], weights[late:], not m, sizes))
-            if level:
-                both = np.empty((2, len(pairs), 2, found.shape[2]))
-                both[:, np.arange(len(pairs)), light] = found
-                both[:, np.arange(len(pairs)), 1 - light] = sums - found
-                found = both.reshape(2, -1, found.shape[2])
+            if sums is not None:
+                found = _both(sums, found, side)
             grew = tree.split(_best(found, sizes))
             sums = found[:, grew]
             if not grew.any():
@@ -463,7 +495,7 @@ def _boost(rows: _Here | _There, sizes: Sequence[int], rounds: int, depth: int,
         weights.append(step if m else 1.0)
         if len(trees) - late == SAVE_ROUNDS:
             new, of = trees[late:], weights[late:]
-            rows.move(lambda b, new=new, of=of: (*b[:3], _raised(b[3], b[0], new, of)))
+            rows.move(lambda b, new=new, of=of: (b[0], _lessened(b[1], b[0], new, of), b[2]))
             late = len(trees)
     return trees, weights
 
@@ -472,7 +504,8 @@ def boosted(packed: RDD, cuts: list[np.ndarray], rounds: int, depth: int, step:
     """The first tree follows the labels, each later one twice the differences to the predictions so far,
     and adds ``step`` of its values. Rows of a single task are worked on there, in one job."""
     sizes = [len(c) + 1 for c in cuts]
-    blocks = packed.map(lambda b: (*b, np.zeros(len(b[1]))))
+    # Every pass reads the blocks, so weights take as few bytes as they can.
+    blocks = packed.map(lambda b: (b[0], b[1], None if (b[2] == 1).all() else b[2].astype(np.min_scalar_type(int(b[2].max())))))
     if packed.getNumPartitions() == 1:
         (trees, weights), = blocks.mapPartitions(lambda b: [_boost(_Here(list(b)), sizes, rounds, depth, step)]).collect()
     else:

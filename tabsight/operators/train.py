@@ -6,6 +6,7 @@ import logging
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -173,12 +174,24 @@ def _dealt(train: DataFrame) -> DataFrame:
     return train if train.is_cached else _by_label(train, train.count())
 
 
+_cuts: WeakKeyDictionary[DataFrame, list] = WeakKeyDictionary()
+
+
+def _cut_points(train: DataFrame) -> list:
+    """Those of a cached table are found once for all candidates."""
+    if not train.is_cached:
+        return cut_points(train)
+    if train not in _cuts:
+        _cuts[train] = cut_points(train)
+    return _cuts[train]
+
+
 def random_forest_regressor(train: DataFrame, **settings):
     """A forest by squared error on bins (see ``functions.forest``); Spark's own for settings that only it has."""
     options = dict(FOREST, featureSubsetStrategy="all", seed=SEED) | settings
     if set(settings) - {"numTrees", "maxDepth", "seed"}:
         return RandomForestRegressor(**options).fit(_dealt(train))
-    return forest.forest(_dealt(train), cut_points(train), options["numTrees"], options["maxDepth"], options["seed"])
+    return forest.forest(_dealt(train), _cut_points(train), options["numTrees"], options["maxDepth"], options["seed"])
 
 
 def _boosted(trees, train: DataFrame, by_label: bool) -> OnBins:
@@ -197,7 +210,7 @@ def boosted_regressor(train: DataFrame, **settings):
     for settings that only it has."""
     if set(settings) - {"maxIter", "maxDepth", "stepSize", "seed"}:
         return _boosted(GBTRegressor(**(dict(BOOSTING, seed=SEED, weightCol="weight") | settings)), train, False)
-    chosen, cuts = BOOSTING | settings, cut_points(train)
+    chosen, cuts = BOOSTING | settings, _cut_points(train)
     found = materialise(packed_cells(train, cuts), "cells")
     rows = spread(found, found.count(), least=CELLS_LEAST)
     return forest.boosted(forest.packed_bins(rows, len(cuts)), cuts, chosen["maxIter"], chosen["maxDepth"], chosen["stepSize"])
