@@ -29,8 +29,8 @@ ship_functions_of(__name__)
 BLOCK_ROWS = 65_536
 # Numbers of a table of nodes and joint bins; few enough for the caches, as rows go to any of them.
 TABLE, MOST_JOINT = 1 << 16, 1 << 11
-# Nodes of a tree whose sums a task holds at once.
-NODES = 1_024
+# Nodes of a tree whose sums are sent at once, at most, and numbers of these; a task holds the sums of some trees.
+NODES, SENT = 512, 1 << 18
 # After so many rounds the predictions of all rows are kept anew, so a scan evaluates few trees.
 SAVE_ROUNDS = 4
 # A split gains more than the rounding of the sums it is made of.
@@ -299,9 +299,9 @@ def _bits(rows: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _bagged(trees: list[Tree], counted: list[np.ndarray], level: int, sizes: Sequence[int], seed: int, shift: float) -> Callable:
+def _bagged(trees: list[Tree], counted: list[np.ndarray], level: int, sizes: Sequence[int], at_once: int, seed: int, shift: float) -> Callable:
     """What a task does for a level: the sums of all trees' counted nodes, a tree after the other."""
-    most = min(NODES, max(len(c) for c in counted))
+    most = min(at_once, max(len(c) for c in counted))
 
     def add(task: int, blocks: Iterator[Block]) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
         sums, times, held, row = _Sums(sizes, most), _poisson(), [], task << 40
@@ -311,8 +311,8 @@ def _bagged(trees: list[Tree], counted: list[np.ndarray], level: int, sizes: Seq
         for t, tree in enumerate(trees):
             if not t % 4:
                 bits = [_bits(rows, seed * 1_000_003 + t // 4) for _, _, rows, _ in held]
-            for low in range(0, len(counted[t]), NODES):
-                some = counted[t][low : low + NODES]
+            for low in range(0, len(counted[t]), at_once):
+                some = counted[t][low : low + at_once]
                 slot = np.full(len(tree.feature), -1, np.intp)
                 slot[some] = np.arange(len(some))
                 for (x, label, _, codes), b in zip(held, bits):
@@ -345,6 +345,7 @@ def forest(train: DataFrame, cuts: list[np.ndarray], trees: int, depth: int, see
     read = train.select(vector_to_array("features").alias("x"), "label", F.lit(1.0).alias("weight"))
     blocks = _packed(read, lambda x: _bins(_matrix(x), cuts), len(sizes)).persist(StorageLevel.MEMORY_AND_DISK)
     grown = [Tree() for _ in range(trees)]
+    at_once = max(1, min(NODES, SENT // sum(sizes)))
     parts = max(1, min(trees, 2 * train.sparkSession.sparkContext.defaultParallelism))
 
     def added(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -374,20 +375,20 @@ def forest(train: DataFrame, cuts: list[np.ndarray], trees: int, depth: int, see
                 # The lighter child of each split node is counted, the other is what it leaves of its parent.
                 sides = {t: tree.lighter() for t, tree in enumerate(grown) if len(tree.open)}
                 counted = [tree.open.reshape(-1, 2)[np.arange(len(sides[t])), sides[t]] if t in sides else tree.open for t, tree in enumerate(grown)]
-            found = blocks.mapPartitionsWithIndex(_bagged(grown, counted, level, sizes, seed, shift))
+            found = blocks.mapPartitionsWithIndex(_bagged(grown, counted, level, sizes, at_once, seed, shift))
             if split is not None:
                 kept = {t: grew[t] for t in sides}
                 found = found.union(split.flatMap(lambda r, kept=kept: [((r[0][0], -1), tuple(r[1][:, kept[r[0][0]]]))] if r[0][0] in kept else []))
-            of = found.partitionBy(parts, lambda k: k[0] + max(k[1], 0) // NODES).mapPartitions(added)
+            of = found.partitionBy(parts, lambda k: k[0] + max(k[1], 0) // at_once).mapPartitions(added)
             # Sums of several parts a tree are not kept; nor are the last.
-            whole = of.persist(StorageLevel.MEMORY_AND_DISK) if level + 1 < depth and all(2 * len(t.open) <= NODES for t in grown) else None
+            whole = of.persist(StorageLevel.MEMORY_AND_DISK) if level + 1 < depth and all(2 * len(t.open) <= at_once for t in grown) else None
             best = dict((of if whole is None else whole).mapPartitions(searched).collect())
             if split is not None:
                 split.unpersist()
             grew = {}
             for t, tree in enumerate(grown):
                 if len(tree.open):
-                    grew[t] = tree.split(np.concatenate([best[t, low] for low in range(0, len(tree.open), NODES)]))
+                    grew[t] = tree.split(np.concatenate([best[t, low] for low in range(0, len(tree.open), at_once)]))
     finally:
         blocks.unpersist()
         if whole is not None:

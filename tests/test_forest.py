@@ -64,7 +64,7 @@ def test_boosting_takes_sparks_splits(spark, monkeypatch, least):
 
 def test_boosting_of_a_task_is_one_job(spark):
     rows = rows_of(spark, 500).persist()
-    rows.count()
+    train.boosted_regressor(rows, maxIter=1)  # later ones know the cut points
     few, before = jobs(spark, lambda: train.boosted_regressor(rows, maxIter=2))
     many, after = jobs(spark, lambda: train.boosted_regressor(rows, maxIter=40))
     assert few.getNumTrees == 2 and many.getNumTrees == 40 and after == before
@@ -100,7 +100,7 @@ def test_forest_against_plain_search(spark, monkeypatch, nodes, table):
 
 def test_forest_takes_a_job_a_level(spark):
     rows = rows_of(spark, 600).persist()
-    rows.count()
+    train.random_forest_regressor(rows, numTrees=1)  # later ones know the cut points
     counts = [jobs(spark, lambda trees=trees: train.random_forest_regressor(rows, numTrees=trees, maxDepth=6)) for trees in (4, 150)]
     assert [m.getNumTrees for m, _ in counts] == [4, 150] and counts[0][1] == counts[1][1]
     rows.unpersist()
